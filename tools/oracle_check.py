@@ -48,6 +48,16 @@ def rows_of(cols, records):
     return order, sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if not isinstance(x, tuple) else str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE", "smallint": "SMALLINT"}
+
+
+def type_diff(sdf, rel):
+    s = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def compare(spark, sf_dir, names=None, verbose=True):
     from eddy.plans.catalog import ORACLE, QUERIES
     con = duck(sf_dir)
@@ -84,8 +94,14 @@ def compare(spark, sf_dir, names=None, verbose=True):
         dc, dr = rows_of(d_cols, d_rows)
         ok = sc == dc and sr == dr
         detail = ""
+        td = type_diff(df, rel)
+        if td:
+            ok = False
+            detail = f"types {td}"
         if not ok:
-            if sc != dc:
+            if detail:
+                pass
+            elif sc != dc:
                 detail = f"cols spark={sc} duck={dc}"
             elif len(sr) != len(dr):
                 detail = f"rows spark={len(sr)} duck={len(dr)}"
