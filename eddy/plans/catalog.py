@@ -198,3 +198,4 @@ def q_macro_merge(spark, sf_dir):
     out = macro_merge(I.li_deltas(spark, sf_dir), ["tick"], I.LI_DIMS)
     return out.select("tick", "new_cluster_id", "n", *I.flat(out, "cf1x", I.LI_DIMS),
                       *I.flat(out, "centroid", I.LI_DIMS))
+from . import q_events  # noqa: E402,F401

@@ -99,18 +99,23 @@ ev_days AS (SELECT day, CAST(dense_rank() OVER (ORDER BY day) AS BIGINT) AS tick
 ev_pts AS (SELECT b.pid, d.tick, b.event_type, b.x0, b.x1 FROM ev_base b JOIN ev_days d USING (day))"""
 
 
-def assigned_sql(name: str, pts: str, dims: int, q: int) -> str:
-    """CTEs `{name}_cen` and `{name}` = points with mc_id, dist (first wins ties)."""
-    cen = centers_sql(name, q, dims, pts)
+def nearest_sql(name: str, pts: str, cen: str, dims: int, cp: str = "c", extra: str = "") -> str:
+    """CTE `{name}` = points of `pts` with the mc_id and dist of the nearest
+    row of `cen` (centroid columns {cp}0..), first mc_id wins ties."""
     xs = ", ".join(f"p.x{d}" for d in range(dims))
-    return f"""{cen},
-{name}_d AS (
-  SELECT p.pid, p.tick, {xs}, c.mc_id, {dist_sql('p', 'c', dims)} AS d2,
-         row_number() OVER (PARTITION BY p.pid ORDER BY {dist_sql('p', 'c', dims)}, c.mc_id) AS rn
-  FROM {pts} p, {name}_cen c),
+    dd = dist_sql("p", "c", dims, pb=cp)
+    return f"""{name}_d AS (
+  SELECT p.pid, p.tick, {xs}, c.mc_id{extra}, {dd} AS d2,
+         row_number() OVER (PARTITION BY p.pid ORDER BY {dd}, c.mc_id) AS rn
+  FROM {pts} p, {cen} c),
 {name} AS (SELECT * EXCLUDE (rn), sqrt(d2) AS dist FROM {name}_d WHERE rn = 1)"""
 
 
+def assigned_sql(name: str, pts: str, dims: int, q: int) -> str:
+    """CTEs `{name}_cen` and `{name}` = points with mc_id, dist (first wins ties)."""
+    return centers_sql(name, q, dims, pts) + ",\n" + nearest_sql(name, pts, f"{name}_cen", dims)
+
+
 def cf_sql(name: str, src: str, dims: int, keys: str = "tick, mc_id") -> str:
     s1 = ", ".join(f"sum(x{d}) AS s1_{d}" for d in range(dims))
     s2 = ", ".join(f"sum(x{d} * x{d}) AS s2_{d}" for d in range(dims))
