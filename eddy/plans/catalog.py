@@ -199,3 +199,4 @@ def q_macro_merge(spark, sf_dir):
     return out.select("tick", "new_cluster_id", "n", *I.flat(out, "cf1x", I.LI_DIMS),
                       *I.flat(out, "centroid", I.LI_DIMS))
 from . import q_events  # noqa: E402,F401
+from . import q_macro  # noqa: E402,F401
