@@ -200,3 +200,4 @@ def q_macro_merge(spark, sf_dir):
                       *I.flat(out, "centroid", I.LI_DIMS))
 from . import q_events  # noqa: E402,F401
 from . import q_macro  # noqa: E402,F401
+from . import q_online  # noqa: E402,F401
