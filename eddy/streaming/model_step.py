@@ -233,10 +233,12 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
     if remove_expired:
         root_of = {i: m.mc_id for m in mlist for i in m.ids}
         agg: dict[int, list] = {}
-        wd = pdf[(pdf["kind"] == "wd") & (pdf["dtick"] > tick - delta)]
+        # tick + 1 - delta leaves the window before tick + 1 is assigned
+        wd = pdf[(pdf["kind"] == "wd") & (pdf["dtick"] > tick + 1 - delta)]
         rows = [(int(r.mc_id), int(r.n), vec(r.cf1x), vec(r.cf2x), int(r.cf1t), int(r.cf2t), int(r.dtick))
                 for r in wd.itertuples(index=False)]
-        rows += [(k, n, s1, s2, t1, t2, tick) for k, n, s1, s2, t1, t2 in deltas] if delta > 0 else []
+        if delta > 1:
+            rows += [(k, n, s1, s2, t1, t2, tick) for k, n, s1, s2, t1, t2 in deltas]
         for k, n, s1, s2, t1, t2, dt in rows:
             root = root_of.get(k)
             if root is None:

@@ -282,8 +282,8 @@ class OnlineModel:
             new = compact_outliers(assigned.where(~F.col("is_in")), cfg.dims, cfg.outlier_partitions,
                                    cfg.leader_slots, cfg.recursive_outliers)
             parts = [self._as_step(nxt, "model"), self._as_step(inl, "in"), self._as_step(new, "new")]
-            if cfg.remove_expired and cfg.delta > 1:
-                lo = max(1, t + 1 - cfg.delta)
+            if cfg.remove_expired and cfg.delta > 2:
+                lo = max(1, t + 2 - cfg.delta)          # window of the next tick: (t+1-delta, t]
                 wd = self.read("delta", list(range(lo, t))).withColumn("dtick", F.col("tick"))
                 parts.append(self._as_step(wd, "wd"))
             self._run_group(parts, t, n, bid)
