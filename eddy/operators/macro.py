@@ -142,30 +142,34 @@ def _vectors(mcs: DataFrame) -> DataFrame:
     return drop_empty(mcs).withColumn("_v", array_to_vector("centroid")).withColumn("_w", F.col("n").cast("double"))
 
 
-def _centers_frame(spark, key, centers, tick) -> list[tuple]:
-    return [(tick, i, [float(x) for x in c]) for i, c in enumerate(centers)]
-
-
 def ml_centers(mcs: DataFrame, group: str, k: int, algo: str = "kmeans", seed: int = 42,
-               max_iter: int = 20) -> DataFrame:
+               max_iter: int = 20, parallel: int = 8) -> DataFrame:
     """CLU5/CLU7/CLU9: weighted k-means or bisecting k-means per model group.
 
-    The loop is over model groups (ticks); each fit is a distributed
-    pyspark.ml job on that group's micro-clusters.
+    The model table (bounded by q rows per group) is checkpointed once; each
+    group's fit is a pyspark.ml job and the fits run as concurrent Spark jobs
+    from a small thread pool, so the ticks of a sweep share the cluster.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import BisectingKMeans, KMeans
+
+    from ..config import cut_lineage
     spark = mcs.sparkSession
-    data = _vectors(mcs)
+    data = cut_lineage(_vectors(mcs).select(group, "_v", "_w"))
     keys = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]   # number of ticks
-    rows = []
-    for key in keys:
+
+    def fit(key):
         part = data.where(F.col(group) == key)
         if algo == "kmeans":
             est = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", weightCol="_w")
         else:
             est = BisectingKMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", weightCol="_w")
-        model = est.fit(part)
-        rows += _centers_frame(spark, key, model.clusterCenters(), key)
+        centers = est.fit(part).clusterCenters()
+        return [(key, i, [float(x) for x in c]) for i, c in enumerate(centers)]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(keys)))) as pool:
+        rows = [r for part in pool.map(fit, keys) for r in part]
     schema = T.StructType([T.StructField(group, mcs.schema[group].dataType), T.StructField("center_id", T.LongType()),
                            T.StructField("center", T.ArrayType(T.DoubleType()))])
     return spark.createDataFrame(rows, schema)

@@ -24,6 +24,8 @@ from __future__ import annotations
 import dataclasses
 import time
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,7 @@ from ..operators.cf import cf_aggregate
 from ..operators.init import bounding_box, random_centers
 from ..operators.pyramid import _powers
 from .model_step import STEP_SCHEMA, step_group
-from .outliers import compact_outliers
+from .outliers import assign_and_compact
 
 META_SCHEMA = T.StructType([
     T.StructField("total_n", T.LongType()),
@@ -275,20 +277,14 @@ class OnlineModel:
         if self._next is None:
             self._load_next(t - 1)
         nxt = self.read("next", [t - 1]).drop("kind", "tick")
-        model = model_arrays(self._next, cfg.dims)
-        assigned = split_inliers(assign_with(pts, model, cfg.dims, cfg.t_factor)).persist()
-        try:
-            inl = cf_aggregate(assigned.where(F.col("is_in")), ["mc_id"], cfg.dims)
-            new = compact_outliers(assigned.where(~F.col("is_in")), cfg.dims, cfg.outlier_partitions,
-                                   cfg.leader_slots, cfg.recursive_outliers)
-            parts = [self._as_step(nxt, "model"), self._as_step(inl, "in"), self._as_step(new, "new")]
-            if cfg.remove_expired and cfg.delta > 2:
-                lo = max(1, t + 2 - cfg.delta)          # window of the next tick: (t+1-delta, t]
-                wd = self.read("delta", list(range(lo, t))).withColumn("dtick", F.col("tick"))
-                parts.append(self._as_step(wd, "wd"))
-            self._run_group(parts, t, n, bid)
-        finally:
-            assigned.unpersist()
+        passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
+                                    cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
+        parts = [self._as_step(nxt, "model"), passed]
+        if cfg.remove_expired and cfg.delta > 2:
+            lo = max(1, t + 2 - cfg.delta)          # window of the next tick: (t+1-delta, t]
+            wd = self.read("delta", list(range(lo, t))).withColumn("dtick", F.col("tick"))
+            parts.append(self._as_step(wd, "wd"))
+        self._run_group(parts, t, n, bid)
 
     # ----------------------------------------------------------------- init
     def _init_step(self, pts: DataFrame, t: int, n: int, bid: int) -> None:
@@ -351,7 +347,12 @@ class OnlineModel:
         """All points are in-liers of the init tick; empty start clusters are
         dropped after the refresh (they still lend their centroid to it)."""
         cfg = self.cfg
-        inl = cf_aggregate(assign_nearest(pts, centers, cfg.dims), ["mc_id"], cfg.dims)
+        rows = centers.orderBy("mc_id").collect()                 # q start centers
+        model = {"ids": np.array([r["mc_id"] for r in rows], dtype=np.int64),
+                 "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), cfg.dims),
+                 "rmsd": np.zeros(len(rows)), "n": np.zeros(len(rows), dtype=np.int64)}
+        passed = assign_and_compact(pts, model, cfg.dims, cfg.t_factor, cfg.leader_slots, cfg.recursive_outliers,
+                                    t, self.key, STEP_SCHEMA, all_in=True)
         start = centers.select("mc_id", F.array(F.col("mc_id")).alias("ids"), F.lit(0).cast("bigint").alias("n"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf1x"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf2x"),
@@ -359,7 +360,7 @@ class OnlineModel:
                                F.lit(t).cast("bigint").alias("last_tick"), "centroid",
                                F.lit(0.0).alias("rmsd"))
         self.initialized = True
-        self._run_group([self._as_step(start, "model"), self._as_step(inl, "in")], t, n, bid, all_in=True)
+        self._run_group([self._as_step(start, "model"), passed], t, n, bid, all_in=True)
         self.next_id = max(self.next_id, cfg.q)
 
 

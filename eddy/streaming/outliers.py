@@ -117,3 +117,55 @@ def compact_outliers(outliers: DataFrame, dims: int, partitions: int, slots: int
             .repartition(partitions, "point_id")
             .sortWithinPartitions("point_id")
             .mapInPandas(fn, LEADER_SCHEMA))
+
+
+def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float, slots: int, recursive: bool,
+                       tick: int, model_key: int, schema: T.StructType, all_in: bool = False) -> DataFrame:
+    """One pass over a tick's points (JOI1 + FLT1 + AGG1 + STR5 first level).
+
+    Per partition, in point_id order: nearest centroid of the broadcast model
+    (at most q rows), in-lier test, in-lier CF summed per micro-cluster
+    (map-side combine) and the leader walk over the outliers. A partition
+    emits at most q + L rows, so the shuffle to the model step is tiny
+    whatever the batch size.
+    """
+    from ..operators.assign import squared_distances
+    ids, centers = model["ids"], model["centers"]
+    rad = np.where(model["n"] == 1, 2.0 * model["rmsd"], t_factor * model["rmsd"])
+    q = len(ids)
+    names = [f.name for f in schema.fields]
+
+    def row(kind, **kw):
+        r = dict.fromkeys(names)
+        r.update(kind=kind, model=model_key, **kw)
+        return r
+
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = Leaders(dims, slots, recursive)
+        cnt = np.zeros(q, dtype=np.int64)
+        s1 = np.zeros((q, dims))
+        s2 = np.zeros((q, dims))
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["features"]]).reshape(len(pdf), dims)
+            d2 = squared_distances([x[:, d] for d in range(dims)], centers)
+            pos = np.argmin(d2, axis=1)
+            dist = np.sqrt(d2[np.arange(len(pos)), pos])
+            inl = np.ones(len(pos), dtype=bool) if all_in else dist <= rad[pos]
+            p_in = pos[inl]
+            cnt += np.bincount(p_in, minlength=q)
+            for d in range(dims):
+                s1[:, d] += np.bincount(p_in, weights=x[inl, d], minlength=q)
+                s2[:, d] += np.bincount(p_in, weights=x[inl, d] * x[inl, d], minlength=q)
+            out = ~inl
+            if out.any():
+                lead.feed(x[out], pdf["point_id"].to_numpy()[out], dist[out])
+        rows = [row("in", mc_id=int(ids[j]), n=int(cnt[j]), cf1x=s1[j].tolist(), cf2x=s2[j].tolist(),
+                    cf1t=int(cnt[j]) * tick, cf2t=int(cnt[j]) * tick * tick, last_tick=tick)
+                for j in np.nonzero(cnt)[0]]
+        rows += [row("new", first_pid=f, n=n, cf1x=a, cf2x=b, rmsd=r) for f, n, a, b, r in lead.rows()]
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return pts.select("point_id", "features").sortWithinPartitions("point_id").mapInPandas(fn, schema)
