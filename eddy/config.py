@@ -132,10 +132,3 @@ def bounded_count(df: DataFrame, bound: int, what: str) -> int:
     if n > bound:
         raise ValueError(f"{what}: {n} rows exceed the bound {bound}")
     return n
-
-
-def checked_broadcast(df: DataFrame, bound: int, what: str) -> DataFrame:
-    """Broadcast a derived table only after its row count is proven small."""
-    small = cut_lineage(df)
-    n = small.count()
-    return F.broadcast(small) if n <= bound else small

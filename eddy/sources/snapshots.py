@@ -33,16 +33,6 @@ def read_snapshots(spark: SparkSession, path: str, kind: str | None = None,
     return df.withColumn("tick", F.col("tick").cast("bigint"))
 
 
-def drop_snapshot_partitions(spark: SparkSession, path: str, keep: DataFrame) -> None:
-    """STR8 retention on disk: rewrite only the partitions still kept.
-
-    Kept ticks come from the retention predicate; the table is rewritten
-    through dynamic overwrite of the kept partitions into a new version
-    folder by the caller (no file deletes while readers may be active).
-    """
-    raise NotImplementedError("retention is applied by filtering on read; see read_snapshots")
-
-
 def centers(snaps: DataFrame, keys: tuple[str, ...] = ("tick",)) -> DataFrame:
     """PRJ4/STR12: centers of the micro-clusters with n > 0."""
     return snaps.where(F.col("n") > 0).select(*keys, "mc_id", centroid("cf1x", "n").alias("center"))

@@ -195,10 +195,12 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
         s1, s2, n = vec(r.cf1x), vec(r.cf2x), int(r.n)
         c = s1 / float(n)
         fresh = [m for m in mlist if m.new]
+        # unbounded variant: the absorb radius doubles once the model is large
+        factor = 4.0 if unbounded and len(mlist) > 50 else 2.0
         if recursive and fresh:
             d2 = [_d2(c, m.centroid) for m in fresh]
             k = int(np.argmin(d2))
-            if np.sqrt(d2[k]) <= 2.0 * fresh[k].rmsd:
+            if np.sqrt(d2[k]) <= factor * fresh[k].rmsd:
                 nb = MC(-1, [], n, s1, s2, n * tick, n * tick * tick, tick, c, 0.0)
                 merge_into(fresh[k], nb, tick)
                 new_delta[fresh[k].mc_id][0] += n

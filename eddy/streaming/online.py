@@ -275,7 +275,7 @@ class OnlineModel:
     def _online_step(self, pts: DataFrame, t: int, n: int, bid: int) -> None:
         cfg = self.cfg
         if self._next is None:
-            self._load_next(t - 1)
+            self._load_next(t - 1)        # after a restart
         nxt = self.read("next", [t - 1]).drop("kind", "tick")
         passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
                                     cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
@@ -289,6 +289,15 @@ class OnlineModel:
     # ----------------------------------------------------------------- init
     def _init_step(self, pts: DataFrame, t: int, n: int, bid: int) -> None:
         cfg = self.cfg
+        if self.unbounded:
+            # VAR4: the unbounded model starts empty; the first batch is all outliers
+            empty = self.spark.createDataFrame([], "mc_id bigint, centroid array<double>")
+            self.initialized = True
+            self._next = []
+            passed = assign_and_compact(pts, model_arrays([], cfg.dims), cfg.dims, cfg.t_factor, cfg.leader_slots,
+                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
+            self._run_group([self._as_step(empty, "model"), passed], t, n, bid)
+            return
         if cfg.init_mode == "random" or cfg.min_init_points == 0:
             box = [(0.0, 1.0)] * cfg.dims if cfg.scaling == "batch" else bounding_box(pts, cfg.dims)
             centers = random_centers(self.spark, cfg.q, box, cfg.seed)

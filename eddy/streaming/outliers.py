@@ -149,6 +149,9 @@ def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float,
             if len(pdf) == 0:
                 continue
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["features"]]).reshape(len(pdf), dims)
+            if q == 0:                      # empty model: every point is an outlier
+                lead.feed(x, pdf["point_id"].to_numpy(), np.full(len(x), np.inf))
+                continue
             d2 = squared_distances([x[:, d] for d in range(dims)], centers)
             pos = np.argmin(d2, axis=1)
             dist = np.sqrt(d2[np.arange(len(pos)), pos])

@@ -192,3 +192,23 @@ def test_config_rejects_q_below_two():
     import pytest
     with pytest.raises(ValueError):
         ModelConfig(q=1)
+
+
+def test_kafka_options_follow_the_reference_run():
+    from eddy.streaming.online import kafka_options
+    o = kafka_options("broker:9092", "points", rate_per_partition=1000, partitions=3, trigger_seconds=1.0)
+    assert o["subscribe"] == "points" and o["startingOffsets"] == "latest"
+    assert o["maxOffsetsPerTrigger"] == "3000" and o["kafka.group.id"] == "test"
+
+
+def test_unbounded_model_starts_empty(spark):
+    from eddy.config import work_dir
+    from eddy.plans import inputs as I
+    from eddy.streaming.online import replay
+    cfg = ModelConfig(q=2, dims=2, delta=3, scaling="none", remove_expired=False, leader_slots=4,
+                      outlier_partitions=2)
+    pts = I.ev_points(spark, "/root/testdata/sf0.001")
+    m = replay(spark, pts, cfg, work_dir(spark, "test-unbounded"), unbounded=True, max_ticks=3)
+    rows = m.model().collect()
+    assert sum(r["n"] for r in rows) == pts.where(F.col("tick") <= 3).count()
+    assert len(rows) > 2          # no capacity cap
