@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import MAX_MODEL_ROWS, bounded_count
+from ..config import MAX_MODEL_ROWS
 
 ASSIGN_TYPE = T.StructType([
     T.StructField("mc_id", T.LongType()),
@@ -38,9 +38,11 @@ def squared_distances(x: list[np.ndarray], c: np.ndarray) -> np.ndarray:
 
 def collect_model(model: DataFrame, dims: int, order_col: str = "mc_id") -> dict:
     """Bring a bounded model to the driver as arrays (checked size)."""
-    bounded_count(model, MAX_MODEL_ROWS, "micro-cluster model")
     cols = ["mc_id", "centroid"] + [c for c in ("rmsd", "n") if c in model.columns]
-    rows = model.select(*cols).orderBy(order_col).collect()
+    # one job: fetch at most bound + 1 rows and fail if the model is larger
+    rows = model.select(*cols).orderBy(order_col).limit(MAX_MODEL_ROWS + 1).collect()
+    if len(rows) > MAX_MODEL_ROWS:
+        raise ValueError(f"micro-cluster model exceeds {MAX_MODEL_ROWS} rows")
     out = {
         "ids": np.array([r["mc_id"] for r in rows], dtype=np.int64),
         "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), dims),

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import bounded_count
 from ..sources.points import MAX_TICKS
 
 
@@ -33,9 +32,13 @@ def batch_stats(points: DataFrame, keys: list[str], dims: int, features: str = "
 def standardize(points: DataFrame, keys: list[str], dims: int, features: str = "features") -> DataFrame:
     """Replace `features` by its z-score within each key (the reference's
     withMean/withStd scaler fitted on each batch); zero std gives 0."""
-    stats = batch_stats(points, keys, dims, features)
-    bounded_count(stats, MAX_TICKS, "batch statistics")   # one row per tick
-    joined = points.join(F.broadcast(stats.drop("n")), keys)
+    stats = batch_stats(points, keys, dims, features).drop("n")
+    # one row per tick: fetched once (bounded by MAX_TICKS) and broadcast back
+    rows = stats.limit(MAX_TICKS + 1).collect()
+    if len(rows) > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} batches")
+    small = points.sparkSession.createDataFrame(rows, stats.schema)
+    joined = points.join(F.broadcast(small), keys)
     z = []
     for d in range(dims):
         x, m, s = F.col(features)[d], F.col(f"mean_{d}"), F.col(f"std_{d}")

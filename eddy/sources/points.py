@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..config import bounded_count, cut_lineage
+from pyspark.sql import types as T
 
 # Upper bound on distinct days of a replayed table (about 270 years).
 MAX_TICKS = 100_000
@@ -45,23 +44,21 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_ticks(days: DataFrame, day_col: str = "day") -> DataFrame:
-    """Dense rank of distinct days, computed on the small distinct table.
+    """Dense rank of the distinct days as a small broadcast table.
 
-    A window over the whole points table would pull every row into one task;
-    ranking the (bounded) set of distinct days and joining it back does not.
+    A window over the points would pull every row into one task. The distinct
+    days are bounded by the calendar (checked against MAX_TICKS), so they are
+    fetched once, numbered in order and joined back by broadcast.
     """
-    distinct_days = cut_lineage(days.select(day_col).distinct())
-    bounded_count(distinct_days, MAX_TICKS, "distinct days")
-    ranked = distinct_days.select(
-        day_col, F.dense_rank().over(_order_window(day_col)).cast("bigint").alias("tick"))
+    spark = days.sparkSession
+    rows = days.select(day_col).distinct().orderBy(day_col).limit(MAX_TICKS + 1).collect()
+    if len(rows) > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} distinct days")
+    schema = T.StructType([days.schema[day_col], T.StructField("tick", T.LongType())])
+    ranked = spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(rows)], schema)
     return F.broadcast(ranked)
 
 
-def _order_window(c):
-    from pyspark.sql import Window
-    return Window.orderBy(c)
-
-
 def events_points(spark: SparkSession, sf_dir: str, with_type: bool = False) -> DataFrame:
     """[cents of value, hour of ts]; point_id = event_id; tick = day rank."""
     ev = table(spark, sf_dir, "events")
