@@ -34,6 +34,8 @@ class ModelConfig:
     leader_slots        L: max new clusters one partition may create per tick
     outlier_partitions  P: partitions of the outlier compaction
     alpha, l            pyramidal snapshot schedule
+    variant             "dynamic" (the live model) | "fixed" (fixed-q model with
+                        recency-based slot reuse, a disabled variant)
     """
 
     q: int = 100
@@ -51,6 +53,7 @@ class ModelConfig:
     outlier_partitions: int = 8
     alpha: int = 2
     l: int = 10
+    variant: str = "dynamic"
 
     def __post_init__(self):
         if self.q < 2:
@@ -61,6 +64,8 @@ class ModelConfig:
             raise ValueError(f"unknown init_mode {self.init_mode!r}")
         if self.scaling not in ("batch", "none"):
             raise ValueError(f"unknown scaling {self.scaling!r}")
+        if self.variant not in ("dynamic", "fixed"):
+            raise ValueError(f"unknown variant {self.variant!r}")
         if self.alpha < 2 or self.l < 0:
             raise ValueError("pyramidal schedule needs alpha >= 2 and l >= 0")
 

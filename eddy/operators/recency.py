@@ -59,3 +59,35 @@ def recency_keep(mcs: DataFrame, m: int, now: int, delta: int) -> DataFrame:
     """VAR2: a cluster is safe to delete when n = 0 or stamp < now - delta."""
     st = recency_stamp(mcs, m)
     return st.withColumn("keep", (F.col("n") > 0) & (F.col("stamp") >= F.lit(now - delta)))
+
+
+def inv_norm_np(p: float) -> float:
+    """The same approximation for one probability (used by the model step)."""
+    import math
+
+    def horner(cs, x):
+        acc = cs[0]
+        for c in cs[1:]:
+            acc = acc * x + c
+        return acc
+    if p < P_LOW:
+        q = math.sqrt(-2.0 * math.log(p))
+        return horner(C, q) / (horner(D, q) * q + 1.0)
+    if p <= 1.0 - P_LOW:
+        q = p - 0.5
+        r = q * q
+        return horner(A, r) * q / (horner(B, r) * r + 1.0)
+    q = math.sqrt(-2.0 * math.log(1.0 - p))
+    return -horner(C, q) / (horner(D, q) * q + 1.0)
+
+
+def stamp_np(n: int, cf1t: int, cf2t: int, m: int) -> float:
+    """VAR1 for one micro-cluster."""
+    import math
+    if n <= 0:
+        return float("-inf")
+    mean = cf1t / n
+    if n < 2 * m:
+        return mean
+    sd = math.sqrt(max(cf2t / n - mean * mean, 0.0))
+    return mean + sd * inv_norm_np(1.0 - m / (2.0 * n))

@@ -46,6 +46,16 @@ def q_unbounded_replay(spark, sf_dir):
     return model_view(m.model(), I.EV_DIMS)
 
 
+@register("fixed_q_replay")
+def q_fixed_q_replay(spark, sf_dir):
+    """VAR1-VAR3 loop: the fixed-q model (absorb within t_factor*rmsd, new
+    clusters reuse the slot of a stale cluster by recency stamp, else merge the
+    closest kept pair), replayed over the whole events stream."""
+    cfg = ONLINE_CFG.replace(variant="fixed", remove_expired=False, delta=2)
+    m = replay(spark, I.ev_points(spark, sf_dir), cfg, work_dir(spark, "fixed-q"))
+    return model_view(m.model(), I.EV_DIMS)
+
+
 @register("file_stream")
 def q_file_stream(spark, sf_dir):
     """SRC2/STR1: the events written as one Parquet file per tick and consumed

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import types as T
 
 from ..config import MAX_MODEL_ROWS
+from ..operators.recency import stamp_np
 
 DOUBLES = T.ArrayType(T.DoubleType())
 STEP_SCHEMA = T.StructType([
@@ -153,7 +154,7 @@ def prune(mcs: list[MC], tick: int) -> list[MC]:
 
 def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, remove_expired: bool,
                recursive: bool, unbounded: bool = False, all_in: bool = False,
-               total_n: int = 0, batch_id: int = 0) -> pd.DataFrame:
+               total_n: int = 0, batch_id: int = 0, variant: str = "dynamic", m_last: int = 500) -> pd.DataFrame:
     if len(pdf) > MAX_MODEL_ROWS:
         raise ValueError(f"model step of {len(pdf)} rows exceeds {MAX_MODEL_ROWS}")
     model_key = int(pdf["model"].iloc[0])
@@ -207,7 +208,20 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
                 new_delta[fresh[k].mc_id][1] = new_delta[fresh[k].mc_id][1] + s1
                 new_delta[fresh[k].mc_id][2] = new_delta[fresh[k].mc_id][2] + s2
                 continue
-        if not unbounded and len(mlist) >= q:
+        if variant == "fixed" and len(mlist) >= q:
+            # VAR2/VAR3: reuse the slot of a stale (or empty) cluster, else merge
+            # the closest pair among the clusters kept from before this tick
+            stale = [i for i, m in enumerate(mlist)
+                     if not m.new and (m.n == 0 or stamp_np(m.n, m.cf1t, m.cf2t, m_last) < tick - delta)]
+            if stale:
+                del mlist[stale[0]]
+            else:
+                kept = [i for i, m in enumerate(mlist) if not m.new]
+                if len(kept) >= 2:
+                    a, b = closest_pair([mlist[i] for i in kept])
+                    merge_into(mlist[kept[a]], mlist[kept[b]], tick)
+                    del mlist[kept[b]]
+        elif not unbounded and len(mlist) >= q:
             i, j = closest_pair(mlist)
             merge_into(mlist[i], mlist[j], tick)
             del mlist[j]
@@ -220,7 +234,7 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
         next_id += 1
     for k, (n, s1, s2) in new_delta.items():
         deltas.append((k, n, s1, s2, n * tick, n * tick * tick))
-    if outliers > 0 and not all_in:
+    if outliers > 0 and not all_in and variant == "dynamic":
         mlist = prune(mlist, tick)
     refresh(mlist)
 

@@ -189,8 +189,22 @@ class OnlineModel:
         t = self.tick if tick is None else tick
         return self.read("model", [t]).drop("kind", "first_pid", "dtick")
 
-    def deltas(self) -> DataFrame:
-        return self.read("delta").drop("kind", "first_pid", "centroid", "rmsd", "dtick")
+    def deltas(self, ticks=None) -> DataFrame:
+        return self.read("delta", ticks).drop("kind", "first_pid", "centroid", "rmsd", "dtick", "total_n",
+                                              "next_id", "batch_id", "initialized")
+
+    def horizon(self, h: int, tc: int | None = None) -> DataFrame:
+        """STR9 on the online state, exactly: the CF of ticks (tc - h, tc] folded
+        onto the lineage roots of the model at tc (partition-pruned delta read,
+        explode of ids, equi-join, one aggregate)."""
+        from ..operators.cf import cf_sum
+        from ..operators.window import lineage
+        tc = self.tick if tc is None else tc
+        d = self.deltas(list(range(max(1, tc - h + 1), tc + 1)))
+        roots = lineage(self.read("model", [tc]))
+        j = d.join(roots.withColumnRenamed("mc_id", "root"), d.mc_id == F.col("member_id"))
+        return cf_sum(j.drop("mc_id", "member_id", "tick").withColumnRenamed("root", "mc_id"), ["mc_id"],
+                      self.cfg.dims)
 
     # ----------------------------------------------------------------- step
     def _as_step(self, df: DataFrame, kind: str) -> DataFrame:
@@ -214,7 +228,8 @@ class OnlineModel:
 
         def fn(pdf):
             return step_group(pdf, t, nid, cfg.q, cfg.delta, cfg.remove_expired, cfg.recursive_outliers,
-                              unbounded=unbounded, all_in=all_in, total_n=total, batch_id=batch_id)
+                              unbounded=unbounded, all_in=all_in, total_n=total, batch_id=batch_id,
+                              variant=cfg.variant, m_last=cfg.m_last)
 
         u = parts[0]
         for p in parts[1:]:
@@ -278,7 +293,8 @@ class OnlineModel:
             self._load_next(t - 1)        # after a restart
         nxt = self.read("next", [t - 1]).drop("kind", "tick")
         passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
-                                    cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
+                                    cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA,
+                                    variant=cfg.variant)
         parts = [self._as_step(nxt, "model"), passed]
         if cfg.remove_expired and cfg.delta > 2:
             lo = max(1, t + 2 - cfg.delta)          # window of the next tick: (t+1-delta, t]

@@ -120,7 +120,8 @@ def compact_outliers(outliers: DataFrame, dims: int, partitions: int, slots: int
 
 
 def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float, slots: int, recursive: bool,
-                       tick: int, model_key: int, schema: T.StructType, all_in: bool = False) -> DataFrame:
+                       tick: int, model_key: int, schema: T.StructType, all_in: bool = False,
+                       variant: str = "dynamic") -> DataFrame:
     """One pass over a tick's points (JOI1 + FLT1 + AGG1 + STR5 first level).
 
     Per partition, in point_id order: nearest centroid of the broadcast model
@@ -131,7 +132,12 @@ def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float,
     """
     from ..operators.assign import squared_distances
     ids, centers = model["ids"], model["centers"]
-    rad = np.where(model["n"] == 1, 2.0 * model["rmsd"], t_factor * model["rmsd"])
+    if variant == "fixed":
+        # fixed-q variant: in-liers within rmsd, absorbed up to t_factor*rmsd;
+        # both join the nearest cluster's CF
+        rad = t_factor * model["rmsd"]
+    else:
+        rad = np.where(model["n"] == 1, 2.0 * model["rmsd"], t_factor * model["rmsd"])
     q = len(ids)
     names = [f.name for f in schema.fields]
 

@@ -75,3 +75,23 @@ def test_stream_equals_replay(spark):
     a = sorted((r["mc_id"], r["n"], tuple(r["cf1x"])) for r in streamed.model().collect())
     b = sorted((r["mc_id"], r["n"], tuple(r["cf1x"])) for r in replayed.model().collect())
     assert a == b and streamed.tick == replayed.tick == 4
+
+
+def test_online_horizon_is_exact(run):
+    _, pts, model, _ = run
+    h = 3
+    hz = model.horizon(h)
+    want = pts.where((F.col("tick") > model.tick - h) & (F.col("tick") <= model.tick)).count()
+    assert hz.agg(F.sum("n")).first()[0] == want
+    roots = {r["mc_id"] for r in model.model().collect()}
+    assert {r["mc_id"] for r in hz.collect()} <= roots
+
+
+def test_fixed_q_variant_keeps_capacity_and_mass(spark):
+    cfg = CFG.replace(variant="fixed", remove_expired=False, delta=2, q=6)
+    pts = I.ev_points(spark, SF_SMALL)
+    m = replay(spark, pts, cfg, work_dir(spark, "test-fixed"), max_ticks=6)
+    rows = m.model().collect()
+    assert len(rows) <= cfg.q
+    # stale slots are reused, so the model may hold fewer points than were seen
+    assert 0 < sum(r["n"] for r in rows) <= pts.where(F.col("tick") <= 6).count()
