@@ -36,27 +36,25 @@ def draw_u(k, g, seed: int) -> F.Column:
 def weighted_draws(mcs: DataFrame, group: str, num: int, seed: int) -> DataFrame:
     """CLU4: `num` weighted draws of micro-clusters per group -> (group, draw, mc_id).
 
-    Cumulative n is an exact integer prefix sum; draws and interval ends are
-    merged in one ordered pass per group (an as-of lookup, no range join).
+    Each group's cumulative n (an exact integer prefix sum over at most q
+    micro-clusters) becomes one sorted interval array; the draws are spread
+    over tasks and look their value up in the broadcast array (first interval
+    end >= u * N), so no window or task ever holds all draws of a group.
     """
     live = drop_empty(mcs).select(group, "mc_id", "n")
     w = Window.partitionBy(group).orderBy("mc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cum = live.withColumn("cum_n", F.sum("n").over(w)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(group)))
-    totals = cum.select(group, "total").distinct()
-    draws = (totals.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num - 1).cast("bigint"))))
+    cum = live.withColumn("cum_n", F.sum("n").over(w))          # per group: at most q rows
+    intervals = cum.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct("cum_n", "mc_id"))).alias("iv"),
+        F.sum("n").alias("total"))
+    draws = (intervals.select(group, "total")
+             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num - 1).cast("bigint"))))
+             .repartition(group, "draw")
              .withColumn("_v", draw_u(F.col("draw"), F.col(group), seed) * F.col("total").cast("double")))
-    ends = cum.select(group, F.col("cum_n").cast("double").alias("_v"), "mc_id")
-    u = (draws.select(group, "_v", "draw", F.lit(None).cast("bigint").alias("mc_id"), F.lit(0).alias("_kind"))
-         .unionByName(ends.select(group, "_v", F.lit(None).cast("bigint").alias("draw"), "mc_id", F.lit(1).alias("_kind"))))
-    fwd = Window.partitionBy(group).orderBy("_v", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    first_mc = Window.partitionBy(group).orderBy("mc_id")
-    picked = (u.withColumn("_pick", F.first("mc_id", ignorenulls=True).over(fwd))
-              .where(F.col("_kind") == 0))
-    fallback = live.withColumn("_r", F.row_number().over(first_mc)).where("_r = 1").select(
-        group, F.col("mc_id").alias("_first"))
-    return (picked.join(fallback, group)
-            .select(group, "draw", F.coalesce("_pick", "_first").alias("mc_id")))
+    hit = F.filter("iv", lambda s: s["cum_n"].cast("double") >= F.col("_v"))
+    picked = F.coalesce(F.element_at(hit, 1)["mc_id"], F.element_at("iv", 1)["mc_id"])
+    return (draws.join(F.broadcast(intervals.select(group, "iv")), group)
+            .select(group, "draw", picked.alias("mc_id")))
 
 
 def initial_centers(mcs: DataFrame, group: str, k: int) -> DataFrame:

@@ -27,17 +27,31 @@ def _matrix(series: pd.Series, dims: int) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]).reshape(len(series), dims)
 
 
-def pair_sq_dist(c: np.ndarray) -> np.ndarray:
+BLOCK = 512   # rows per block: pair kernels hold BLOCK x m distances at a time
+
+
+def block_sq_dist(c: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Squared distances of rows lo..hi-1 to every row, dimension by dimension."""
     acc = None
     for d in range(c.shape[1]):
-        diff = c[:, None, d] - c[None, :, d]
+        diff = c[lo:hi, None, d] - c[None, :, d]
         sq = diff * diff
         acc = sq if acc is None else acc + sq
     if acc is None:
-        acc = np.zeros((c.shape[0], c.shape[0]))
+        acc = np.zeros((hi - lo, c.shape[0]))
     return acc
 
 
+def pair_sq_dist(c: np.ndarray) -> np.ndarray:
+    """Full matrix (small models and tests only; kernels below use blocks)."""
+    return block_sq_dist(c, 0, c.shape[0])
+
+
+def _blocks(m: int):
+    for lo in range(0, m, BLOCK):
+        yield lo, min(m, lo + BLOCK)
+
+
 def _check(pdf: pd.DataFrame):
     if len(pdf) > MAX_MODEL_ROWS:
         raise ValueError(f"model group of {len(pdf)} rows exceeds {MAX_MODEL_ROWS}")
@@ -63,26 +77,27 @@ def nearest_other_kernel(c: np.ndarray, tie: str = "last") -> tuple[np.ndarray,
     Position -1 when the group has a single row.
     """
     m = c.shape[0]
+    pos = np.full(m, -1, dtype=np.int64)
+    best = np.full(m, np.inf)
     if m <= 1:
-        return np.full(m, -1, dtype=np.int64), np.full(m, np.inf)
-    d2 = pair_sq_dist(c)
-    np.fill_diagonal(d2, np.inf)
-    best = d2.min(axis=1)
-    hit = d2 == best[:, None]
-    if tie == "last":
-        pos = m - 1 - np.argmax(hit[:, ::-1], axis=1)
-    else:
-        pos = np.argmax(hit, axis=1)
-    return pos.astype(np.int64), best
+        return pos, best
+    for lo, hi in _blocks(m):
+        d2 = block_sq_dist(c, lo, hi)
+        d2[np.arange(hi - lo), np.arange(lo, hi)] = np.inf
+        b = d2.min(axis=1)
+        hit = d2 == b[:, None]
+        pos[lo:hi] = (m - 1 - np.argmax(hit[:, ::-1], axis=1)) if tie == "last" else np.argmax(hit, axis=1)
+        best[lo:hi] = b
+    return pos, best
 
 
 def nonzero_min_kernel(c: np.ndarray) -> np.ndarray:
     """sqrt of the smallest non-zero squared distance to any row, +inf if none."""
-    if c.shape[0] == 0:
-        return np.zeros(0)
-    d2 = pair_sq_dist(c)
-    d2 = np.where(d2 != 0.0, d2, np.inf)
-    return np.sqrt(d2.min(axis=1))
+    out = np.zeros(c.shape[0])
+    for lo, hi in _blocks(c.shape[0]):
+        d2 = block_sq_dist(c, lo, hi)
+        out[lo:hi] = np.sqrt(np.where(d2 != 0.0, d2, np.inf).min(axis=1))
+    return out
 
 
 def rmsd_kernel(cf1x: np.ndarray, cf2x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -200,15 +215,22 @@ def overlap_pairs(mcs: DataFrame, group: list[str], dims: int) -> DataFrame:
         pdf = _sorted(pdf)
         c = _matrix(pdf["centroid"], dims)
         r = pdf["rmsd"].to_numpy(dtype=np.float64)
-        d = np.sqrt(pair_sq_dist(c))
         m = len(pdf)
-        lower = np.tril(np.ones((m, m), dtype=bool), k=-1)   # j < i
-        hit = lower & (d <= r[None, :])
-        ii, jj = np.nonzero(hit)
+        ii_l, jj_l, dd_l = [], [], []
+        for lo, hi in _blocks(m):
+            d = np.sqrt(block_sq_dist(c, lo, hi))
+            earlier = np.arange(m)[None, :] < np.arange(lo, hi)[:, None]     # j < i
+            bi, bj = np.nonzero(earlier & (d <= r[None, :]))
+            ii_l.append(bi + lo)
+            jj_l.append(bj)
+            dd_l.append(d[bi, bj])
+        ii = np.concatenate(ii_l) if ii_l else np.zeros(0, dtype=np.int64)
+        jj = np.concatenate(jj_l) if jj_l else np.zeros(0, dtype=np.int64)
+        dist = np.concatenate(dd_l) if dd_l else np.zeros(0)
         ids = pdf["mc_id"].to_numpy(dtype=np.int64)
         out = pdf[keep].iloc[ii].reset_index(drop=True)
         out["parent_id"] = ids[jj]
-        out["dist"] = d[ii, jj]
+        out["dist"] = dist
         return out
 
     return mcs.select(*keep, "centroid", "rmsd").groupBy(*group).applyInPandas(fn, schema)
@@ -228,14 +250,19 @@ def closest_pair(mcs: DataFrame, group: list[str], dims: int) -> DataFrame:
         m = len(pdf)
         if m < 2:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        d2 = pair_sq_dist(_matrix(pdf["centroid"], dims))
-        upper = np.triu(np.ones((m, m), dtype=bool), k=1)
-        d2 = np.where(upper, d2, np.inf)
-        flat = int(np.argmin(d2))          # row-major: first (a, b) wins ties
-        a, b = divmod(flat, m)
+        c = _matrix(pdf["centroid"], dims)
+        best, a, b = np.inf, 0, 1
+        for lo, hi in _blocks(m):
+            d2 = block_sq_dist(c, lo, hi)
+            later = np.arange(m)[None, :] > np.arange(lo, hi)[:, None]      # b > a
+            d2 = np.where(later, d2, np.inf)
+            flat = int(np.argmin(d2))      # row-major: first (a, b) of the block wins ties
+            bv = d2.flat[flat]
+            if bv < best:                  # strict: an earlier block keeps its tie
+                best, a, b = bv, lo + flat // m, flat % m
         ids = pdf["mc_id"].to_numpy(dtype=np.int64)
         row = {g: pdf[g].iloc[0] for g in group}
-        row.update(a_id=int(ids[a]), b_id=int(ids[b]), dist=float(np.sqrt(d2[a, b])))
+        row.update(a_id=int(ids[a]), b_id=int(ids[b]), dist=float(np.sqrt(best)))
         return pd.DataFrame([row])
 
     return mcs.select(*group, "mc_id", "centroid").groupBy(*group).applyInPandas(fn, schema)

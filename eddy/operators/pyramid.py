@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cf import cf_sum
 
 MAX_POWER = 2 ** 62
 
@@ -80,16 +79,33 @@ def snapshot_pair(requests: DataFrame, saved: DataFrame, h: int, tc: str = "tc",
 
 
 def snapshots_at(deltas: DataFrame, snap_ticks: list[int], dims: int, keys: list[str] | None = None) -> DataFrame:
-    """Cumulative model at each listed snapshot tick (kind='cumulative'):
-    every delta row is replicated to the snapshot ticks at or after it and
-    summed; the tick list is small (O(alpha^l log T)) and travels as a literal."""
+    """Cumulative model at each listed snapshot tick (kind='cumulative').
+
+    Running sums per micro-cluster over its delta rows (one row per tick it was
+    touched, so a partition never exceeds the number of ticks); a running row
+    at tick t stands for every snapshot tick in [t, next touched tick), and is
+    emitted once per such snapshot. Output = snapshots x clusters, nothing more.
+    The tick list is small (O(alpha^l log T)) and travels as a literal.
+    """
     keys = keys or ["mc_id"]
     arr = F.array(*[F.lit(int(t)).cast("bigint") for t in sorted(snap_ticks)])
-    rep = (deltas.withColumn("_snap", F.explode(F.filter(arr, lambda s: s >= F.col("tick"))))
-           .drop("tick").withColumnRenamed("_snap", "tick"))
-    if "ids" not in rep.columns:
-        rep = rep.withColumn("ids", F.array(F.col("mc_id").cast("bigint")))
-    return cf_sum(rep, ["tick", *keys], dims, ids=True)
+    w = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.lead("tick").over(Window.partitionBy(*keys).orderBy("tick"))
+    run = deltas.select(
+        *keys, "tick",
+        F.sum("n").over(w).alias("n"),
+        *[F.sum(F.col("cf1x")[i]).over(w).alias(f"_s1_{i}") for i in range(dims)],
+        *[F.sum(F.col("cf2x")[i]).over(w).alias(f"_s2_{i}") for i in range(dims)],
+        F.sum("cf1t").over(w).alias("cf1t"), F.sum("cf2t").over(w).alias("cf2t"),
+        F.max("last_tick").over(w).alias("last_tick"),
+        nxt.alias("_next"))
+    cover = F.filter(arr, lambda s: (s >= F.col("tick")) & (F.col("_next").isNull() | (s < F.col("_next"))))
+    out = run.withColumn("_snap", F.explode(cover))
+    ids = F.array(*[F.col(k).cast("bigint") for k in keys[-1:]])
+    return out.select(F.col("_snap").alias("tick"), *keys, "n",
+                      F.array(*[F.col(f"_s1_{i}") for i in range(dims)]).alias("cf1x"),
+                      F.array(*[F.col(f"_s2_{i}") for i in range(dims)]).alias("cf2x"),
+                      "cf1t", "cf2t", "last_tick", ids.alias("ids"))
 
 
 def lineage_pairs(snap1: DataFrame, snap2: DataFrame) -> DataFrame:

@@ -212,3 +212,20 @@ def test_unbounded_model_starts_empty(spark):
     rows = m.model().collect()
     assert sum(r["n"] for r in rows) == pts.where(F.col("tick") <= 3).count()
     assert len(rows) > 2          # no capacity cap
+
+
+def test_blocked_kernels_equal_brute_force():
+    from eddy.operators import nearest as N
+    rng = np.random.default_rng(7)
+    c = np.round(rng.normal(size=(N.BLOCK * 2 + 37, 3)) * 4)        # ties are likely
+    full = N.pair_sq_dist(c)
+    np.fill_diagonal(full, np.inf)
+    for tie in ("first", "last"):
+        pos, best = N.nearest_other_kernel(c, tie)
+        assert np.array_equal(best, full.min(axis=1))
+        for i in range(len(c)):
+            cand = np.nonzero(full[i] == full[i].min())[0]
+            assert pos[i] == (cand[-1] if tie == "last" else cand[0])
+    nz = N.pair_sq_dist(c)
+    nz[nz == 0] = np.inf
+    assert np.array_equal(N.nonzero_min_kernel(c), np.sqrt(nz.min(axis=1)))
