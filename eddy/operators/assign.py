@@ -52,14 +52,15 @@ def collect_model(model: DataFrame, dims: int, order_col: str = "mc_id") -> dict
     return out
 
 
-def _radius(rmsd: np.ndarray, n: np.ndarray, t_factor: float) -> np.ndarray:
+def _radius(rmsd: np.ndarray, n: np.ndarray, t_factor: float, plain: bool = False) -> np.ndarray:
     # in-lier boundary: 2*rmsd for singleton clusters, t_factor*rmsd otherwise
-    return np.where(n == 1, 2.0 * rmsd, t_factor * rmsd)
+    # (plain: t_factor*rmsd for every cluster, the fixed-q variant)
+    return t_factor * rmsd if plain else np.where(n == 1, 2.0 * rmsd, t_factor * rmsd)
 
 
-def make_assign_udf(model: dict, t_factor: float = 2.0):
+def make_assign_udf(model: dict, t_factor: float = 2.0, plain: bool = False):
     ids, centers = model["ids"], model["centers"]
-    radius = _radius(model["rmsd"], model["n"], t_factor)
+    radius = _radius(model["rmsd"], model["n"], t_factor, plain)
 
     @F.pandas_udf(ASSIGN_TYPE)
     def nearest(*cols: pd.Series) -> pd.DataFrame:
@@ -77,12 +78,12 @@ def make_assign_udf(model: dict, t_factor: float = 2.0):
 
 
 def assign_nearest(points: DataFrame, model: DataFrame, dims: int, features: str = "features",
-                   t_factor: float = 2.0, keep_struct: bool = False) -> DataFrame:
+                   t_factor: float = 2.0, keep_struct: bool = False, plain: bool = False) -> DataFrame:
     """Add mc_id, dist and radius of the nearest centroid to every point.
 
     `model` has (mc_id, centroid[, rmsd, n]); its position order is mc_id.
     """
-    udf = make_assign_udf(collect_model(model, dims), t_factor)
+    udf = make_assign_udf(collect_model(model, dims), t_factor, plain)
     assigned = points.withColumn(
         "_a", udf(*[F.col(features)[i] for i in range(dims)]))
     if keep_struct:

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from .cf import drop_empty
 from .nearest import _matrix
 
+MAX_GROUPS = 100_000   # model groups (ticks, runs) handled by one sampling call
+
 # Fixed values of the deterministic draw (shared with the oracle SQL).
 DRAW_MUL_K = 7919
 DRAW_MUL_G = 104729
@@ -53,7 +55,13 @@ def weighted_draws(mcs: DataFrame, group: str, num: int, seed: int) -> DataFrame
              .withColumn("_v", draw_u(F.col("draw"), F.col(group), seed) * F.col("total").cast("double")))
     hit = F.filter("iv", lambda s: s["cum_n"].cast("double") >= F.col("_v"))
     picked = F.coalesce(F.element_at(hit, 1)["mc_id"], F.element_at("iv", 1)["mc_id"])
-    return (draws.join(F.broadcast(intervals.select(group, "iv")), group)
+    # one row per group holding at most q interval ends: fetched with a bound
+    # check and broadcast back
+    iv_rows = intervals.select(group, "iv").limit(MAX_GROUPS + 1).collect()
+    if len(iv_rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} model groups")
+    iv = mcs.sparkSession.createDataFrame(iv_rows, intervals.select(group, "iv").schema)
+    return (draws.join(F.broadcast(iv), group)
             .select(group, "draw", picked.alias("mc_id")))
 
 

@@ -109,10 +109,9 @@ FROM re""")
 def q_fixed_q_split(spark, sf_dir):
     """VAR3 split: in-lier iff dist <= rmsd; else absorbable iff dist <= t_factor*rmsd."""
     pts, model = _ev_model(spark, sf_dir)
-    a = assign_nearest(pts, model, D)
-    # JOI2 threshold lookup: the model has at most q rows
-    a = a.join(F.broadcast(model.select("mc_id", "rmsd")), "mc_id")
-    rmsd, dist = F.col("rmsd"), F.col("dist")
+    # JOI2 threshold lookup folded into the assignment: radius = 1 * rmsd
+    a = assign_nearest(pts, model, D, t_factor=1.0, plain=True)
+    rmsd, dist = F.col("radius"), F.col("dist")
     return a.select("point_id", "tick", "mc_id",
                     F.when(dist <= rmsd, "in").when(dist <= F.lit(2.0) * rmsd, "absorb")
                     .otherwise("new").alias("route"))

@@ -259,16 +259,14 @@ class OnlineModel:
         pts = pts.withColumn("tick", F.lit(t).cast("bigint"))
         if cfg.scaling == "batch":
             pts = pts.withColumn("features", scale)
-        pts = pts.persist()
+        # no cache of the whole tick: the statistics pass and the point pass are
+        # two column-pruned scans, cheaper at scale than materialising the batch
         bid = batch_id if batch_id is not None else self.batch_id + 1
         self.committed = False
-        try:
-            if not self.initialized:
-                self._init_step(pts, t, n, bid)
-            else:
-                self._online_step(pts, t, n, bid)
-        finally:
-            pts.unpersist()
+        if not self.initialized:
+            self._init_step(pts, t, n, bid)
+        else:
+            self._online_step(pts, t, n, bid)
         self.tick = t
         self.total += n
         if not self.committed:                      # init still buffering: commit row alone
