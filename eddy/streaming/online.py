@@ -118,6 +118,7 @@ class OnlineModel:
         self.reports: list[TickReport] = []
         self._skm = None          # streaming k-means init state (k x dims, bounded)
         self._next = None         # collected next-tick model (at most q rows)
+        self._recent: dict[int, list] = {}   # delta rows of the ticks still in the window
         self._resume()
 
     # ------------------------------------------------------------ state I/O
@@ -237,10 +238,14 @@ class OnlineModel:
         out = u.groupBy("model").applyInPandas(fn, STEP_SCHEMA).persist()
         try:
             self._write(out, t)
-            rows = out.where(F.col("kind").isin("next", "meta")).collect()     # bounded by q
+            rows = out.where(F.col("kind").isin("next", "meta", "delta")).collect()   # model-sized
         finally:
             out.unpersist()
         self._next = sorted((r for r in rows if r["kind"] == "next"), key=lambda r: r["mc_id"])
+        # deltas of the ticks that stay in the next window, kept for the next step
+        self._recent[t] = [r for r in rows if r["kind"] == "delta"]
+        for old_t in [k for k in self._recent if k <= t + 1 - cfg.delta]:
+            del self._recent[old_t]
         meta = [r for r in rows if r["kind"] == "meta"]
         self.next_id = max([self.next_id] + [int(r["next_id"]) for r in meta])
         self.committed = True
@@ -287,16 +292,21 @@ class OnlineModel:
 
     def _online_step(self, pts: DataFrame, t: int, n: int, bid: int) -> None:
         cfg = self.cfg
-        if self._next is None:
-            self._load_next(t - 1)        # after a restart
-        nxt = self.read("next", [t - 1]).drop("kind", "tick")
+        lo = max(1, t + 2 - cfg.delta)              # window of the next tick: (t+1-delta, t]
+        if self._next is None:                      # after a restart: reload from the table
+            self._load_next(t - 1)
+            for k in range(lo, t):
+                self._recent[k] = self.read("delta", [k]).select(*STEP_SCHEMA.names).collect()
         passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
                                     cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA,
                                     variant=cfg.variant)
+        # the previous model and the window deltas are model-sized: shipped from
+        # the rows collected at the end of the last tick, not re-listed on disk
+        nxt = self.spark.createDataFrame(self._next, STEP_SCHEMA)
         parts = [self._as_step(nxt, "model"), passed]
         if cfg.remove_expired and cfg.delta > 2:
-            lo = max(1, t + 2 - cfg.delta)          # window of the next tick: (t+1-delta, t]
-            wd = self.read("delta", list(range(lo, t))).withColumn("dtick", F.col("tick"))
+            wd_rows = [r for k in range(lo, t) for r in self._recent.get(k, [])]
+            wd = self.spark.createDataFrame(wd_rows, STEP_SCHEMA)      # dtick = the delta's tick
             parts.append(self._as_step(wd, "wd"))
         self._run_group(parts, t, n, bid)
 
