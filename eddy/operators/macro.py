@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.points import tick_list
 from .cf import drop_empty
 from .nearest import _matrix
 
@@ -163,7 +164,7 @@ def ml_centers(mcs: DataFrame, group: str, k: int, algo: str = "kmeans", seed: i
     from ..config import cut_lineage
     spark = mcs.sparkSession
     data = cut_lineage(_vectors(mcs).select(group, "_v", "_w"))
-    keys = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]   # number of ticks
+    keys = tick_list(data, group)                # number of model groups (ticks)
 
     def fit(key):
         part = data.where(F.col(group) == key)

@@ -14,7 +14,7 @@ from ..operators.nearest import refresh_info
 from ..operators.scale import standardize
 from ..operators.window import window_state
 from ..sources import snapshots as S
-from ..sources.points import parse_points, points_to_text
+from ..sources.points import parse_points, points_to_text, tick_list
 from . import inputs as I
 from .catalog import _with, register
 
@@ -173,7 +173,7 @@ def _saved(spark, sf_dir) -> tuple[DataFrame, int, list[int]]:
     ticks = I.ev_points(spark, sf_dir).select("tick").distinct()
     now = ticks.agg(F.max("tick")).first()[0]
     saved = P.retained(ticks, now, I.ALPHA, I.SMALL_L)
-    return saved, now, sorted(r[0] for r in saved.select("tick").collect())   # O(alpha^l log T) ticks
+    return saved, now, tick_list(saved)          # O(alpha^l log T) ticks
 
 
 @register("pyramid_retained", _with(I.EV_POINTS_SQL, SAVED_SQL) + "SELECT tick, snap_order FROM saved")

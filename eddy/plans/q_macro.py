@@ -11,14 +11,14 @@ from ..operators import macro as M
 from ..operators import pyramid as P
 from ..operators.assign import assign_nearest
 from ..operators.cf import cf_aggregate, cf_sum, drop_empty
-from ..operators.init import U_MOD, U_MUL_DIM, U_MUL_ID, bounding_box, random_centers
+from ..operators.init import bounding_box, random_centers
 from ..operators.merge import macro_merge
 from ..operators.nearest import nearest_other, nonzero_min_dist, refresh_info
 from ..operators.recency import A, B, C, D as DCOEF, P_LOW, recency_keep, recency_stamp
-from ..sources.points import embedding_points, parse_points, points_to_text
+from ..sources.points import embedding_points, parse_points, points_to_text, tick_list
 from . import inputs as I
 from .catalog import LI_INFO_CTES, _with, register
-from .q_events import EV_CF, LI_CF, SAVED_SQL, _cf_cols, _cf_sql_cols
+from .q_events import EV_CF, LI_CF
 
 E_DIMS = 64
 
@@ -167,7 +167,7 @@ def q_offline_sweep(spark, sf_dir):
     """CLU9 (merge path): macro merge of the cumulative snapshot at every tick
     from the start tick on, all ticks in one set of jobs."""
     deltas = I.ev_deltas(spark, sf_dir)
-    ticks = [r[0] for r in deltas.select("tick").distinct().where(F.col("tick") >= SWEEP_START).collect()]
+    ticks = tick_list(deltas.where(F.col("tick") >= SWEEP_START))
     snaps = P.snapshots_at(deltas, ticks, I.EV_DIMS).drop("ids")
     out = macro_merge(snaps, ["tick"], I.EV_DIMS)
     return out.select("tick", "new_cluster_id", "n", *[F.col("centroid")[k].alias(f"center_{k}")

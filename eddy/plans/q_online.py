@@ -13,7 +13,7 @@ from ..operators import pyramid as P
 from ..operators.assign import assign_nearest, split_inliers
 from ..operators.nearest import refresh_info
 from ..operators.scale import pca_project
-from ..sources.points import embedding_points
+from ..sources.points import embedding_points, tick_list
 from ..streaming.online import OnlineModel, replay, run_stream
 from ..streaming.outliers import compact_outliers
 from . import inputs as I
@@ -65,7 +65,7 @@ def q_file_stream(spark, sf_dir):
     src = f"{base}/source"
     # one file per tick: the file stream replays them in name order
     pts.repartition("tick").write.partitionBy("tick").parquet(f"{base}/by-tick")
-    ticks = sorted(r[0] for r in pts.select("tick").distinct().collect())
+    ticks = tick_list(pts)
     for t in ticks:
         (spark.read.parquet(f"{base}/by-tick").where(F.col("tick") == t).drop("tick").coalesce(1)
          .write.mode("append").parquet(src))

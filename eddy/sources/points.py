@@ -59,6 +59,14 @@ def day_ticks(days: DataFrame, day_col: str = "day") -> DataFrame:
     return F.broadcast(ranked)
 
 
+def tick_list(df: DataFrame, col: str = "tick") -> list[int]:
+    """Sorted distinct ticks of a frame (bounded by MAX_TICKS, checked)."""
+    rows = df.select(col).distinct().orderBy(col).limit(MAX_TICKS + 1).collect()
+    if len(rows) > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} ticks")
+    return [int(r[0]) for r in rows]
+
+
 def events_points(spark: SparkSession, sf_dir: str, with_type: bool = False) -> DataFrame:
     """[cents of value, hour of ts]; point_id = event_id; tick = day rank."""
     ev = table(spark, sf_dir, "events")

@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ModelConfig, ensure_checkpoint_dir
-from ..operators.assign import assign_nearest, make_assign_udf, split_inliers
+from ..operators.assign import assign_nearest, make_assign_udf
 from ..operators.cf import cf_aggregate
 from ..operators.init import bounding_box, random_centers
 from ..operators.pyramid import _powers
+from ..sources.points import tick_list
 from .model_step import STEP_SCHEMA, step_group
 from .outliers import assign_and_compact
 
@@ -411,7 +412,7 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
     """STR1 batch replay: feed the ticks of a static table in order."""
     model = OnlineModel(spark, cfg, f"{path}/model", unbounded=unbounded)
     bucketed = bucket_by_tick(points, f"{path}/points")
-    ticks = sorted(r[0] for r in bucketed.select("tick").distinct().collect())   # bounded tick list
+    ticks = tick_list(bucketed)
     if max_ticks is not None:
         ticks = ticks[:max_ticks]
     for i, t in enumerate(ticks):
