@@ -107,7 +107,7 @@ class TickReport:
 
 
 class OnlineModel:
-    """A CluStream-style model kept as a table under `path`."""
+    """An online micro-cluster model kept as a table under `path`."""
 
     def __init__(self, spark: SparkSession, cfg: ModelConfig, path: str, model_key: int = 0,
                  unbounded: bool = False):
