@@ -47,14 +47,30 @@ META_SCHEMA = T.StructType([
 ])
 
 
-def batch_scale(pts: DataFrame, dims: int):
-    """Count and per-dimension z-score of one batch, from exact sums in one
-    aggregate; returns (n, column expression). Sample std; 0 when constant."""
+def _scale_aggs(dims: int) -> list:
     aggs = [F.count(F.lit(1)).alias("n")]
     for d in range(dims):
         x = F.col("features")[d]
         aggs += [F.sum(x).alias(f"a{d}"), F.sum(x * x).alias(f"b{d}")]
-    row = pts.agg(*aggs).first()
+    return aggs
+
+
+def tick_sums(points: DataFrame, dims: int) -> dict:
+    """Count and exact sums per tick for a whole replay in one aggregate (one
+    row per tick, bounded like the tick list)."""
+    from ..sources.points import MAX_TICKS
+    rows = points.groupBy("tick").agg(*_scale_aggs(dims)).limit(MAX_TICKS + 1).collect()
+    if len(rows) > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} ticks")
+    return {int(r["tick"]): r for r in rows}
+
+
+def batch_scale(pts: DataFrame, dims: int, row=None):
+    """Count and per-dimension z-score of one batch, from exact sums in one
+    aggregate (or the precomputed row); returns (n, column expression).
+    Sample std; 0 when constant."""
+    if row is None:
+        row = pts.agg(*_scale_aggs(dims)).first()
     n = int(row["n"])
     if n == 0:
         return 0, None
@@ -251,14 +267,16 @@ class OnlineModel:
         self.next_id = max([self.next_id] + [int(r["next_id"]) for r in meta])
         self.committed = True
 
-    def step(self, batch: DataFrame, batch_id: int | None = None) -> TickReport | None:
-        """Process one batch of (point_id, features). Empty batches give no tick."""
+    def step(self, batch: DataFrame, batch_id: int | None = None, sums=None) -> TickReport | None:
+        """Process one batch of (point_id, features). Empty batches give no tick.
+        `sums` is the batch's precomputed count/sums row (replay), else one
+        aggregate over the batch computes it."""
         cfg = self.cfg
         if batch_id is not None and batch_id <= self.batch_id:
             return None                                   # already committed
         t0 = time.time()
         pts = batch.select(F.col("point_id").cast("bigint").alias("point_id"), "features")
-        n, scale = batch_scale(pts, cfg.dims)          # one aggregate: FLT4 guard + PRJ1 statistics
+        n, scale = batch_scale(pts, cfg.dims, sums)    # FLT4 guard + PRJ1 statistics
         if n == 0:
             return None
         t = self.tick + 1
@@ -412,11 +430,12 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
     """STR1 batch replay: feed the ticks of a static table in order."""
     model = OnlineModel(spark, cfg, f"{path}/model", unbounded=unbounded)
     bucketed = bucket_by_tick(points, f"{path}/points")
-    ticks = tick_list(bucketed)
+    sums = tick_sums(bucketed, cfg.dims)          # every tick's statistics in one job
+    ticks = sorted(sums)
     if max_ticks is not None:
         ticks = ticks[:max_ticks]
     for i, t in enumerate(ticks):
-        model.step(bucketed.where(F.col("tick") == t).drop("tick"), batch_id=i)
+        model.step(bucketed.where(F.col("tick") == t).drop("tick"), batch_id=i, sums=sums[t])
     return model
 
 
