@@ -35,16 +35,31 @@ def ev_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_points(spark, sf_dir)
 
 
-def centers_for(spark: SparkSession, points: DataFrame, q: int, dims: int) -> DataFrame:
-    return random_centers(spark, q, bounding_box(points, dims), SEED)
+def centers_for(spark: SparkSession, points: DataFrame, q: int, dims: int, box=None) -> DataFrame:
+    return random_centers(spark, q, box if box is not None else bounding_box(points, dims), SEED)
 
 
 def li_centers(spark, sf_dir):
     return centers_for(spark, li_points(spark, sf_dir), LI_Q, LI_DIMS)
 
 
+def ev_points_box(spark: SparkSession, sf_dir: str):
+    """Events points and their bounding box from the same per-day aggregate."""
+    return events_points(spark, sf_dir, with_box=True)
+
+
+def ev_ticks(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Ticks of the events stream: 1..number of distinct days (one aggregate)."""
+    from ..sources.points import MAX_TICKS, table
+    n = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct().count()
+    if n > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} distinct days")
+    return list(range(1, n + 1))
+
+
 def ev_centers(spark, sf_dir):
-    return centers_for(spark, ev_points(spark, sf_dir), EV_Q, EV_DIMS)
+    pts, box = ev_points_box(spark, sf_dir)
+    return centers_for(spark, pts, EV_Q, EV_DIMS, box)
 
 
 def li_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +71,8 @@ def li_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick deltas of the events stream against the fixed centroids."""
-    pts = ev_points(spark, sf_dir)
-    cen = centers_for(spark, pts, EV_Q, EV_DIMS)
+    pts, box = ev_points_box(spark, sf_dir)
+    cen = centers_for(spark, pts, EV_Q, EV_DIMS, box)
     return cf_aggregate(assign_nearest(pts, cen, EV_DIMS), ["tick", "mc_id"], EV_DIMS)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import work_dir
+from ..config import cut_lineage, work_dir
 from ..operators import pyramid as P
 from ..operators.assign import assign_nearest, split_inliers
 from ..operators.cf import cf_aggregate, cf_sum, tick_totals
@@ -70,15 +70,15 @@ def q_scale_batch(spark, sf_dir):
           + "SELECT pid AS point_id, tick, mc_id, dist FROM easg")
 def q_assign_nearest(spark, sf_dir):
     """JOI1/JOI2/PRJ6/ORD2: nearest of the fixed centroids for every event point."""
-    pts = I.ev_points(spark, sf_dir)
-    a = assign_nearest(pts, I.centers_for(spark, pts, I.EV_Q, D), D)
+    pts, box = I.ev_points_box(spark, sf_dir)
+    a = assign_nearest(pts, I.centers_for(spark, pts, I.EV_Q, D, box), D)
     return a.select("point_id", "tick", "mc_id", "dist")
 
 
 def _ev_model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The events model: CF of all points per fixed centroid, with centroid/RMSD."""
-    pts = I.ev_points(spark, sf_dir)
-    cen = I.centers_for(spark, pts, I.EV_Q, D)
+    pts, box = I.ev_points_box(spark, sf_dir)
+    cen = I.centers_for(spark, pts, I.EV_Q, D, box)
     cf = cf_aggregate(assign_nearest(pts, cen, D).withColumn("g", F.lit(0)), ["g", "mc_id"], D)
     return pts, refresh_info(cf, ["g"], D)
 
@@ -169,9 +169,12 @@ saved AS (SELECT o.tick, o.snap_order FROM ordered o, now_t
           WHERE o.tick + {I.ALPHA ** I.SMALL_L + 1} * CAST(pow({I.ALPHA}, o.snap_order + 1) AS BIGINT) > now_t.now)"""
 
 
-def _saved(spark, sf_dir) -> tuple[DataFrame, int, list[int]]:
-    ticks = I.ev_points(spark, sf_dir).select("tick").distinct()
-    now = ticks.agg(F.max("tick")).first()[0]
+def _saved(spark, sf_dir, deltas: DataFrame | None = None) -> tuple[DataFrame, int, list[int]]:
+    """Kept snapshot ticks at the last tick. The tick list comes from the
+    model-sized deltas (every non-empty tick has one), not from the raw table."""
+    all_ticks = tick_list(deltas) if deltas is not None else I.ev_ticks(spark, sf_dir)
+    ticks = spark.createDataFrame([(t,) for t in all_ticks], "tick bigint")
+    now = max(all_ticks)
     saved = P.retained(ticks, now, I.ALPHA, I.SMALL_L)
     return saved, now, tick_list(saved)          # O(alpha^l log T) ticks
 
@@ -231,8 +234,8 @@ WHERE a.tick = pair.t1""")
 def q_horizon_cf(spark, sf_dir):
     """STR9/JOI7/SET1: model of the last h ticks at the last tick, by
     subtracting the lineage of snapshot t2 from snapshot t1."""
-    saved, now, saved_list = _saved(spark, sf_dir)
-    deltas = I.ev_deltas(spark, sf_dir)
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))          # model-sized, reused below
+    saved, now, saved_list = _saved(spark, sf_dir, deltas)
     req = spark.range(1).select(F.lit(now).cast("bigint").alias("tc"))
     t1, t2 = P.snapshot_pair(req, saved, I.HORIZON).select("t1", "t2").first()
     snaps = P.snapshots_at(deltas, [t1, t2], D)
@@ -246,8 +249,9 @@ def q_horizon_cf(spark, sf_dir):
           + "SELECT tick, mc_id, s1_0 / n AS center_0, s1_1 / n AS center_1 FROM snap WHERE n > 0")
 def q_online_centers(spark, sf_dir):
     """STR12/PRJ4/SRC9: centers of every kept snapshot."""
-    _saved_df, _now, ticks = _saved(spark, sf_dir)
-    snaps = P.snapshots_at(I.ev_deltas(spark, sf_dir), ticks, D)
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))
+    _saved_df, _now, ticks = _saved(spark, sf_dir, deltas)
+    snaps = P.snapshots_at(deltas, ticks, D)
     c = S.centers(snaps)
     return c.select("tick", "mc_id", *[F.col("center")[d].alias(f"center_{d}") for d in range(D)])
 
@@ -264,8 +268,9 @@ FROM snap""")
 def q_snapshot_report(spark, sf_dir):
     """SRC10: one text line per micro-cluster of every kept snapshot, plus the
     snapshot's total n."""
-    _saved_df, _now, ticks = _saved(spark, sf_dir)
-    snaps = P.snapshots_at(I.ev_deltas(spark, sf_dir), ticks, D)
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))
+    _saved_df, _now, ticks = _saved(spark, sf_dir, deltas)
+    snaps = P.snapshots_at(deltas, ticks, D)
     return S.report(snaps).select("tick", "mc_id", "n", "line", "snapshot_n")
 
 
@@ -279,8 +284,8 @@ UNION ALL SELECT 'window' AS kind, {_cf_sql_cols(D, 'win')} FROM win""")
 def q_snapshot_roundtrip(spark, sf_dir):
     """SRC5-SRC8: cumulative and window snapshots written partitioned by
     (kind, tick) under the shared checkpoint folder, then read back."""
-    _saved_df, now, ticks = _saved(spark, sf_dir)
-    deltas = I.ev_deltas(spark, sf_dir)
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))
+    _saved_df, now, ticks = _saved(spark, sf_dir, deltas)
     cum = P.snapshots_at(deltas, ticks, D).drop("ids")
     win = window_state(deltas, I.EV_DELTA, D, now, ends=ticks)
     path = work_dir(spark, "snapshots")

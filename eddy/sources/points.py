@@ -67,8 +67,16 @@ def tick_list(df: DataFrame, col: str = "tick") -> list[int]:
     return [int(r[0]) for r in rows]
 
 
-def events_points(spark: SparkSession, sf_dir: str, with_type: bool = False) -> DataFrame:
-    """[cents of value, hour of ts]; point_id = event_id; tick = day rank."""
+EV_DIMS = 2
+
+
+def events_points(spark: SparkSession, sf_dir: str, with_type: bool = False, with_box: bool = False):
+    """[cents of value, hour of ts]; point_id = event_id; tick = day rank.
+
+    One aggregate per day (bounded by the calendar) yields both the day ranks
+    and the per-dimension min/max, so the bounding box of the stream costs no
+    extra scan. With with_box=True returns (points, box).
+    """
     ev = table(spark, sf_dir, "events")
     cols = [
         F.col("event_id").alias("point_id"),
@@ -78,8 +86,19 @@ def events_points(spark: SparkSession, sf_dir: str, with_type: bool = False) ->
     if with_type:
         cols.append(F.col("event_type"))
     base = ev.select(*cols)
-    ticks = day_ticks(base)
-    return base.join(ticks, "day").drop("day")
+    aggs = []
+    for d in range(EV_DIMS):
+        aggs += [F.min(F.col("features")[d]).alias(f"lo{d}"), F.max(F.col("features")[d]).alias(f"hi{d}")]
+    rows = base.groupBy("day").agg(*aggs).orderBy("day").limit(MAX_TICKS + 1).collect()
+    if len(rows) > MAX_TICKS:
+        raise ValueError(f"more than {MAX_TICKS} distinct days")
+    schema = T.StructType([base.schema["day"], T.StructField("tick", T.LongType())])
+    ranked = spark.createDataFrame([(r["day"], i + 1) for i, r in enumerate(rows)], schema)
+    pts = base.join(F.broadcast(ranked), "day").drop("day")
+    if not with_box:
+        return pts
+    box = [(min(r[f"lo{d}"] for r in rows), max(r[f"hi{d}"] for r in rows)) for d in range(EV_DIMS)]
+    return pts, box
 
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
