@@ -15,6 +15,10 @@ from ..functions.vectors import dim_sums, pack
 
 CF_COLS = ["n", "cf1x", "cf2x", "cf1t", "cf2t", "last_tick"]
 
+# Above this dimension one `sum` per dimension makes a generated method too
+# large for codegen; wide vectors are summed in long form instead.
+WIDE_DIMS = 16
+
 
 def cf_aggregate(assigned: DataFrame, keys: list[str], dims: int, features: str = "features",
                  tick: str = "tick") -> DataFrame:
@@ -22,6 +26,8 @@ def cf_aggregate(assigned: DataFrame, keys: list[str], dims: int, features: str
     time sums. One `sum` per dimension keeps the whole thing in codegen."""
     sq = F.transform(features, lambda x: x * x)
     t = F.col(tick).cast("bigint")
+    if dims > WIDE_DIMS:
+        return _cf_aggregate_wide(assigned, keys, features, sq, t)
     agg = (assigned
            .select(*keys, F.col(features).alias("_x"), sq.alias("_x2"), t.alias("_t"))
            .groupBy(*keys)
@@ -35,6 +41,21 @@ def cf_aggregate(assigned: DataFrame, keys: list[str], dims: int, features: str
                       "cf1t", "cf2t", "last_tick")
 
 
+def _cf_aggregate_wide(assigned: DataFrame, keys: list[str], features: str, sq, t) -> DataFrame:
+    """Wide vectors: exploded to (key, dimension, x) and summed per (key,
+    dimension) with map-side partial aggregation (exact, in codegen), then the
+    key x dims result (model-sized) is regrouped into arrays."""
+    e = assigned.select(*keys, t.alias("_t"), F.posexplode(features).alias("_d", "_x"))
+    per_dim = e.groupBy(*keys, "_d").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_x").alias("_s1"), F.sum(F.col("_x") * F.col("_x")).alias("_s2"),
+        F.sum("_t").alias("cf1t"), F.sum(F.col("_t") * F.col("_t")).alias("cf2t"), F.max("_t").alias("last_tick"))
+    agg = per_dim.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_d", "_s1", "_s2"))).alias("_v"),
+        F.max("cf1t").alias("cf1t"), F.max("cf2t").alias("cf2t"), F.max("last_tick").alias("last_tick"))
+    return agg.select(*keys, "n", F.transform("_v", lambda r: r["_s1"]).alias("cf1x"),
+                      F.transform("_v", lambda r: r["_s2"]).alias("cf2x"), "cf1t", "cf2t", "last_tick")
+
+
 def cf_sum(cf: DataFrame, keys: list[str], dims: int, ids: bool = False) -> DataFrame:
     """Fold CF rows by key (JOI10 upsert, AGG2, AGG4): sums, max of last_tick.
     With ids=True also concatenates the lineage id arrays sorted (AGG8)."""
