@@ -129,11 +129,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_count(df: DataFrame, bound: int, what: str) -> int:
-    """Count a small derived table and fail loudly if it exceeds its bound."""
-    n = df.count()
-    if n > bound:
-        raise ValueError(f"{what}: {n} rows exceed the bound {bound}")
-    return n

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..config import ModelConfig, ensure_checkpoint_dir
 from ..operators.assign import assign_nearest, make_assign_udf
 from ..operators.cf import cf_aggregate
-from ..operators.init import bounding_box, random_centers
+from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
 from ..sources.points import tick_list
 from .model_step import STEP_SCHEMA, step_group
@@ -342,8 +342,10 @@ class OnlineModel:
             self._run_group([self._as_step(empty, "model"), passed], t, n, bid)
             return
         if cfg.init_mode == "random" or cfg.min_init_points == 0:
-            box = [(0.0, 1.0)] * cfg.dims if cfg.scaling == "batch" else bounding_box(pts, cfg.dims)
-            centers = random_centers(self.spark, cfg.q, box, cfg.seed)
+            if cfg.scaling == "batch":       # standardised data: the unit cube, as the reference
+                centers = unit_centers(self.spark, cfg.q, cfg.dims, cfg.seed)
+            else:
+                centers = random_centers(self.spark, cfg.q, bounding_box(pts, cfg.dims), cfg.seed)
             self._init_with(centers, pts, t, n, bid)
         elif cfg.init_mode == "kmeans":
             self._buffer(pts, t)

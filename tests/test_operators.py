@@ -229,3 +229,39 @@ def test_blocked_kernels_equal_brute_force():
     nz = N.pair_sq_dist(c)
     nz[nz == 0] = np.inf
     assert np.array_equal(N.nonzero_min_kernel(c), np.sqrt(nz.min(axis=1)))
+
+
+def test_vector_column_expressions(spark):
+    from eddy.functions import vectors as V
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [0.0, 2.0, 5.0], 2)], "a array<double>, b array<double>, n bigint")
+    r = df.select(V.vadd("a", "b").alias("add"), V.vsub("a", "b").alias("sub"), V.vscale("a", 2.0).alias("sc"),
+                  V.sq_dist("a", "b").alias("d2"), V.vsum("a").alias("s"), V.centroid("a", "n").alias("c"),
+                  V.rmsd_multi("a", "b", "n").alias("r"), *V.unpack("a", 3)).first()
+    assert list(r["add"]) == [1.0, 4.0, 8.0] and list(r["sub"]) == [1.0, 0.0, -2.0]
+    assert list(r["sc"]) == [2.0, 4.0, 6.0] and r["d2"] == 5.0 and r["s"] == 6.0
+    assert list(r["c"]) == [0.5, 1.0, 1.5] and r["a_2"] == 3.0
+    assert r["r"] == math.sqrt(max(7.0 / 2 - 14.0 / 4, 0.0))
+
+
+def test_vertices_and_single_tick_window(spark):
+    from eddy.operators.graph import vertices
+    from eddy.operators.window import window_state_at
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "g bigint, src bigint, dst bigint")
+    assert sorted(r["v"] for r in vertices(edges, ["g"]).collect()) == [1, 2, 3]
+    deltas = spark.createDataFrame(
+        [(t, 7, 1, [float(t)], [float(t * t)], t, t * t, t) for t in range(1, 6)],
+        "tick bigint, mc_id bigint, n bigint, cf1x array<double>, cf2x array<double>, cf1t bigint, cf2t bigint, "
+        "last_tick bigint")
+    w = window_state_at(deltas, tc=5, delta=3, dims=1).first()
+    assert w["n"] == 3 and list(w["cf1x"]) == [12.0] and w["last_tick"] == 5
+
+
+def test_centers_sink_writes_lines(spark):
+    from eddy.config import work_dir
+    from eddy.sources.snapshots import centers, write_centers
+    snaps = spark.createDataFrame([(3, 1, 2, [4.0, 6.0]), (3, 2, 0, [0.0, 0.0])],
+                                  "tick bigint, mc_id bigint, n bigint, cf1x array<double>")
+    path = work_dir(spark, "test-centers")
+    write_centers(centers(snaps), path, run=4)
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert lines == ["2.0,3.0_4"]
