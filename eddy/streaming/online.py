@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import dataclasses
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
@@ -136,6 +137,8 @@ class OnlineModel:
         self._skm = None          # streaming k-means init state (k x dims, bounded)
         self._next = None         # collected next-tick model (at most q rows)
         self._recent: dict[int, list] = {}   # delta rows of the ticks still in the window
+        self._writer = ThreadPoolExecutor(max_workers=1)
+        self._pending = None
         self._resume()
 
     # ------------------------------------------------------------ state I/O
@@ -163,6 +166,7 @@ class OnlineModel:
 
     def read(self, kind: str, ticks=None) -> DataFrame:
         """Partition read by path (no listing of the whole state table)."""
+        self.flush()
         if ticks is None:
             df = self.spark.read.option("basePath", self.state_path).parquet(f"{self.state_path}/kind={kind}")
         else:
@@ -182,12 +186,25 @@ class OnlineModel:
         self.next_id, self.batch_id = int(meta["next_id"]), int(meta["batch_id"])
         self.initialized = bool(meta["initialized"])
 
+    def _write_and_release(self, out: DataFrame, t: int) -> None:
+        try:
+            self._write(out, t)
+        finally:
+            out.unpersist()
+
+    def flush(self) -> None:
+        """Wait for the pending tick write (re-raises its failure)."""
+        if self._pending is not None:
+            pending, self._pending = self._pending, None
+            pending.result()
+
     def _write(self, rows: DataFrame, t: int) -> None:
         (rows.withColumn("tick", F.lit(t).cast("bigint"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("kind", "tick").parquet(self.state_path))
 
     def _commit(self, t: int, batch_id: int) -> None:
+        self.flush()
         row = {f.name: None for f in STEP_SCHEMA.fields}
         row.update(kind="meta", model=self.key, dtick=t, total_n=self.total, next_id=self.next_id,
                    batch_id=batch_id, initialized=self.initialized)
@@ -196,6 +213,8 @@ class OnlineModel:
         self.batch_id = batch_id
 
     def _retain(self, t: int) -> None:
+        # partitions dropped here belong to ticks whose writes have finished
+        # (each write waits for the previous one)
         # pyramidal retention of the model snapshots (STR7) and old 'next' models
         bye = dropped_snapshot(t, self.cfg.alpha, self.cfg.l)
         if bye is not None:
@@ -254,10 +273,14 @@ class OnlineModel:
             u = u.unionByName(p)
         out = u.groupBy("model").applyInPandas(fn, STEP_SCHEMA).persist()
         try:
-            self._write(out, t)
             rows = out.where(F.col("kind").isin("next", "meta", "delta")).collect()   # model-sized
-        finally:
+        except Exception:
             out.unpersist()
+            raise
+        # the next tick needs only these rows: the write of this tick overlaps
+        # the next tick's point pass (one writer, commits stay in tick order)
+        self.flush()
+        self._pending = self._writer.submit(self._write_and_release, out, t)
         self._next = sorted((r for r in rows if r["kind"] == "next"), key=lambda r: r["mc_id"])
         # deltas of the ticks that stay in the next window, kept for the next step
         self._recent[t] = [r for r in rows if r["kind"] == "delta"]
@@ -438,6 +461,7 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
         ticks = ticks[:max_ticks]
     for i, t in enumerate(ticks):
         model.step(bucketed.where(F.col("tick") == t).drop("tick"), batch_id=i, sums=sums[t])
+    model.flush()
     return model
 
 
@@ -455,11 +479,13 @@ def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType, cfg:
 
     def each(df: DataFrame, batch_id: int) -> None:
         model.step(df, batch_id=batch_id)
+        model.flush()      # the engine commits the batch when this returns: the tick must be on disk
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/stream-checkpoint")
     writer = writer.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else writer.trigger(availableNow=True)
     q = writer.start()
     q.awaitTermination()
+    model.flush()
     return model
 
 
