@@ -139,6 +139,7 @@ class OnlineModel:
         self._recent: dict[int, list] = {}   # delta rows of the ticks still in the window
         self._writer = ThreadPoolExecutor(max_workers=1)
         self._pending = None
+        self.model_size = 0
         self._resume()
 
     # ------------------------------------------------------------ state I/O
@@ -274,6 +275,7 @@ class OnlineModel:
         out = u.groupBy("model").applyInPandas(fn, STEP_SCHEMA).persist()
         try:
             rows = out.where(F.col("kind").isin("next", "meta", "delta")).collect()   # model-sized
+            size = out.where(F.col("kind") == "model").count()
         except Exception:
             out.unpersist()
             raise
@@ -288,6 +290,7 @@ class OnlineModel:
             del self._recent[old_t]
         meta = [r for r in rows if r["kind"] == "meta"]
         self.next_id = max([self.next_id] + [int(r["next_id"]) for r in meta])
+        self.model_size = size
         self.committed = True
 
     def step(self, batch: DataFrame, batch_id: int | None = None, sums=None) -> TickReport | None:
@@ -321,7 +324,7 @@ class OnlineModel:
         else:
             self.batch_id = bid
         self._retain(t)
-        clusters = len(self._next) if self.initialized else 0
+        clusters = self.model_size if self.initialized else 0
         rep = TickReport(t, n, self.total, clusters, time.time() - t0)
         self.reports.append(rep)
         return rep
