@@ -119,34 +119,47 @@ def lineage_pairs(snap1: DataFrame, snap2: DataFrame) -> DataFrame:
 def horizon(snap1: DataFrame, snap2: DataFrame, t1: int, t2: int, h: int, dims: int) -> DataFrame:
     """STR9: the model of the last h ticks = snapshot t1 minus its lineage in t2.
 
-    Related t2 clusters are subtracted in mc_id order while n stays >= 0 (a
-    prefix rule); no subtraction when t1 - h < t2. ids become the set
-    difference (new_ids), the original ids are kept.
+    For each t1 cluster, the related t2 clusters (JOI7) are visited in mc_id
+    order and each is subtracted when n stays >= 0 afterwards (the sequential
+    rule), as one higher-order `aggregate` over the cluster's sorted relation
+    array (bounded by its lineage), JVM-side. No subtraction when t1 - h < t2.
+    ids keep their value; new_ids is the set difference (SET1).
     """
-    base = snap1
     if t1 - h < t2:
-        return base.withColumn("new_ids", F.col("ids"))
+        return snap1.withColumn("new_ids", F.col("ids"))
     pairs = lineage_pairs(snap1, snap2)
     s2 = snap2.select(F.col("mc_id").alias("mc2"), F.col("n").alias("n2"), F.col("cf1x").alias("x1"),
                       F.col("cf2x").alias("x2"), F.col("cf1t").alias("t1s"), F.col("cf2t").alias("t2s"),
                       F.col("ids").alias("ids2"))
-    rel = pairs.join(s2, "mc2").join(snap1.select(F.col("mc_id").alias("mc1"), F.col("n").alias("n1")), "mc1")
-    w = Window.partitionBy("mc1").orderBy("mc2").rowsBetween(Window.unboundedPreceding, 0)
-    rel = rel.withColumn("_run", F.sum("n2").over(w)).where(F.col("_run") <= F.col("n1"))
-    sub = rel.groupBy("mc1").agg(
-        F.sum("n2").alias("n2"),
-        *[F.sum(F.col("x1")[i]).alias(f"_a{i}") for i in range(dims)],
-        *[F.sum(F.col("x2")[i]).alias(f"_b{i}") for i in range(dims)],
-        F.sum("t1s").alias("t1s"), F.sum("t2s").alias("t2s"),
-        F.array_distinct(F.flatten(F.collect_list("ids2"))).alias("ids2"))
-    j = base.join(sub, base.mc_id == sub.mc1, "left")
-    hit = F.col("mc1").isNotNull()
+    rel = (pairs.join(s2, "mc2")
+           .groupBy("mc1").agg(F.array_sort(F.collect_list(
+               F.struct("mc2", "n2", "x1", "x2", "t1s", "t2s", "ids2"))).alias("rel")))
+    j = snap1.join(rel, snap1.mc_id == rel.mc1, "left").withColumn(
+        "rel", F.coalesce(F.col("rel"), F.filter(F.array(), lambda r: F.lit(False)).cast(rel.schema["rel"].dataType)))
+    none = F.filter("rel", lambda r: F.lit(False))                      # empty, typed
+    start = F.struct(F.col("n").alias("rem"), none.alias("picked"))
+    acc = F.aggregate("rel", start, lambda a, r: F.when(
+        a["rem"] - r["n2"] >= 0,
+        F.struct((a["rem"] - r["n2"]).alias("rem"), F.concat(a["picked"], F.array(r)).alias("picked"))
+    ).otherwise(a))
+    j = j.withColumn("_picked", acc["picked"])
+    p = F.col("_picked")
+    zero = F.array(*[F.lit(0.0)] * dims)
+
+    def vsum(field):
+        return F.aggregate(p, zero, lambda a, r: F.zip_with(a, r[field], lambda u, v: u + v))
+
+    def lsum(field):
+        return F.aggregate(p, F.lit(0).cast("bigint"), lambda a, r: a + r[field])
+
+    hit = F.size(p) > 0
+    ids2 = F.flatten(F.transform(p, lambda r: r["ids2"]))
     return j.select(
         "mc_id",
-        F.when(hit, F.col("n") - F.col("n2")).otherwise(F.col("n")).alias("n"),
-        F.when(hit, F.array(*[F.col("cf1x")[i] - F.col(f"_a{i}") for i in range(dims)])).otherwise(F.col("cf1x")).alias("cf1x"),
-        F.when(hit, F.array(*[F.col("cf2x")[i] - F.col(f"_b{i}") for i in range(dims)])).otherwise(F.col("cf2x")).alias("cf2x"),
-        F.when(hit, F.col("cf1t") - F.col("t1s")).otherwise(F.col("cf1t")).alias("cf1t"),
-        F.when(hit, F.col("cf2t") - F.col("t2s")).otherwise(F.col("cf2t")).alias("cf2t"),
+        (F.col("n") - lsum("n2")).alias("n"),
+        F.when(hit, F.zip_with("cf1x", vsum("x1"), lambda u, v: u - v)).otherwise(F.col("cf1x")).alias("cf1x"),
+        F.when(hit, F.zip_with("cf2x", vsum("x2"), lambda u, v: u - v)).otherwise(F.col("cf2x")).alias("cf2x"),
+        (F.col("cf1t") - lsum("t1s")).alias("cf1t"),
+        (F.col("cf2t") - lsum("t2s")).alias("cf2t"),
         "last_tick", "ids",
-        F.when(hit, F.array_except("ids", "ids2")).otherwise(F.col("ids")).alias("new_ids"))
+        F.when(hit, F.array_except("ids", ids2)).otherwise(F.col("ids")).alias("new_ids"))

@@ -265,3 +265,18 @@ def test_centers_sink_writes_lines(spark):
     write_centers(centers(snaps), path, run=4)
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert lines == ["2.0,3.0_4"]
+
+
+def test_horizon_subtracts_related_clusters_sequentially(spark):
+    schema = ("mc_id bigint, n bigint, cf1x array<double>, cf2x array<double>, cf1t bigint, cf2t bigint, "
+              "last_tick bigint, ids array<bigint>")
+    snap1 = spark.createDataFrame([(1, 10, [10.0], [10.0], 10, 10, 9, [1, 2, 3]), (4, 2, [2.0], [2.0], 2, 2, 9, [4])],
+                                  schema)
+    snap2 = spark.createDataFrame([(1, 6, [6.0], [6.0], 6, 6, 3, [1]), (2, 5, [5.0], [5.0], 5, 5, 3, [2]),
+                                   (3, 3, [3.0], [3.0], 3, 3, 3, [3])], schema)
+    out = {r["mc_id"]: r for r in P.horizon(snap1, snap2, 9, 3, 5, 1).collect()}
+    # 10 - 6 = 4; 5 does not fit; 4 - 3 = 1
+    assert out[1]["n"] == 1 and list(out[1]["cf1x"]) == [1.0] and sorted(out[1]["new_ids"]) == [2]
+    assert out[4]["n"] == 2 and list(out[4]["new_ids"]) == [4]
+    same = {r["mc_id"]: r["n"] for r in P.horizon(snap1, snap2, 9, 6, 5, 1).collect()}
+    assert same == {1: 10, 4: 2}          # t1 - h < t2: nothing is subtracted
