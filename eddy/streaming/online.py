@@ -272,7 +272,9 @@ class OnlineModel:
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p)
-        out = u.groupBy("model").applyInPandas(fn, STEP_SCHEMA).persist()
+        # one OnlineModel is one model group: one partition, whatever the
+        # session's shuffle partitions (a cached plan is not coalesced by AQE)
+        out = u.repartition(1, "model").groupBy("model").applyInPandas(fn, STEP_SCHEMA).persist()
         try:
             rows = out.where(F.col("kind").isin("next", "meta", "delta")).collect()   # model-sized
             size = out.where(F.col("kind") == "model").count()
