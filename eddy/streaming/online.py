@@ -36,6 +36,7 @@ from ..operators.assign import assign_nearest, make_assign_udf
 from ..operators.cf import cf_aggregate
 from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
+from ..sources import fs
 from ..sources.points import tick_list
 from .model_step import STEP_SCHEMA, step_group
 from .outliers import assign_and_compact
@@ -147,23 +148,14 @@ class OnlineModel:
     def state_path(self) -> str:
         return f"{self.path}/state"
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.state_path)
-        return jvm, p.getFileSystem(conf)
-
     def _exists(self) -> bool:
-        jvm, fs = self._fs()
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/kind=meta"))
+        return fs.exists(self.spark, f"{self.state_path}/kind=meta")
 
     def _drop_partition(self, kind: str, tick: int) -> None:
-        jvm, fs = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/kind={kind}/tick={tick}"), True)
+        fs.delete(self.spark, f"{self.state_path}/kind={kind}/tick={tick}")
 
     def _part_exists(self, kind: str, tick: int) -> bool:
-        jvm, fs = self._fs()
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/kind={kind}/tick={tick}"))
+        return fs.exists(self.spark, f"{self.state_path}/kind={kind}/tick={tick}")
 
     def read(self, kind: str, ticks=None) -> DataFrame:
         """Partition read by path (no listing of the whole state table)."""
