@@ -37,7 +37,6 @@ from ..operators.cf import cf_aggregate
 from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
 from ..sources import fs
-from ..sources.points import tick_list
 from .model_step import STEP_SCHEMA, step_group
 from .outliers import assign_and_compact
 
