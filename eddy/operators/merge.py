@@ -88,13 +88,21 @@ def near_edges(info: DataFrame, group: list[str], dims: int) -> DataFrame:
             .select(*group, F.col("mc_id").alias("src"), F.col("near_id").alias("dst")))
 
 
-def macro_merge(mcs: DataFrame, group: list[str], dims: int) -> DataFrame:
+def macro_merge(mcs: DataFrame, group: list[str], dims: int, max_clusters: int | None = None) -> DataFrame:
     """CLU8: n > 0 -> RMSD -> near edges -> components -> group sums -> centroids.
 
     Returns (group, new_cluster_id, n, cf1x, centroid); new_cluster_id is the
     smallest member id of the component, or the micro-cluster's own id.
+    PRJ8: `max_clusters` keeps only the first micro-clusters by position (the
+    reference's numPoints cap) as an explicit option; nothing is dropped by
+    default.
     """
-    info = refresh_info(drop_empty(mcs), group, dims)
+    live = drop_empty(mcs)
+    if max_clusters is not None:
+        from pyspark.sql import Window
+        pos = F.row_number().over(Window.partitionBy(*group).orderBy("mc_id")) - 1
+        live = live.withColumn("_pos", pos).where(F.col("_pos") < max_clusters).drop("_pos")
+    info = refresh_info(live, group, dims)
     info = cut_lineage(info)
     comps = connected_components(near_edges(info, group, dims), group)
     joined = info.join(comps, group + ["mc_id"], "left").withColumn(

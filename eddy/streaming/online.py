@@ -447,10 +447,15 @@ def bucket_by_tick(points: DataFrame, path: str) -> DataFrame:
 
 
 def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
-           unbounded: bool = False, max_ticks: int | None = None) -> OnlineModel:
-    """STR1 batch replay: feed the ticks of a static table in order."""
+           unbounded: bool = False, max_ticks: int | None = None, bucket: bool = True) -> OnlineModel:
+    """STR1 batch replay: feed the ticks of a static table in order.
+
+    bucket=True lays (point_id, tick, features) out by tick once; pass
+    bucket=False when `points` is already a table partitioned by tick, so each
+    step prunes to its partition without a copy.
+    """
     model = OnlineModel(spark, cfg, f"{path}/model", unbounded=unbounded)
-    bucketed = bucket_by_tick(points, f"{path}/points")
+    bucketed = bucket_by_tick(points, f"{path}/points") if bucket else points
     sums = tick_sums(bucketed, cfg.dims)          # every tick's statistics in one job
     ticks = sorted(sums)
     if max_ticks is not None:

@@ -280,3 +280,10 @@ def test_horizon_subtracts_related_clusters_sequentially(spark):
     assert out[4]["n"] == 2 and list(out[4]["new_ids"]) == [4]
     same = {r["mc_id"]: r["n"] for r in P.horizon(snap1, snap2, 9, 6, 5, 1).collect()}
     assert same == {1: 10, 4: 2}          # t1 - h < t2: nothing is subtracted
+
+
+def test_macro_merge_cap_is_explicit(spark):
+    rows = [(3, [0, 0], [2, 0]), (3, [3, 0], [5, 0]), (1, [100, 0], [10000, 0])]
+    full = macro_merge(_cf_rows(spark, rows), ["tick"], 2).agg(F.sum("n")).first()[0]
+    capped = macro_merge(_cf_rows(spark, rows), ["tick"], 2, max_clusters=2).agg(F.sum("n")).first()[0]
+    assert full == 7 and capped == 6
