@@ -287,3 +287,9 @@ def test_macro_merge_cap_is_explicit(spark):
     full = macro_merge(_cf_rows(spark, rows), ["tick"], 2).agg(F.sum("n")).first()[0]
     capped = macro_merge(_cf_rows(spark, rows), ["tick"], 2, max_clusters=2).agg(F.sum("n")).first()[0]
     assert full == 7 and capped == 6
+
+
+def test_merge_stamps_the_merge_tick(spark):
+    rows = [(2, [0, 0], [2, 0]), (2, [2, 0], [4, 0]), (1, [50, 0], [2500, 0])]
+    out = {r["mc_id"]: r for r in overlap_merge(_cf_rows(spark, rows), ["tick"], 2, tick=F.lit(9)).collect()}
+    assert out[0]["last_tick"] == 9 and out[2]["last_tick"] == 1
