@@ -28,29 +28,31 @@ def vertices(edges: DataFrame, group: list[str], src: str = "src", dst: str = "d
 
 
 def connected_components(edges: DataFrame, group: list[str], src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64, checkpoint_every: int = 1) -> DataFrame:
-    """(group..., mc_id, component_id) for every vertex that has an edge."""
+                         max_rounds: int = 64) -> DataFrame:
+    """(group..., mc_id, component_id) for every vertex that has an edge.
+
+    One round: label := min(label, neighbours' labels, label of the label).
+    The round's output carries a `changed` flag, is checkpointed, and the loop
+    stops when a filter finds no changed vertex (no join against the previous
+    round).
+    """
     und = cut_lineage(undirected(edges, group, src, dst))
     keys = group + ["a"]
-    labels = und.groupBy(*keys).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = cut_lineage(labels)
-    for rnd in range(max_rounds):
-        # neighbour minimum
+    labels = cut_lineage(und.groupBy(*keys).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    for _ in range(max_rounds):
         nb = (und.join(labels.withColumnRenamed("a", "b").withColumnRenamed("label", "nl"), group + ["b"])
               .groupBy(*keys).agg(F.min("nl").alias("nl")))
-        step = labels.join(nb, keys, "left").select(*keys, F.least("label", F.coalesce("nl", "label")).alias("label"))
+        step = labels.join(nb, keys, "left").select(
+            *keys, F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
         # pointer jumping: label := label(label)
         jump = step.alias("s").join(
             step.select(*group, F.col("a").alias("_t"), F.col("label").alias("_l2")).alias("t"),
             [F.col(f"s.{g}") == F.col(f"t.{g}") for g in group] + [F.col("s.label") == F.col("t._t")], "left")
-        new = jump.select(*[F.col(f"s.{c}") for c in keys],
-                          F.least(F.col("s.label"), F.coalesce(F.col("t._l2"), F.col("s.label"))).alias("label"))
-        if (rnd + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
-        changed = (new.alias("n").join(labels.alias("o"), keys)
-                   .where(F.col("n.label") != F.col("o.label")).limit(1).count())
-        labels = new
-        if changed == 0:
+        new_label = F.least(F.col("s.label"), F.coalesce(F.col("t._l2"), F.col("s.label")))
+        new = cut_lineage(jump.select(*[F.col(f"s.{c}") for c in keys], new_label.alias("label"),
+                                      (new_label != F.col("s.old")).alias("changed")))
+        labels = new.drop("changed")
+        if new.where("changed").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("connected components did not converge")

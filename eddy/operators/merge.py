@@ -26,15 +26,14 @@ def follow_parents(parent: DataFrame, group: list[str], max_rounds: int = 64) ->
     keys = group + ["mc_id"]
     cur = cut_lineage(parent.select(*keys, F.col("parent_id").alias("root_id")))
     for _ in range(max_rounds):
-        nxt = (cur.alias("c").join(cur.select(*group, F.col("mc_id").alias("_m"), F.col("root_id").alias("_r")).alias("p"),
-                                   [F.col(f"c.{g}") == F.col(f"p.{g}") for g in group] + [F.col("c.root_id") == F.col("p._m")],
-                                   "left")
-               .select(*[F.col(f"c.{k}") for k in keys], F.coalesce(F.col("p._r"), F.col("c.root_id")).alias("root_id")))
-        nxt = cut_lineage(nxt)
-        moved = (nxt.alias("n").join(cur.alias("o"), keys).where(F.col("n.root_id") != F.col("o.root_id"))
-                 .limit(1).count())
-        cur = nxt
-        if moved == 0:
+        up = F.coalesce(F.col("p._r"), F.col("c.root_id"))
+        nxt = cut_lineage(
+            cur.alias("c").join(cur.select(*group, F.col("mc_id").alias("_m"), F.col("root_id").alias("_r")).alias("p"),
+                                [F.col(f"c.{g}") == F.col(f"p.{g}") for g in group] + [F.col("c.root_id") == F.col("p._m")],
+                                "left")
+            .select(*[F.col(f"c.{k}") for k in keys], up.alias("root_id"), (up != F.col("c.root_id")).alias("moved")))
+        cur = nxt.drop("moved")
+        if nxt.where("moved").limit(1).count() == 0:
             return cur
     raise RuntimeError("parent chains did not converge")
 
@@ -61,7 +60,7 @@ def overlap_merge(mcs: DataFrame, group: list[str], dims: int, tick: F.Column |
     Parents are chosen on the pre-merge table (documented deviation: the
     sequential form sees centroids already moved by earlier merges).
     """
-    live = drop_empty(mcs)
+    live = cut_lineage(drop_empty(mcs))          # model-sized, read twice below
     info = refresh_info(live, group, dims)
     pairs = overlap_pairs(info, group, dims)
     parent = pairs.groupBy(*group, "mc_id").agg(F.max("parent_id").alias("parent_id"))
@@ -72,7 +71,7 @@ def overlap_merge(mcs: DataFrame, group: list[str], dims: int, tick: F.Column |
 
 def capacity_round(mcs: DataFrame, group: list[str], dims: int, tick: F.Column | None = None) -> DataFrame:
     """STR6, one round: per group merge the closest pair (b into a, a first)."""
-    info = refresh_info(drop_empty(mcs), group, dims)
+    info = cut_lineage(refresh_info(drop_empty(mcs), group, dims))   # model-sized, read twice
     pair = closest_pair(info, group, dims).select(*group, F.col("b_id").alias("mc_id"), F.col("a_id").alias("into"))
     out = merge_groups(info.drop("centroid", "rmsd"), pair, group, dims, "into", tick)
     return refresh_info(out, group, dims)
