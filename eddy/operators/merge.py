@@ -111,3 +111,34 @@ def macro_merge(mcs: DataFrame, group: list[str], dims: int, max_clusters: int |
     cf1x = F.array(*[F.col(f"_s{i}") for i in range(dims)])
     return sums.select(*group, "new_cluster_id", "n", cf1x.alias("cf1x"),
                        F.transform(cf1x, lambda x: x / F.col("n").cast("double")).alias("centroid"))
+
+
+def capacity_merge(mcs: DataFrame, group: list[str], dims: int, q: int, max_rounds: int = 64) -> DataFrame:
+    """STR6 loop: merge until every model group holds at most q micro-clusters.
+
+    Each round merges mutual nearest neighbours (an equi-join of the
+    nearest-other table with itself on near_id = mc_id), closest first and at
+    most count - q pairs per group. The globally closest pair is always
+    mutual, so each round's first merge is the one the sequential rule picks;
+    rounds shrink an over-full group quickly instead of one pair per pass.
+    """
+    from pyspark.sql import Window
+    cur = cut_lineage(with_ids(drop_empty(mcs)).drop("centroid", "rmsd"))
+    for _ in range(max_rounds):
+        sizes = cur.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        if sizes.where(F.col("_size") > q).limit(1).count() == 0:
+            return refresh_info(cur, group, dims)
+        info = refresh_info(cur, group, dims)
+        near = nearest_other(info, group, dims, tie="first")
+        x, y = near.alias("x"), near.alias("y")
+        mutual = (x.join(y, [F.col(f"x.{g}") == F.col(f"y.{g}") for g in group]
+                        + [F.col("x.near_id") == F.col("y.mc_id"), F.col("y.near_id") == F.col("x.mc_id")])
+                  .where(F.col("x.mc_id") < F.col("y.mc_id"))
+                  .select(*[F.col(f"x.{g}") for g in group], F.col("x.mc_id").alias("a"),
+                          F.col("y.mc_id").alias("b"), F.col("x.near_dist").alias("dist")))
+        order = Window.partitionBy(*group).orderBy("dist", "a", "b")
+        chosen = (mutual.join(sizes, group).withColumn("_r", F.row_number().over(order))
+                  .where(F.col("_r") <= F.col("_size") - F.lit(q))
+                  .select(*group, F.col("b").alias("mc_id"), F.col("a").alias("into")))
+        cur = cut_lineage(merge_groups(cur, chosen, group, dims, "into"))
+    raise RuntimeError("capacity merge did not converge")

@@ -97,6 +97,17 @@ def _centers_out(df: DataFrame, dims: int, group: str = "tick") -> DataFrame:
     return df.select(group, "center_id", *[F.col("center")[d].alias(f"center_{d}") for d in range(dims)])
 
 
+@register("capacity_merge")
+def q_capacity_merge(spark, sf_dir):
+    """STR6 loop: every per-tick lineitem model compacted to at most 8
+    micro-clusters by rounds of mutual-nearest merges."""
+    from ..operators.merge import capacity_merge
+    out = capacity_merge(I.li_deltas(spark, sf_dir), ["tick"], I.LI_DIMS, q=8)
+    ids = F.concat_ws(",", F.transform(F.array_sort("ids"), lambda x: x.cast("string")))
+    return out.select("tick", "mc_id", "n", *[F.col("centroid")[d].alias(f"centroid_{d}") for d in range(I.LI_DIMS)],
+                      "rmsd", ids.alias("ids"))
+
+
 @register("macro_kmeans")
 def q_macro_kmeans(spark, sf_dir):
     """CLU5/CLU9: weighted k-means (k = 5, 20 iterations) of every model."""

@@ -293,3 +293,19 @@ def test_merge_stamps_the_merge_tick(spark):
     rows = [(2, [0, 0], [2, 0]), (2, [2, 0], [4, 0]), (1, [50, 0], [2500, 0])]
     out = {r["mc_id"]: r for r in overlap_merge(_cf_rows(spark, rows), ["tick"], 2, tick=F.lit(9)).collect()}
     assert out[0]["last_tick"] == 9 and out[2]["last_tick"] == 1
+
+
+def test_capacity_merge_fits_every_group(spark):
+    from eddy.operators.merge import capacity_merge
+    rows = [(1, [float(i * i), 0.0], [float(i ** 4), 0.0]) for i in range(9)]
+    df = _cf_rows(spark, rows).unionByName(_cf_rows(spark, rows[:3]).withColumn("tick", F.lit(1).cast("bigint")))
+    out = capacity_merge(df, ["tick"], 2, q=3).collect()
+    by_tick = {}
+    for r in out:
+        by_tick.setdefault(r["tick"], []).append(r)
+    assert len(by_tick[0]) == 3 and len(by_tick[1]) == 3
+    assert sum(r["n"] for r in by_tick[0]) == 9
+    ids = sorted(i for r in by_tick[0] for i in r["ids"])
+    assert ids == list(range(9))
+    # the first merge is the closest pair (0, 1): they end up together
+    assert any({0, 1} <= set(r["ids"]) for r in by_tick[0])
