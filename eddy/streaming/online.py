@@ -468,17 +468,28 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
 
 # ------------------------------------------------------------------ streaming
 
-def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType, cfg: ModelConfig, path: str,
-               files_per_trigger: int = 1, trigger_seconds: float | None = None) -> OnlineModel:
-    """STR1/SRC2: Structured Streaming over a folder of Parquet files, one
-    model step per micro-batch in foreachBatch (same thread as the batch, so
-    the snapshot save cannot race the next batch). The query's checkpoint
-    sits beside the model state; a restart resumes both."""
+def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType | None, cfg: ModelConfig, path: str,
+               files_per_trigger: int = 1, trigger_seconds: float | None = None, fmt: str = "parquet") -> OnlineModel:
+    """STR1/SRC2: Structured Streaming over a folder of files, one model step
+    per micro-batch in foreachBatch (same thread as the batch, so the
+    snapshot save cannot race the next batch). The query's checkpoint sits
+    beside the model state; a restart resumes both.
+
+    fmt="parquet": files of (point_id, features). fmt="text": one message per
+    line, "x1,x2,..." as the reference's producer sends them; lines are parsed
+    (SRC3), point ids follow the batch's file and line order, and rejected
+    lines are appended to `<path>/quarantine` with their reason.
+    """
+    from ..sources.points import parse_points
     model = OnlineModel(spark, cfg, f"{path}/model")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.text(source_dir) if fmt == "text" else reader.schema(schema).parquet(source_dir)
 
     def each(df: DataFrame, batch_id: int) -> None:
+        if fmt == "text":
+            good, bad = parse_points(df, cfg.dims)
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{path}/quarantine")
+            df = good.withColumn("point_id", F.monotonically_increasing_id())
         model.step(df, batch_id=batch_id)
         model.flush()      # the engine commits the batch when this returns: the tick must be on disk
 

@@ -95,3 +95,18 @@ def test_fixed_q_variant_keeps_capacity_and_mass(spark):
     assert len(rows) <= cfg.q
     # stale slots are reused, so the model may hold fewer points than were seen
     assert 0 < sum(r["n"] for r in rows) <= pts.where(F.col("tick") <= 6).count()
+
+
+def test_text_stream_parses_and_quarantines(spark):
+    from eddy.sources.points import points_to_text
+    base = work_dir(spark, "test-text-stream")
+    pts = I.ev_points(spark, SF_SMALL).where(F.col("tick") <= 3)
+    src = f"{base}/source"
+    for t in range(1, 4):
+        lines = points_to_text(pts.where(F.col("tick") == t)).select("value")
+        if t == 2:
+            lines = lines.unionByName(spark.createDataFrame([("1,x",), ("7",)], "value string"))
+        lines.coalesce(1).write.mode("append").text(src)
+    m = run_stream(spark, src, None, CFG, f"{base}/s", fmt="text")
+    assert m.tick == 3 and m.total == pts.count()
+    assert spark.read.parquet(f"{base}/s/quarantine").count() == 2
