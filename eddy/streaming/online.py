@@ -38,7 +38,7 @@ from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
 from ..sources import fs
 from .model_step import STEP_SCHEMA, step_group
-from .outliers import assign_and_compact
+from .outliers import assign_and_compact, reduce_leaders
 
 META_SCHEMA = T.StructType([
     T.StructField("total_n", T.LongType()),
@@ -249,6 +249,22 @@ class OnlineModel:
                 cols.append(F.lit(None).cast(f.dataType).alias(f.name))
         return df.select(*cols)
 
+    def _bounded(self, passed: DataFrame, partitions: int) -> list[DataFrame]:
+        """The point pass emits up to q + L rows per input partition. In-lier
+        rows are summed per micro-cluster by a Spark aggregate (at most q rows)
+        and leader rows are reduced when there are many partitions, so the
+        model step's group stays bounded by the model, not by the data."""
+        cfg = self.cfg
+        d = cfg.dims
+        ins = (passed.where(F.col("kind") == "in").groupBy("model", "mc_id")
+               .agg(F.sum("n").alias("n"),
+                    F.array(*[F.sum(F.col("cf1x")[i]) for i in range(d)]).alias("cf1x"),
+                    F.array(*[F.sum(F.col("cf2x")[i]) for i in range(d)]).alias("cf2x"),
+                    F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"), F.max("last_tick").alias("last_tick")))
+        news = reduce_leaders(passed.where(F.col("kind") == "new"), partitions, d, cfg.leader_slots,
+                              cfg.recursive_outliers)
+        return [self._as_step(ins, "in"), news]
+
     def _run_group(self, parts: list[DataFrame], t: int, n: int, batch_id: int, all_in: bool = False) -> None:
         """Model step + one write of the whole tick (model, next, delta and the
         commit row): dynamic overwrite commits the tick's partitions together."""
@@ -272,6 +288,10 @@ class OnlineModel:
         except Exception:
             out.unpersist()
             raise
+        finally:
+            if getattr(self, "_passed", None) is not None:
+                self._passed.unpersist()     # `out` is cached now; the point pass output is not needed
+                self._passed = None
         # the next tick needs only these rows: the write of this tick overlaps
         # the next tick's point pass (one writer, commits stay in tick order)
         self.flush()
@@ -337,11 +357,12 @@ class OnlineModel:
                 self._recent[k] = self.read("delta", [k]).select(*STEP_SCHEMA.names).collect()
         passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
                                     cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA,
-                                    variant=cfg.variant)
+                                    variant=cfg.variant).persist()        # small: <= P*(q+L) rows
         # the previous model and the window deltas are model-sized: shipped from
         # the rows collected at the end of the last tick, not re-listed on disk
         nxt = self.spark.createDataFrame(self._next, STEP_SCHEMA)
-        parts = [self._as_step(nxt, "model"), passed]
+        parts = [self._as_step(nxt, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())]
+        self._passed = passed
         if cfg.remove_expired and cfg.delta > 2:
             wd_rows = [r for k in range(lo, t) for r in self._recent.get(k, [])]
             wd = self.spark.createDataFrame(wd_rows, STEP_SCHEMA)      # dtick = the delta's tick
@@ -357,8 +378,10 @@ class OnlineModel:
             self.initialized = True
             self._next = []
             passed = assign_and_compact(pts, model_arrays([], cfg.dims), cfg.dims, cfg.t_factor, cfg.leader_slots,
-                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
-            self._run_group([self._as_step(empty, "model"), passed], t, n, bid)
+                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA).persist()
+            self._passed = passed
+            self._run_group([self._as_step(empty, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())],
+                            t, n, bid)
             return
         if cfg.init_mode == "random" or cfg.min_init_points == 0:
             if cfg.scaling == "batch":       # standardised data: the unit cube, as the reference
@@ -425,7 +448,8 @@ class OnlineModel:
                  "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), cfg.dims),
                  "rmsd": np.zeros(len(rows)), "n": np.zeros(len(rows), dtype=np.int64)}
         passed = assign_and_compact(pts, model, cfg.dims, cfg.t_factor, cfg.leader_slots, cfg.recursive_outliers,
-                                    t, self.key, STEP_SCHEMA, all_in=True)
+                                    t, self.key, STEP_SCHEMA, all_in=True).persist()
+        self._passed = passed
         start = centers.select("mc_id", F.array(F.col("mc_id")).alias("ids"), F.lit(0).cast("bigint").alias("n"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf1x"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf2x"),
@@ -433,7 +457,8 @@ class OnlineModel:
                                F.lit(t).cast("bigint").alias("last_tick"), "centroid",
                                F.lit(0.0).alias("rmsd"))
         self.initialized = True
-        self._run_group([self._as_step(start, "model"), passed], t, n, bid, all_in=True)
+        self._run_group([self._as_step(start, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())],
+                        t, n, bid, all_in=True)
         self.next_id = max(self.next_id, cfg.q)
 
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEADER_SCHEMA = T.StructType([
@@ -177,3 +178,50 @@ def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float,
             yield pd.DataFrame(rows, columns=names)
 
     return pts.select("point_id", "features").sortWithinPartitions("point_id").mapInPandas(fn, schema)
+
+
+# Leader rows the model step takes in one group; above this the per-partition
+# leaders are first reduced in buckets (a second level of the same walk).
+MAX_LEADER_ROWS = 4096
+
+
+def _reduce_rows(pdf: pd.DataFrame, dims: int, slots: int, recursive: bool) -> pd.DataFrame:
+    """The leader walk over CF rows (first_pid order): a row joins the nearest
+    leader when its centroid lies within 2*rmsd of it (or when all slots are
+    taken), else it becomes a leader. CF sums stay exact."""
+    pdf = pdf.sort_values("first_pid", kind="stable")
+    out: list[dict] = []
+    cen: list[np.ndarray] = []
+    for r in pdf.itertuples(index=False):
+        s1, s2, n = np.asarray(r.cf1x, dtype=np.float64), np.asarray(r.cf2x, dtype=np.float64), int(r.n)
+        c = s1 / n
+        if out:
+            d2 = [float(((c - x) * (c - x)).sum()) for x in cen]
+            j = int(np.argmin(d2))
+            if (recursive and np.sqrt(d2[j]) <= 2.0 * out[j]["rmsd"]) or len(out) >= slots:
+                o = out[j]
+                o["cf1x"], o["cf2x"], o["n"] = o["cf1x"] + s1, o["cf2x"] + s2, o["n"] + n
+                cen[j] = o["cf1x"] / o["n"]
+                o["rmsd"] = _rmsd(o["cf1x"], o["cf2x"], o["n"])
+                continue
+        row = r._asdict()
+        row.update(cf1x=s1, cf2x=s2, n=n)
+        out.append(row)
+        cen.append(c)
+    for o in out:
+        o["cf1x"], o["cf2x"] = o["cf1x"].tolist(), o["cf2x"].tolist()
+    return pd.DataFrame(out, columns=list(pdf.columns))
+
+
+def reduce_leaders(new_rows: DataFrame, partitions: int, dims: int, slots: int, recursive: bool) -> DataFrame:
+    """Bound the leader rows that reach the model step: with P input
+    partitions the first level yields up to P*L rows; beyond MAX_LEADER_ROWS
+    they are reduced per bucket of first_pid (each bucket holds about
+    MAX_LEADER_ROWS rows) by the same walk, leaving at most buckets*L rows."""
+    if partitions * slots <= MAX_LEADER_ROWS:
+        return new_rows
+    buckets = max(1, (partitions * slots) // MAX_LEADER_ROWS)
+    schema = new_rows.schema
+    return (new_rows.withColumn("_b", F.col("first_pid") % F.lit(buckets))
+            .groupBy("_b").applyInPandas(lambda pdf: _reduce_rows(pdf.drop(columns=["_b"]), dims, slots, recursive),
+                                         schema))

@@ -309,3 +309,22 @@ def test_capacity_merge_fits_every_group(spark):
     assert ids == list(range(9))
     # the first merge is the closest pair (0, 1): they end up together
     assert any({0, 1} <= set(r["ids"]) for r in by_tick[0])
+
+
+def test_leader_rows_are_reduced_when_partitions_are_many(spark):
+    from eddy.streaming.model_step import STEP_SCHEMA
+    from eddy.streaming.outliers import MAX_LEADER_ROWS, reduce_leaders
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        p = np.round(rng.normal(size=2) * 10)
+        r = dict.fromkeys(STEP_SCHEMA.names)
+        r.update(kind="new", model=0, first_pid=i, n=1, cf1x=p.tolist(), cf2x=(p * p).tolist(), rmsd=1.0)
+        rows.append(tuple(r[k] for k in STEP_SCHEMA.names))
+    df = spark.createDataFrame(rows, STEP_SCHEMA)
+    partitions, slots = 10 * MAX_LEADER_ROWS, 4
+    out = reduce_leaders(df, partitions, 2, slots, True).collect()
+    buckets = partitions * slots // MAX_LEADER_ROWS
+    assert len(out) <= buckets * slots and sum(r["n"] for r in out) == 300
+    assert np.allclose(np.sum([r["cf1x"] for r in out], axis=0), np.sum([r[5] for r in rows], axis=0))
+    assert reduce_leaders(df, 1, 2, slots, True) is df      # few partitions: untouched
