@@ -38,7 +38,11 @@ from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
 from ..sources import fs
 from .model_step import STEP_SCHEMA, step_group
-from .outliers import assign_and_compact, reduce_leaders
+from .outliers import MAX_LEADER_ROWS, assign_and_compact, reduce_leaders
+
+# Point-pass rows (P partitions x (q + L)) the model step takes without a
+# pre-aggregation; above it in-lier rows are summed and leader rows reduced.
+MAX_STEP_ROWS = 50_000
 
 META_SCHEMA = T.StructType([
     T.StructField("total_n", T.LongType()),
@@ -250,20 +254,34 @@ class OnlineModel:
         return df.select(*cols)
 
     def _bounded(self, passed: DataFrame, partitions: int) -> list[DataFrame]:
-        """The point pass emits up to q + L rows per input partition. In-lier
-        rows are summed per micro-cluster by a Spark aggregate (at most q rows)
-        and leader rows are reduced when there are many partitions, so the
-        model step's group stays bounded by the model, not by the data."""
+        """The point pass emits up to q + L rows per input partition. One Spark
+        aggregate keyed by (kind, micro-cluster or first point) sums the
+        in-lier rows of all partitions (at most q rows leave it) and passes
+        leader rows through; with many partitions the leader rows are then
+        reduced in buckets. The model step's group stays bounded by the model,
+        not by the data."""
         cfg = self.cfg
         d = cfg.dims
-        ins = (passed.where(F.col("kind") == "in").groupBy("model", "mc_id")
+        if partitions * (cfg.q + cfg.leader_slots) <= MAX_STEP_ROWS:
+            return [passed]             # already bounded: no extra shuffle stage
+        key = F.when(F.col("kind") == "in", F.col("mc_id")).otherwise(F.col("first_pid"))
+        agg = (passed.withColumn("_key", key).groupBy("model", "kind", "_key")
                .agg(F.sum("n").alias("n"),
                     F.array(*[F.sum(F.col("cf1x")[i]) for i in range(d)]).alias("cf1x"),
                     F.array(*[F.sum(F.col("cf2x")[i]) for i in range(d)]).alias("cf2x"),
-                    F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"), F.max("last_tick").alias("last_tick")))
-        news = reduce_leaders(passed.where(F.col("kind") == "new"), partitions, d, cfg.leader_slots,
+                    F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"), F.max("last_tick").alias("last_tick"),
+                    F.first("rmsd").alias("rmsd"))
+               .withColumn("mc_id", F.when(F.col("kind") == "in", F.col("_key")))
+               .withColumn("first_pid", F.when(F.col("kind") == "new", F.col("_key"))))
+        rows = agg.select(*[(F.col(f.name) if f.name in agg.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in STEP_SCHEMA.fields])
+        if partitions * cfg.leader_slots <= MAX_LEADER_ROWS:
+            return [rows]
+        rows = rows.persist()           # small; read twice below
+        self._passed = rows
+        news = reduce_leaders(rows.where(F.col("kind") == "new"), partitions, d, cfg.leader_slots,
                               cfg.recursive_outliers)
-        return [self._as_step(ins, "in"), news]
+        return [rows.where(F.col("kind") == "in"), news]
 
     def _run_group(self, parts: list[DataFrame], t: int, n: int, batch_id: int, all_in: bool = False) -> None:
         """Model step + one write of the whole tick (model, next, delta and the
@@ -357,12 +375,11 @@ class OnlineModel:
                 self._recent[k] = self.read("delta", [k]).select(*STEP_SCHEMA.names).collect()
         passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
                                     cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA,
-                                    variant=cfg.variant).persist()        # small: <= P*(q+L) rows
+                                    variant=cfg.variant)
         # the previous model and the window deltas are model-sized: shipped from
         # the rows collected at the end of the last tick, not re-listed on disk
         nxt = self.spark.createDataFrame(self._next, STEP_SCHEMA)
         parts = [self._as_step(nxt, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())]
-        self._passed = passed
         if cfg.remove_expired and cfg.delta > 2:
             wd_rows = [r for k in range(lo, t) for r in self._recent.get(k, [])]
             wd = self.spark.createDataFrame(wd_rows, STEP_SCHEMA)      # dtick = the delta's tick
@@ -378,8 +395,7 @@ class OnlineModel:
             self.initialized = True
             self._next = []
             passed = assign_and_compact(pts, model_arrays([], cfg.dims), cfg.dims, cfg.t_factor, cfg.leader_slots,
-                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA).persist()
-            self._passed = passed
+                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
             self._run_group([self._as_step(empty, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())],
                             t, n, bid)
             return
@@ -448,8 +464,7 @@ class OnlineModel:
                  "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), cfg.dims),
                  "rmsd": np.zeros(len(rows)), "n": np.zeros(len(rows), dtype=np.int64)}
         passed = assign_and_compact(pts, model, cfg.dims, cfg.t_factor, cfg.leader_slots, cfg.recursive_outliers,
-                                    t, self.key, STEP_SCHEMA, all_in=True).persist()
-        self._passed = passed
+                                    t, self.key, STEP_SCHEMA, all_in=True)
         start = centers.select("mc_id", F.array(F.col("mc_id")).alias("ids"), F.lit(0).cast("bigint").alias("n"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf1x"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf2x"),
