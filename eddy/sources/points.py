@@ -29,8 +29,8 @@ def _round_int(c) -> F.Column:
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """three integer-valued dimensions, tick = ship year - 1994.
 
-    lineitem has no unique row id, so point_id is NULL; operators that need
-    one (outlier ordering) use events instead.
+    lineitem has no unique row id, so these points carry no point_id; the
+    operators that order points (outlier walk, replay) run on events instead.
     """
     li = table(spark, sf_dir, "lineitem")
     return li.select(
