@@ -222,6 +222,17 @@ class OnlineModel:
         t = self.tick if tick is None else tick
         return self.read("model", [t]).drop("kind", "first_pid", "dtick")
 
+    def snapshot_ticks(self) -> list[int]:
+        """Ticks whose model snapshot is still kept (pyramidal schedule)."""
+        from ..sources.points import tick_list
+        return tick_list(self.read("model"))
+
+    def report(self) -> DataFrame:
+        """SRC10 over the kept snapshots: one line per micro-cluster and the
+        total n of its snapshot."""
+        from ..sources.snapshots import report
+        return report(self.read("model").drop("kind"))
+
     def deltas(self, ticks=None) -> DataFrame:
         return self.read("delta", ticks).drop("kind", "first_pid", "centroid", "rmsd", "dtick", "total_n",
                                               "next_id", "batch_id", "initialized")

@@ -123,3 +123,13 @@ def test_many_partitions_path_gives_the_same_model(spark, monkeypatch):
     b = replay(spark, pts, CFG, work_dir(spark, "test-preagg"))
     key = lambda m: sorted((r["mc_id"], r["n"], tuple(np.round(r["cf1x"], 9))) for r in m.model().collect())
     assert key(a) == key(b)
+
+
+def test_online_report_covers_kept_snapshots(run):
+    _, _, model, _ = run
+    kept = model.snapshot_ticks()
+    rep = model.report().collect()
+    assert sorted({r["tick"] for r in rep}) == kept
+    last = [r for r in rep if r["tick"] == model.tick]
+    assert last and all(r["snapshot_n"] == sum(x["n"] for x in last) for r in last)
+    assert all(r["line"].startswith("ids=[") for r in rep)
