@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .jaccard_join import op2_jaccard_join
 from .language_id import op5_language_id
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_language_id": op5_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
