@@ -95,7 +95,7 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
     start = F.struct(F.lit(0).alias("i"), *(F.lit(word(d)).alias(f"r{d}") for d in range(tau + 1)))
     end = F.aggregate(b, start, step, lambda s: s[f"r{tau}"])
-    return F.shiftright(end, F.size(a) - F.size(b) + tau).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", end, F.size(a) - F.size(b) + tau).bitwiseAND(F.lit(1)) == 1
 
 
 def _picked(lines: DataFrame, wanted: DataFrame, on: str) -> DataFrame:

@@ -106,24 +106,36 @@ def _span(kind: int, start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
 
 
+def _as_spans(column: str, kind: int) -> Column:
+    return F.transform(column, lambda x: _span(kind, x["start"], x["end"]))
+
+
+def _entropy_spans(text: Column, pattern: str, signs: str, bits: float) -> Column:
+    """Hot parts of the runs that touch no span of `base` and are not allowed."""
+    def plain(x: Column) -> Column:
+        fine = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        for allowed in ALLOWED:
+            fine = fine & ~x["part"].rlike(allowed)
+        return fine
+    hot = F.transform(F.filter(matches(text, pattern), plain),
+                      lambda x: F.struct(x["start"].alias("start"), hot_span(x["part"], signs, bits).alias("hot")))
+    return F.transform(F.filter(hot, lambda x: x["hot"]["lo"] >= 0),
+                       lambda x: _span(3, x["start"] + x["hot"]["lo"], x["start"] + x["hot"]["hi"]))
+
+
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `base` and `added`: arrays of (start, kind, end), ordered; kind counts in KINDS."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("__assign", F.filter(matches(t, ASSIGN, 2), lambda x: F.length(x["part"]) >= 6))
     out = out.withColumn("__access", matches(t, ACCESS)).withColumn("__hex", matches(t, HEX))
     out = out.withColumn("base", F.array_sort(F.concat(*(
-        F.transform(f"__{k}", lambda x, n=n: _span(n, x["start"], x["end"])) for n, k in enumerate(KINDS[:3])))))
+        _as_spans(f"__{k}", n) for n, k in enumerate(KINDS[:3])))))
     for name, (signs, bits) in CLASSES.items():
-        def plain(x: Column) -> Column:
-            fine = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-            for allowed in ALLOWED:
-                fine = fine & ~x["part"].rlike(allowed)
-            return fine
-        runs = F.filter(matches(t, RUNS[name]), plain)
-        hot = F.transform(runs, lambda x, g=signs, b=bits: F.struct(x["start"].alias("start"), hot_span(x["part"], g, b).alias("hot")))
-        spans = F.transform(F.filter(hot, lambda x: x["hot"]["lo"] >= 0),
-                            lambda x: _span(3, x["start"] + x["hot"]["lo"], x["start"] + x["hot"]["hi"]))
-        out = out.withColumn(f"__{name}", spans)
+        out = out.withColumn(f"__{name}", _entropy_spans(t, RUNS[name], signs, bits))
     lone = F.filter("__hexrun", lambda x: ~F.exists("__base64", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     out = out.withColumn("added", F.array_sort(F.concat("__base64", lone)))
     return out.drop("__assign", "__access", "__hex", "__base64", "__hexrun")
@@ -138,6 +150,5 @@ def written(spans: Column) -> Column:
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of `documents`."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(F.filter("base", lambda x, n=n: x["kind"] == n)).cast("bigint").alias(f"n_{KINDS[n]}") for n in range(3)]
-    return found.select("doc_id", *count, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+    return found.select("doc_id", *map(_count, range(3)), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         written(F.array_sort(F.concat("base", "added"))).alias("spans"))
