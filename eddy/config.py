@@ -30,8 +30,6 @@ class ModelConfig:
     init_mode           "random" | "kmeans" | "streaming"
     scaling             "batch" (z-score per tick, as the reference) | "none"
     seed                seed of every random choice
-    leader_slots        L: max new clusters one partition may create per tick
-    outlier_partitions  P: partitions of the outlier compaction
     alpha, l            pyramidal snapshot schedule
     variant             "dynamic" (the live model) | "fixed" (fixed-q model with
                         recency-based slot reuse, a disabled variant)
@@ -48,8 +46,6 @@ class ModelConfig:
     init_mode: str = "random"
     scaling: str = "batch"
     seed: int = 42
-    leader_slots: int = 32
-    outlier_partitions: int = 8
     alpha: int = 2
     l: int = 10
     variant: str = "dynamic"
@@ -73,8 +69,8 @@ class ModelConfig:
 
 
 # Upper bound on rows of one micro-cluster model (one tick / run group) that
-# operators are allowed to hold in one task or broadcast. A model never holds
-# more than q + P*L rows; this guard turns a misuse into an error instead of an
+# operators are allowed to hold in one task or broadcast. A bounded model holds
+# at most 2q rows within a tick; this guard turns a misuse into an error instead of an
 # out-of-memory task.
 MAX_MODEL_ROWS = 200_000
 

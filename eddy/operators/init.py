@@ -1,10 +1,10 @@
 """Model initialisation (CLU1 random, CLU2 k-means, CLU3 streaming k-means).
 
 The random initialiser draws q centroids uniformly inside the data's bounding
-box. To let a SQL oracle reproduce the draw, the uniform number is an exact
-integer rule instead of a library RNG:
+box. To let a SQL oracle reproduce the draw, the uniform number is the head of
+a hash that both engines have:
 
-    u(i, d) = ((i * U_MUL_ID + d * U_MUL_DIM + seed) mod U_MOD) / U_MOD
+    u(i, d) = first 13 hex digits of md5("seed,i,d"), as a number / 16^13
     centroid(i, d) = lo_d + u(i, d) * (hi_d - lo_d)
 """
 
@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the deterministic uniform draw (shared with the oracle SQL).
-U_MUL_ID = 331
-U_MUL_DIM = 577
-U_MOD = 1009
+# Hex digits of the hash that make a draw (52 bits: exact as a double).
+HEX_DIGITS = 13
 
 
 def uniform_expr(i, d: int, seed: int):
-    return ((i * F.lit(U_MUL_ID) + F.lit(d * U_MUL_DIM + seed)) % F.lit(U_MOD)).cast("double") / F.lit(float(U_MOD))
+    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), i.cast("string"), F.lit(str(d))).cast("binary"))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("bigint").cast("double") / F.lit(float(16 ** HEX_DIGITS))
 
 
 def bounding_box(points: DataFrame, dims: int, features: str = "features") -> list[tuple[float, float]]:

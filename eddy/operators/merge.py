@@ -18,14 +18,14 @@ def with_ids(mcs: DataFrame) -> DataFrame:
     return mcs if "ids" in mcs.columns else mcs.withColumn("ids", F.array(F.col("mc_id").cast("bigint")))
 
 
-def follow_parents(parent: DataFrame, group: list[str], max_rounds: int = 64) -> DataFrame:
+def follow_parents(parent: DataFrame, group: list[str]) -> DataFrame:
     """(group, mc_id, parent_id) forest with parent < child -> (group, mc_id, root_id).
 
     Pointer jumping: root := root(root) until nothing moves (log depth rounds).
     """
     keys = group + ["mc_id"]
     cur = cut_lineage(parent.select(*keys, F.col("parent_id").alias("root_id")))
-    for _ in range(max_rounds):
+    while True:
         up = F.coalesce(F.col("p._r"), F.col("c.root_id"))
         nxt = cut_lineage(
             cur.alias("c").join(cur.select(*group, F.col("mc_id").alias("_m"), F.col("root_id").alias("_r")).alias("p"),
@@ -35,7 +35,6 @@ def follow_parents(parent: DataFrame, group: list[str], max_rounds: int = 64) ->
         cur = nxt.drop("moved")
         if nxt.where("moved").limit(1).count() == 0:
             return cur
-    raise RuntimeError("parent chains did not converge")
 
 
 def merge_groups(mcs: DataFrame, mapping: DataFrame, group: list[str], dims: int,
@@ -87,20 +86,13 @@ def near_edges(info: DataFrame, group: list[str], dims: int) -> DataFrame:
             .select(*group, F.col("mc_id").alias("src"), F.col("near_id").alias("dst")))
 
 
-def macro_merge(mcs: DataFrame, group: list[str], dims: int, max_clusters: int | None = None) -> DataFrame:
+def macro_merge(mcs: DataFrame, group: list[str], dims: int) -> DataFrame:
     """CLU8: n > 0 -> RMSD -> near edges -> components -> group sums -> centroids.
 
     Returns (group, new_cluster_id, n, cf1x, centroid); new_cluster_id is the
     smallest member id of the component, or the micro-cluster's own id.
-    PRJ8: `max_clusters` keeps only the first micro-clusters by position (the
-    reference's numPoints cap) as an explicit option; nothing is dropped by
-    default.
     """
     live = drop_empty(mcs)
-    if max_clusters is not None:
-        from pyspark.sql import Window
-        pos = F.row_number().over(Window.partitionBy(*group).orderBy("mc_id")) - 1
-        live = live.withColumn("_pos", pos).where(F.col("_pos") < max_clusters).drop("_pos")
     info = refresh_info(live, group, dims)
     info = cut_lineage(info)
     comps = connected_components(near_edges(info, group, dims), group)
@@ -113,7 +105,7 @@ def macro_merge(mcs: DataFrame, group: list[str], dims: int, max_clusters: int |
                        F.transform(cf1x, lambda x: x / F.col("n").cast("double")).alias("centroid"))
 
 
-def capacity_merge(mcs: DataFrame, group: list[str], dims: int, q: int, max_rounds: int = 64) -> DataFrame:
+def capacity_merge(mcs: DataFrame, group: list[str], dims: int, q: int) -> DataFrame:
     """STR6 loop: merge until every model group holds at most q micro-clusters.
 
     Each round merges mutual nearest neighbours (an equi-join of the
@@ -124,7 +116,7 @@ def capacity_merge(mcs: DataFrame, group: list[str], dims: int, q: int, max_roun
     """
     from pyspark.sql import Window
     cur = cut_lineage(with_ids(drop_empty(mcs)).drop("centroid", "rmsd"))
-    for _ in range(max_rounds):
+    while True:
         sizes = cur.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
         if sizes.where(F.col("_size") > q).limit(1).count() == 0:
             return refresh_info(cur, group, dims)
@@ -141,4 +133,3 @@ def capacity_merge(mcs: DataFrame, group: list[str], dims: int, q: int, max_roun
                   .where(F.col("_r") <= F.col("_size") - F.lit(q))
                   .select(*group, F.col("b").alias("mc_id"), F.col("a").alias("into")))
         cur = cut_lineage(merge_groups(cur, chosen, group, dims, "into"))
-    raise RuntimeError("capacity merge did not converge")

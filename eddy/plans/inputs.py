@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.assign import assign_nearest
 from ..operators.cf import cf_aggregate
-from ..operators.init import U_MOD, U_MUL_DIM, U_MUL_ID, bounding_box, random_centers
+from ..operators.init import HEX_DIGITS, bounding_box, random_centers
 from ..sources.points import events_points, lineitem_points
 
 # Fixed parameters of the registered queries.
@@ -86,8 +86,8 @@ def centers_sql(name: str, q: int, dims: int, src: str) -> str:
     """CTEs `{name}_box` and `{name}_cen(mc_id, c0..)`: the deterministic uniform draw."""
     box = ", ".join(f"min(x{d}) AS lo{d}, max(x{d}) AS hi{d}" for d in range(dims))
     coords = ",\n    ".join(
-        f"lo{d} + (CAST((r.range * {U_MUL_ID} + {d * U_MUL_DIM + SEED}) % {U_MOD} AS DOUBLE)"
-        f" / CAST({U_MOD} AS DOUBLE)) * (hi{d} - lo{d}) AS c{d}" for d in range(dims))
+        f"lo{d} + (CAST(CAST('0x' || substr(md5('{SEED},' || r.range || ',{d}'), 1, {HEX_DIGITS}) AS BIGINT) AS DOUBLE)"
+        f" / {float(16 ** HEX_DIGITS)!r}) * (hi{d} - lo{d}) AS c{d}" for d in range(dims))
     return (f"{name}_box AS (SELECT {box} FROM {src}),\n"
             f"{name}_cen AS (SELECT r.range AS mc_id,\n    {coords}\n  FROM range({q}) r, {name}_box)")
 

@@ -103,18 +103,15 @@ def q_inlier_outlier(spark, sf_dir):
 
 
 @register("fixed_q_split", _with(*EV_MODEL, I.nearest_sql("re", "ev_pts", "model", D, cp="m", extra=", c.n, c.rmsd"))
-          + """SELECT pid AS point_id, tick, mc_id,
-       CASE WHEN dist <= rmsd THEN 'in' WHEN dist <= 2.0 * rmsd THEN 'absorb' ELSE 'new' END AS route
+          + """SELECT pid AS point_id, tick, mc_id, CASE WHEN dist <= rmsd THEN 'in' ELSE 'out' END AS route
 FROM re""")
 def q_fixed_q_split(spark, sf_dir):
-    """VAR3 split: in-lier iff dist <= rmsd; else absorbable iff dist <= t_factor*rmsd."""
+    """VAR3 split: in-lier iff dist <= rmsd. What is out is then absorbed by a cluster born in the
+    same tick (within t_factor * rmsd of it) or founds one: the model step's part."""
     pts, model = _ev_model(spark, sf_dir)
     # JOI2 threshold lookup folded into the assignment: radius = 1 * rmsd
     a = assign_nearest(pts, model, D, t_factor=1.0, plain=True)
-    rmsd, dist = F.col("radius"), F.col("dist")
-    return a.select("point_id", "tick", "mc_id",
-                    F.when(dist <= rmsd, "in").when(dist <= F.lit(2.0) * rmsd, "absorb")
-                    .otherwise("new").alias("route"))
+    return a.select("point_id", "tick", "mc_id", F.when(F.col("dist") <= F.col("radius"), "in").otherwise("out").alias("route"))
 
 
 @register("tick_totals", _with(I.EV_POINTS_SQL) + """SELECT tick, batch_n,

@@ -15,13 +15,14 @@ from ..operators.nearest import refresh_info
 from ..operators.scale import pca_project
 from ..sources.points import embedding_points, tick_list
 from ..streaming.online import OnlineModel, replay, run_stream
-from ..streaming.outliers import compact_outliers
+from ..streaming.outliers import cell_of, cell_sums
 from . import inputs as I
-from .catalog import register
+from .catalog import _with, register
+from .q_events import EV_MODEL, _ev_model
 
 # The online run of the reference: window 6 ticks, alpha = 2, l = 10, m = 20.
 ONLINE_CFG = ModelConfig(q=20, dims=I.EV_DIMS, delta=I.EV_DELTA, m_last=20, scaling="batch", init_mode="random",
-                         alpha=I.ALPHA, l=I.L_PARAM, seed=I.SEED, leader_slots=16, outlier_partitions=4)
+                         alpha=I.ALPHA, l=I.L_PARAM, seed=I.SEED)
 
 
 def model_view(m: DataFrame, dims: int) -> DataFrame:
@@ -74,19 +75,23 @@ def q_file_stream(spark, sf_dir):
     return model_view(m.model(), I.EV_DIMS)
 
 
-@register("outlier_seed")
+@register("outlier_seed", _with(*EV_MODEL, I.nearest_sql("re", "ev_pts", "model", I.EV_DIMS, cp="m",
+                                                         extra=", c.n, c.rmsd, c.m0, c.m1"))
+          + """, o AS (SELECT *, CASE WHEN n = 1 THEN 2 * rmsd ELSE 2.0 * rmsd END AS radius FROM re),
+w AS (SELECT *, CASE WHEN radius > 0 THEN radius ELSE 1.0 END AS width FROM o WHERE NOT dist <= radius)
+SELECT mc_id, CAST(floor((x0 - m0) / width) AS BIGINT) AS cell_0, CAST(floor((x1 - m1) / width) AS BIGINT) AS cell_1,
+       count(*) AS n, min(pid) AS first_pid, sum(x0) AS cf1x_0, sum(x1) AS cf1x_1,
+       sum(x0 * x0) AS cf2x_0, sum(x1 * x1) AS cf2x_1
+FROM w GROUP BY 1, 2, 3""")
 def q_outlier_seed(spark, sf_dir):
-    """STR5: outliers of every tick against the fixed-centroid model, compacted
-    into leader CF rows on the executors."""
-    pts = I.ev_points(spark, sf_dir)
-    cen = I.centers_for(spark, pts, I.EV_Q, I.EV_DIMS)
-    from ..operators.cf import cf_aggregate
-    cf = cf_aggregate(assign_nearest(pts, cen, I.EV_DIMS).withColumn("g", F.lit(0)), ["g", "mc_id"], I.EV_DIMS)
-    model = refresh_info(cf, ["g"], I.EV_DIMS)
-    out = split_inliers(assign_nearest(pts, model, I.EV_DIMS)).where(~F.col("is_in"))
-    lead = compact_outliers(out, I.EV_DIMS, ONLINE_CFG.outlier_partitions, ONLINE_CFG.leader_slots)
-    return lead.select("first_pid", "n", *[F.col("cf1x")[d].alias(f"cf1x_{d}") for d in range(I.EV_DIMS)],
-                       *[F.col("cf2x")[d].alias(f"cf2x_{d}") for d in range(I.EV_DIMS)], "rmsd")
+    """STR5: outliers of the whole stream against the fixed-centroid model, summed in the finest cells."""
+    pts, model = _ev_model(spark, sf_dir)
+    near = split_inliers(assign_nearest(pts, model, I.EV_DIMS)).where(~F.col("is_in"))
+    placed = near.join(model.select("mc_id", "centroid"), "mc_id")
+    cell = cell_of(F.col("features"), F.col("centroid"), F.col("radius"), I.EV_DIMS)
+    out = cell_sums(placed.withColumn("cell", cell), I.EV_DIMS, ["mc_id", "cell"])
+    return out.select("mc_id", *I.flat(out, "cell", I.EV_DIMS), "n", "first_pid", *I.flat(out, "cf1x", I.EV_DIMS),
+                      *I.flat(out, "cf2x", I.EV_DIMS))
 
 
 def _li_models(spark, sf_dir) -> DataFrame:

@@ -126,9 +126,9 @@ def parse_points(lines: DataFrame, dims: int, value: str = "value") -> tuple[Dat
     double and whose length is `dims` go to `good` with `features`; the rest
     keep their text in `quarantine` with a reason. Nothing is dropped silently.
     """
-    parsed = lines.withColumn(
-        "features",
-        F.transform(F.split(F.trim(F.col(value)), ","), lambda x: F.trim(x).try_cast("double")))
+    fields = F.transform(F.split(F.trim(F.col(value)), ","), lambda x: F.trim(x).try_cast("double"))
+    # one element to explode: what follows reads the parsed column and does not parse again
+    parsed = lines.select("*", F.explode(F.array(fields)).alias("features"))
     bad_field = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     reason = (F.when(F.col(value).isNull(), F.lit("null"))
               .when(F.size("features") != dims, F.lit("dimension"))

@@ -1,12 +1,12 @@
 """The per-tick model step of the online algorithm (STR1 fold, STR5 second
 level, STR6 capacity, STR10 prune, STR4 expiry, PRJ5 refresh).
 
-Input of one model group (at most q + P*L + window-delta rows, bounded by the
-model capacity, never by the data):
+Input of one model group (at most 2q + window-delta rows, bounded by the model
+capacity, never by the data; the unbounded variant holds all its clusters):
 
   kind='model'  the model after expiry that assigned this tick's points
   kind='in'     in-lier CF per micro-cluster of this tick
-  kind='new'    leader CF rows from the outlier compaction (first_pid order)
+  kind='new'    CF rows of the outlier cells (first_pid order)
   kind='wd'     earlier tick deltas still inside the next window
 
 Output rows: kind='model' (state at the end of the tick), 'next' (the same
@@ -154,7 +154,8 @@ def prune(mcs: list[MC], tick: int) -> list[MC]:
 
 def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, remove_expired: bool,
                recursive: bool, unbounded: bool = False, all_in: bool = False,
-               total_n: int = 0, batch_id: int = 0, variant: str = "dynamic", m_last: int = 500) -> pd.DataFrame:
+               total_n: int = 0, batch_id: int = 0, variant: str = "dynamic", m_last: int = 500,
+               t_factor: float = 2.0) -> pd.DataFrame:
     if len(pdf) > MAX_MODEL_ROWS:
         raise ValueError(f"model step of {len(pdf)} rows exceeds {MAX_MODEL_ROWS}")
     model_key = int(pdf["model"].iloc[0])
@@ -187,17 +188,19 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
         # lend their centroids to the singleton rmsd and are dropped after
         refresh(mlist)
         mlist = [m for m in mlist if m.n > 0]
-    else:
-        refresh(mlist)
+    # otherwise outliers, capacity and prune see the centroids and radii of before the tick;
+    # clusters that an outlier touches are brought up to date by the merge
     new_rows = pdf[pdf["kind"] == "new"].sort_values("first_pid")
     outliers = int(new_rows["n"].sum()) if len(new_rows) else 0
+    # VAR2/VAR3: slots of clusters that were empty or stale before this tick's outliers
+    stale = [m.mc_id for m in mlist if m.n == 0 or stamp_np(m.n, m.cf1t, m.cf2t, m_last) < tick - delta]
     new_delta: dict[int, list] = {}
     for r in new_rows.itertuples(index=False):
         s1, s2, n = vec(r.cf1x), vec(r.cf2x), int(r.n)
         c = s1 / float(n)
         fresh = [m for m in mlist if m.new]
         # unbounded variant: the absorb radius doubles once the model is large
-        factor = 4.0 if unbounded and len(mlist) > 50 else 2.0
+        factor = t_factor if variant == "fixed" else 4.0 if unbounded and len(mlist) > 50 else 2.0
         if recursive and fresh:
             d2 = [_d2(c, m.centroid) for m in fresh]
             k = int(np.argmin(d2))
@@ -208,14 +211,13 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
                 new_delta[fresh[k].mc_id][1] = new_delta[fresh[k].mc_id][1] + s1
                 new_delta[fresh[k].mc_id][2] = new_delta[fresh[k].mc_id][2] + s2
                 continue
-        if variant == "fixed" and len(mlist) >= q:
-            # VAR2/VAR3: reuse the slot of a stale (or empty) cluster, else merge
-            # the closest pair among the clusters kept from before this tick
-            stale = [i for i, m in enumerate(mlist)
-                     if not m.new and (m.n == 0 or stamp_np(m.n, m.cf1t, m.cf2t, m_last) < tick - delta)]
+        if variant == "fixed":
+            # VAR2/VAR3: take the slot of a stale (or empty) cluster, else at capacity
+            # merge the closest pair among the clusters kept from before this tick
             if stale:
-                del mlist[stale[0]]
-            else:
+                gone = stale.pop(0)
+                mlist = [m for m in mlist if m.mc_id != gone]
+            elif len(mlist) >= q:
                 kept = [i for i, m in enumerate(mlist) if not m.new]
                 if len(kept) >= 2:
                     a, b = closest_pair([mlist[i] for i in kept])
@@ -234,6 +236,9 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
         next_id += 1
     for k, (n, s1, s2) in new_delta.items():
         deltas.append((k, n, s1, s2, n * tick, n * tick * tick))
+    if unbounded:
+        # VAR4: clusters that were stale before this tick's outliers go
+        mlist = [m for m in mlist if m.mc_id not in set(stale)]
     if outliers > 0 and not all_in and variant == "dynamic":
         mlist = prune(mlist, tick)
     refresh(mlist)

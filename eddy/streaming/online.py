@@ -1,12 +1,12 @@
 """Online micro-cluster model: one step per non-empty batch (STR1, STR2, STR3,
 STR11), driven by a batch replay of a table or by Structured Streaming.
 
-Per tick the data-sized work is three Spark stages over the batch: scale
-(batch statistics, broadcast join of one row), assign + split (Arrow UDF with
-the broadcast model, at most q rows), in-lier CF (map-side combined
-aggregate) and outlier compaction (repartition by point_id, leader walk per
-partition). Only CF rows reach the model step, which runs as one
-`applyInPandas` group per model over at most q + P*L rows.
+Per tick the data-sized work is two passes over the batch: the statistics, and
+assign + split (Arrow UDF with the model, at most q rows) into one aggregate
+with map-side combine, in-lier sums per micro-cluster and outlier sums per cell
+(`outliers`). Only CF rows reach the model step, which runs as one
+`applyInPandas` group per model over at most 2q rows and the window's deltas
+(the unbounded model: its clusters and finest cells).
 
 State lives in one Parquet table partitioned by (kind, tick):
   kind=model  the model at the end of each tick (the snapshots; thinned on the
@@ -14,8 +14,9 @@ State lives in one Parquet table partitioned by (kind, tick):
   kind=next   the model after expiry, which assigns the next tick
   kind=delta  each tick's contribution per micro-cluster id (window + horizon)
   kind=meta   tick, total points, next free id and the committed batch id
-A tick's partitions are written with dynamic overwrite and the meta row last,
-so a retried batch rewrites exactly its own partitions and a finished batch
+A tick's partitions are written with dynamic overwrite, and the meta row in a
+second write after them, so a retried batch rewrites exactly its own
+partitions, a torn tick has no meta row and is run again, and a finished batch
 is skipped: the loop survives executor loss and driver restarts.
 """
 
@@ -32,17 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ModelConfig, ensure_checkpoint_dir
-from ..operators.assign import assign_nearest, make_assign_udf
+from ..operators.assign import assign_nearest
 from ..operators.cf import cf_aggregate
 from ..operators.init import bounding_box, random_centers, unit_centers
 from ..operators.pyramid import _powers
 from ..sources import fs
 from .model_step import STEP_SCHEMA, step_group
-from .outliers import MAX_LEADER_ROWS, assign_and_compact, reduce_leaders
-
-# Point-pass rows (P partitions x (q + L)) the model step takes without a
-# pre-aggregation; above it in-lier rows are summed and leader rows reduced.
-MAX_STEP_ROWS = 50_000
+from .outliers import point_pass, step_rows
 
 META_SCHEMA = T.StructType([
     T.StructField("total_n", T.LongType()),
@@ -89,18 +86,11 @@ def batch_scale(pts: DataFrame, dims: int, row=None):
     return n, F.array(*z)
 
 
-def model_arrays(rows, dims: int) -> dict:
-    import numpy as np
-    return {"ids": np.array([r["mc_id"] for r in rows], dtype=np.int64),
-            "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), dims),
-            "rmsd": np.array([r["rmsd"] for r in rows], dtype=np.float64),
-            "n": np.array([r["n"] for r in rows], dtype=np.int64)}
-
-
-def assign_with(pts: DataFrame, model: dict, dims: int, t_factor: float) -> DataFrame:
-    udf = make_assign_udf(model, t_factor)
-    a = pts.withColumn("_a", udf(*[F.col("features")[i] for i in range(dims)]))
-    return a.select("*", "_a.mc_id", "_a.dist", "_a.radius").drop("_a")
+def usable(features: str, dims: int):
+    """Whether a point has `dims` finite components (D17)."""
+    f = F.col(features)
+    return F.coalesce((F.size(f) == dims) & F.forall(f, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))),
+                      F.lit(False))
 
 
 def snapshot_order_int(t: int, alpha: int) -> int:
@@ -184,7 +174,8 @@ class OnlineModel:
 
     def _write_and_release(self, out: DataFrame, t: int) -> None:
         try:
-            self._write(out, t)
+            self._write(out.where(F.col("kind") != "meta"), t)
+            self._write(out.where(F.col("kind") == "meta"), t)     # commits the tick
         finally:
             out.unpersist()
 
@@ -264,35 +255,19 @@ class OnlineModel:
                 cols.append(F.lit(None).cast(f.dataType).alias(f.name))
         return df.select(*cols)
 
-    def _bounded(self, passed: DataFrame, partitions: int) -> list[DataFrame]:
-        """The point pass emits up to q + L rows per input partition. One Spark
-        aggregate keyed by (kind, micro-cluster or first point) sums the
-        in-lier rows of all partitions (at most q rows leave it) and passes
-        leader rows through; with many partitions the leader rows are then
-        reduced in buckets. The model step's group stays bounded by the model,
-        not by the data."""
+    def _pass(self, pts: DataFrame, rows: list[tuple], t: int, all_in: bool = False) -> list[DataFrame]:
+        """The point pass against the clusters `rows` (mc_id, centroid, rmsd, n), as model-step rows.
+        Its result (at most q in-lier rows and one row a cell) is cached: the cells are counted
+        before they are summed."""
         cfg = self.cfg
-        d = cfg.dims
-        if partitions * (cfg.q + cfg.leader_slots) <= MAX_STEP_ROWS:
-            return [passed]             # already bounded: no extra shuffle stage
-        key = F.when(F.col("kind") == "in", F.col("mc_id")).otherwise(F.col("first_pid"))
-        agg = (passed.withColumn("_key", key).groupBy("model", "kind", "_key")
-               .agg(F.sum("n").alias("n"),
-                    F.array(*[F.sum(F.col("cf1x")[i]) for i in range(d)]).alias("cf1x"),
-                    F.array(*[F.sum(F.col("cf2x")[i]) for i in range(d)]).alias("cf2x"),
-                    F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"), F.max("last_tick").alias("last_tick"),
-                    F.first("rmsd").alias("rmsd"))
-               .withColumn("mc_id", F.when(F.col("kind") == "in", F.col("_key")))
-               .withColumn("first_pid", F.when(F.col("kind") == "new", F.col("_key"))))
-        rows = agg.select(*[(F.col(f.name) if f.name in agg.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                            for f in STEP_SCHEMA.fields])
-        if partitions * cfg.leader_slots <= MAX_LEADER_ROWS:
-            return [rows]
-        rows = rows.persist()           # small; read twice below
-        self._passed = rows
-        news = reduce_leaders(rows.where(F.col("kind") == "new"), partitions, d, cfg.leader_slots,
-                              cfg.recursive_outliers)
-        return [rows.where(F.col("kind") == "in"), news]
+        model = {"ids": np.array([r[0] for r in rows], dtype=np.int64),
+                 "centers": np.array([list(r[1]) for r in rows], dtype=np.float64).reshape(len(rows), cfg.dims),
+                 "rmsd": np.array([r[2] for r in rows], dtype=np.float64),
+                 "n": np.array([r[3] for r in rows], dtype=np.int64)}
+        centers = self.spark.createDataFrame([(int(r[0]), [float(x) for x in r[1]]) for r in rows],
+                                             "mc_id bigint, centroid array<double>")
+        self._passed = point_pass(pts, centers, model, cfg.dims, cfg.t_factor, all_in, cfg.variant).persist()
+        return step_rows(self._passed, cfg.dims, None if self.unbounded else cfg.q, t, self.key, STEP_SCHEMA)
 
     def _run_group(self, parts: list[DataFrame], t: int, n: int, batch_id: int, all_in: bool = False) -> None:
         """Model step + one write of the whole tick (model, next, delta and the
@@ -303,7 +278,7 @@ class OnlineModel:
         def fn(pdf):
             return step_group(pdf, t, nid, cfg.q, cfg.delta, cfg.remove_expired, cfg.recursive_outliers,
                               unbounded=unbounded, all_in=all_in, total_n=total, batch_id=batch_id,
-                              variant=cfg.variant, m_last=cfg.m_last)
+                              variant=cfg.variant, m_last=cfg.m_last, t_factor=cfg.t_factor)
 
         u = parts[0]
         for p in parts[1:]:
@@ -343,7 +318,7 @@ class OnlineModel:
         if batch_id is not None and batch_id <= self.batch_id:
             return None                                   # already committed
         t0 = time.time()
-        pts = batch.select(F.col("point_id").cast("bigint").alias("point_id"), "features")
+        pts = batch.where(usable("features", cfg.dims)).select(F.col("point_id").cast("bigint").alias("point_id"), "features")
         n, scale = batch_scale(pts, cfg.dims, sums)    # FLT4 guard + PRJ1 statistics
         if n == 0:
             return None
@@ -384,13 +359,11 @@ class OnlineModel:
             self._load_next(t - 1)
             for k in range(lo, t):
                 self._recent[k] = self.read("delta", [k]).select(*STEP_SCHEMA.names).collect()
-        passed = assign_and_compact(pts, model_arrays(self._next, cfg.dims), cfg.dims, cfg.t_factor,
-                                    cfg.leader_slots, cfg.recursive_outliers, t, self.key, STEP_SCHEMA,
-                                    variant=cfg.variant)
+        passed = self._pass(pts, [(r["mc_id"], r["centroid"], r["rmsd"], r["n"]) for r in self._next], t)
         # the previous model and the window deltas are model-sized: shipped from
         # the rows collected at the end of the last tick, not re-listed on disk
         nxt = self.spark.createDataFrame(self._next, STEP_SCHEMA)
-        parts = [self._as_step(nxt, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())]
+        parts = [self._as_step(nxt, "model"), *passed]
         if cfg.remove_expired and cfg.delta > 2:
             wd_rows = [r for k in range(lo, t) for r in self._recent.get(k, [])]
             wd = self.spark.createDataFrame(wd_rows, STEP_SCHEMA)      # dtick = the delta's tick
@@ -405,10 +378,7 @@ class OnlineModel:
             empty = self.spark.createDataFrame([], "mc_id bigint, centroid array<double>")
             self.initialized = True
             self._next = []
-            passed = assign_and_compact(pts, model_arrays([], cfg.dims), cfg.dims, cfg.t_factor, cfg.leader_slots,
-                                        cfg.recursive_outliers, t, self.key, STEP_SCHEMA)
-            self._run_group([self._as_step(empty, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())],
-                            t, n, bid)
+            self._run_group([self._as_step(empty, "model"), *self._pass(pts, [], t)], t, n, bid)
             return
         if cfg.init_mode == "random" or cfg.min_init_points == 0:
             if cfg.scaling == "batch":       # standardised data: the unit cube, as the reference
@@ -471,11 +441,7 @@ class OnlineModel:
         dropped after the refresh (they still lend their centroid to it)."""
         cfg = self.cfg
         rows = centers.orderBy("mc_id").collect()                 # q start centers
-        model = {"ids": np.array([r["mc_id"] for r in rows], dtype=np.int64),
-                 "centers": np.array([list(r["centroid"]) for r in rows], dtype=np.float64).reshape(len(rows), cfg.dims),
-                 "rmsd": np.zeros(len(rows)), "n": np.zeros(len(rows), dtype=np.int64)}
-        passed = assign_and_compact(pts, model, cfg.dims, cfg.t_factor, cfg.leader_slots, cfg.recursive_outliers,
-                                    t, self.key, STEP_SCHEMA, all_in=True)
+        passed = self._pass(pts, [(r["mc_id"], r["centroid"], 0.0, 0) for r in rows], t, all_in=True)
         start = centers.select("mc_id", F.array(F.col("mc_id")).alias("ids"), F.lit(0).cast("bigint").alias("n"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf1x"),
                                F.array(*[F.lit(0.0)] * cfg.dims).alias("cf2x"),
@@ -483,8 +449,7 @@ class OnlineModel:
                                F.lit(t).cast("bigint").alias("last_tick"), "centroid",
                                F.lit(0.0).alias("rmsd"))
         self.initialized = True
-        self._run_group([self._as_step(start, "model"), *self._bounded(passed, pts.rdd.getNumPartitions())],
-                        t, n, bid, all_in=True)
+        self._run_group([self._as_step(start, "model"), *passed], t, n, bid, all_in=True)
         self.next_id = max(self.next_id, cfg.q)
 
 
@@ -506,6 +471,9 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
     step prunes to its partition without a copy.
     """
     model = OnlineModel(spark, cfg, f"{path}/model", unbounded=unbounded)
+    fine = usable("features", cfg.dims)
+    points.where(~fine).write.mode("overwrite").parquet(f"{path}/quarantine")
+    points = points.where(fine)
     bucketed = bucket_by_tick(points, f"{path}/points") if bucket else points
     sums = tick_sums(bucketed, cfg.dims)          # every tick's statistics in one job
     ticks = sorted(sums)
@@ -528,8 +496,8 @@ def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType | None
 
     fmt="parquet": files of (point_id, features). fmt="text": one message per
     line, "x1,x2,..." as the reference's producer sends them; lines are parsed
-    (SRC3), point ids follow the batch's file and line order, and rejected
-    lines are appended to `<path>/quarantine` with their reason.
+    (SRC3), point ids follow the batch's file and line order. Rejected lines
+    (with their reason) or rows go to `<path>/quarantine`, a folder a batch.
     """
     from ..sources.points import parse_points
     model = OnlineModel(spark, cfg, f"{path}/model")
@@ -537,10 +505,15 @@ def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType | None
     stream = reader.text(source_dir) if fmt == "text" else reader.schema(schema).parquet(source_dir)
 
     def each(df: DataFrame, batch_id: int) -> None:
+        if batch_id <= model.batch_id:
+            return                                        # committed before a restart
         if fmt == "text":
             good, bad = parse_points(df, cfg.dims)
-            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{path}/quarantine")
             df = good.withColumn("point_id", F.monotonically_increasing_id())
+        else:
+            bad = df.where(~usable("features", cfg.dims))
+        # one folder a batch: a retry replaces it
+        bad.write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch_id}")
         model.step(df, batch_id=batch_id)
         model.flush()      # the engine commits the batch when this returns: the tick must be on disk
 

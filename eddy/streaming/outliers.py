@@ -1,227 +1,95 @@
-"""Outlier compaction on the executors (STR5, first level).
-
-The reference walks every outlier of a batch on the driver. Here each
-partition walks its own outliers in point_id order and keeps at most L
-leaders (new micro-clusters):
-
-  * a point within 2*rmsd of the nearest leader of this partition joins it
-    (when recursive absorption is on);
-  * otherwise it founds a new leader whose rmsd is its distance to the
-    nearest other centroid (the model's, from the assignment, or a leader's);
-  * once L leaders exist, it joins the nearest leader (CF stays exact).
-
-Each partition emits at most L CF rows, so the driver-side model step sees at
-most P*L new rows however many outliers the batch has. With a fixed P and
-`repartition(P, point_id)` the grouping is repeatable.
+"""Point pass of a tick (JOI1, FLT1, AGG1) with the outliers' cells (STR5, first level).
+
+The reference walks every outlier of a batch on the driver, in arrival order.
+Here an outlier belongs to a cell: its nearest micro-cluster and its offset
+from that centroid, divided by the cluster's boundary radius and floored. Cells
+and in-lier sums come out of one aggregate with map-side combine; the result is
+a function of the points alone, whatever files or partitions hold them.
+
+A capacity-bound model takes at most q new clusters a tick: the cells' width
+doubles (coordinates halve) until at most q are left, each coarser cell being the
+sum of its parts. The unbounded model keeps the finest cells. Deviation from the
+arrival-order walk: neighbours in a cell join whatever came first, and a point
+within the radius of another cell's first point stays in its own cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEADER_SCHEMA = T.StructType([
-    T.StructField("first_pid", T.LongType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("cf1x", T.ArrayType(T.DoubleType())),
-    T.StructField("cf2x", T.ArrayType(T.DoubleType())),
-    T.StructField("rmsd", T.DoubleType()),
-])
-
-
-def _rmsd(s1: np.ndarray, s2: np.ndarray, n: int) -> float:
-    a, b = s2[0], s1[0] * s1[0]
-    for d in range(1, len(s1)):
-        a, b = a + s2[d], b + s1[d] * s1[d]
-    nd = float(n)
-    return float(np.sqrt(max(a / nd - b / (nd * nd), 0.0)))
-
-
-class Leaders:
-    """Leader state of one partition; points are fed in point_id order, batch
-    by batch, so memory is O(L) whatever the partition size."""
-
-    def __init__(self, dims: int, slots: int, recursive: bool):
-        self.dims, self.slots, self.recursive = dims, slots, recursive
-        self.cen = np.zeros((0, dims))
-        self.s1: list[np.ndarray] = []
-        self.s2: list[np.ndarray] = []
-        self.cnt: list[int] = []
-        self.rad: list[float] = []
-        self.first: list[int] = []
-
-    def feed(self, x: np.ndarray, pid: np.ndarray, model_dist: np.ndarray) -> None:
-        for i in range(len(x)):
-            self._one(x[i], int(pid[i]), float(model_dist[i]))
-
-    def _one(self, p: np.ndarray, pid: int, mdist: float) -> None:
-        near = mdist if mdist > 0 else np.inf
-        if self.cnt:
-            diff = self.cen - p
-            d2 = diff[:, 0] * diff[:, 0]
-            for d in range(1, self.dims):
-                d2 = d2 + diff[:, d] * diff[:, d]
-            j = int(np.argmin(d2))
-            dj = float(np.sqrt(d2[j]))
-            if (self.recursive and dj <= 2.0 * self.rad[j]) or len(self.cnt) >= self.slots:
-                self.s1[j] = self.s1[j] + p
-                self.s2[j] = self.s2[j] + p * p
-                self.cnt[j] += 1
-                self.cen[j] = self.s1[j] / self.cnt[j]
-                self.rad[j] = _rmsd(self.s1[j], self.s2[j], self.cnt[j])
-                return
-            nz = d2[d2 != 0.0]
-            if len(nz):
-                near = min(near, float(np.sqrt(nz.min())))
-        self.s1.append(p.copy())
-        self.s2.append(p * p)
-        self.cnt.append(1)
-        self.rad.append(near)
-        self.first.append(pid)
-        self.cen = np.vstack([self.cen, p[None, :]])
-
-    def rows(self) -> list[tuple]:
-        return [(self.first[j], self.cnt[j], self.s1[j].tolist(), self.s2[j].tolist(), self.rad[j])
-                for j in range(len(self.cnt))]
-
-
-def leader_walk(x: np.ndarray, pid: np.ndarray, model_dist: np.ndarray, slots: int,
-                recursive: bool) -> list[tuple]:
-    """Sequential leader clustering of one ordered run of outliers."""
-    lead = Leaders(x.shape[1], slots, recursive)
-    lead.feed(x, pid, model_dist)
-    return lead.rows()
-
-
-def compact_outliers(outliers: DataFrame, dims: int, partitions: int, slots: int,
-                     recursive: bool = True) -> DataFrame:
-    """(point_id, features, dist) outliers -> at most partitions*slots leader CF rows."""
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = Leaders(dims, slots, recursive)
-        for pdf in it:          # batches arrive in point_id order (sorted partition)
-            if len(pdf) == 0:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["features"]]).reshape(len(pdf), dims)
-            lead.feed(x, pdf["point_id"].to_numpy(), pdf["dist"].to_numpy(dtype=np.float64))
-        rows = lead.rows()
-        if rows:
-            yield pd.DataFrame(rows, columns=[f.name for f in LEADER_SCHEMA.fields])
-
-    return (outliers.select("point_id", "features", "dist")
-            .repartition(partitions, "point_id")
-            .sortWithinPartitions("point_id")
-            .mapInPandas(fn, LEADER_SCHEMA))
-
-
-def assign_and_compact(pts: DataFrame, model: dict, dims: int, t_factor: float, slots: int, recursive: bool,
-                       tick: int, model_key: int, schema: T.StructType, all_in: bool = False,
-                       variant: str = "dynamic") -> DataFrame:
-    """One pass over a tick's points (JOI1 + FLT1 + AGG1 + STR5 first level).
-
-    Per partition, in point_id order: nearest centroid of the broadcast model
-    (at most q rows), in-lier test, in-lier CF summed per micro-cluster
-    (map-side combine) and the leader walk over the outliers. A partition
-    emits at most q + L rows, so the shuffle to the model step is tiny
-    whatever the batch size.
-    """
-    from ..operators.assign import squared_distances
-    ids, centers = model["ids"], model["centers"]
-    if variant == "fixed":
-        # fixed-q variant: in-liers within rmsd, absorbed up to t_factor*rmsd;
-        # both join the nearest cluster's CF
-        rad = t_factor * model["rmsd"]
+from ..operators.assign import make_assign_udf
+
+# Doublings tried in one pass; coarser than that, a cell is its whole cluster's outliers.
+LEVELS = 24
+
+
+def cell_of(features, centroid, radius, dims: int):
+    """Cell coordinates; a cluster without extent, or no cluster, counts with width 1."""
+    width = F.when(radius > 0, radius).otherwise(F.lit(1.0))
+    return F.array(*[F.floor((features[d] - F.coalesce(centroid[d], F.lit(0.0))) / width).cast("bigint") for d in range(dims)])
+
+
+def cell_sums(points: DataFrame, dims: int, keys: list) -> DataFrame:
+    """(keys, n, cf1x, cf2x, first_pid): CF sums of points per key."""
+    f = F.col("features")
+    agg = points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first_pid"),
+        *[F.sum(f[d]).alias(f"_a{d}") for d in range(dims)], *[F.sum(f[d] * f[d]).alias(f"_b{d}") for d in range(dims)])
+    return agg.select(*keys, "n", "first_pid", F.array(*[F.col(f"_a{d}") for d in range(dims)]).alias("cf1x"),
+                      F.array(*[F.col(f"_b{d}") for d in range(dims)]).alias("cf2x"))
+
+
+def point_pass(pts: DataFrame, centers: DataFrame, model: dict, dims: int, t_factor: float, all_in: bool = False,
+               variant: str = "dynamic") -> DataFrame:
+    """(mc_id, cell, n, first_pid, cf1x, cf2x): in-lier sums per micro-cluster (cell is null) and
+    outlier sums per cell. `centers` (mc_id, centroid) and `model` are the same clusters; the
+    fixed-q variant splits at one RMSD."""
+    udf = make_assign_udf(model, 1.0 if variant == "fixed" else t_factor, plain=variant == "fixed")
+    near = pts.withColumn("_a", udf(*[F.col("features")[i] for i in range(dims)])).select(
+        "point_id", "features", F.coalesce("_a.mc_id", F.lit(-1)).alias("mc_id"), "_a.dist", "_a.radius")
+    is_in = F.lit(True) if all_in else F.coalesce(F.col("dist") <= F.col("radius"), F.lit(False))
+    placed = near.join(centers.select("mc_id", "centroid"), "mc_id", "left")
+    cell = F.when(~is_in, cell_of(F.col("features"), F.col("centroid"), F.col("radius"), dims))
+    return cell_sums(placed.withColumn("cell", cell), dims, ["mc_id", "cell"])
+
+
+def coarsen(cells: DataFrame, dims: int, q: int) -> DataFrame:
+    """Outlier cells summed to at most q: the least doubling that leaves q, else one cell a cluster
+    (and then, with more than q clusters, the nearest ids' cells together)."""
+    sizes = (cells.select("mc_id", "cell", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
+             .select("k", "mc_id", F.transform("cell", lambda x: F.call_function("shiftright", x, F.col("k"))).alias("c"))
+             .distinct().groupBy("k").agg(F.count(F.lit(1)).alias("cells")).collect())       # LEVELS + 1 rows
+    fits = [r["k"] for r in sizes if r["cells"] <= q]
+    if not sizes or 0 in fits:
+        return cells
+    if fits:
+        k = min(fits)
+        key = F.transform("cell", lambda x: F.call_function("shiftright", x, F.lit(k)))
     else:
-        rad = np.where(model["n"] == 1, 2.0 * model["rmsd"], t_factor * model["rmsd"])
-    q = len(ids)
-    names = [f.name for f in schema.fields]
-
-    def row(kind, **kw):
-        r = dict.fromkeys(names)
-        r.update(kind=kind, model=model_key, **kw)
-        return r
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = Leaders(dims, slots, recursive)
-        cnt = np.zeros(q, dtype=np.int64)
-        s1 = np.zeros((q, dims))
-        s2 = np.zeros((q, dims))
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["features"]]).reshape(len(pdf), dims)
-            if q == 0:                      # empty model: every point is an outlier
-                lead.feed(x, pdf["point_id"].to_numpy(), np.full(len(x), np.inf))
-                continue
-            d2 = squared_distances([x[:, d] for d in range(dims)], centers)
-            pos = np.argmin(d2, axis=1)
-            dist = np.sqrt(d2[np.arange(len(pos)), pos])
-            inl = np.ones(len(pos), dtype=bool) if all_in else dist <= rad[pos]
-            p_in = pos[inl]
-            cnt += np.bincount(p_in, minlength=q)
-            for d in range(dims):
-                s1[:, d] += np.bincount(p_in, weights=x[inl, d], minlength=q)
-                s2[:, d] += np.bincount(p_in, weights=x[inl, d] * x[inl, d], minlength=q)
-            out = ~inl
-            if out.any():
-                lead.feed(x[out], pdf["point_id"].to_numpy()[out], dist[out])
-        rows = [row("in", mc_id=int(ids[j]), n=int(cnt[j]), cf1x=s1[j].tolist(), cf2x=s2[j].tolist(),
-                    cf1t=int(cnt[j]) * tick, cf2t=int(cnt[j]) * tick * tick, last_tick=tick)
-                for j in np.nonzero(cnt)[0]]
-        rows += [row("new", first_pid=f, n=n, cf1x=a, cf2x=b, rmsd=r) for f, n, a, b, r in lead.rows()]
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    return pts.select("point_id", "features").sortWithinPartitions("point_id").mapInPandas(fn, schema)
-
-
-# Leader rows the model step takes in one group; above this the per-partition
-# leaders are first reduced in buckets (a second level of the same walk).
-MAX_LEADER_ROWS = 4096
-
-
-def _reduce_rows(pdf: pd.DataFrame, dims: int, slots: int, recursive: bool) -> pd.DataFrame:
-    """The leader walk over CF rows (first_pid order): a row joins the nearest
-    leader when its centroid lies within 2*rmsd of it (or when all slots are
-    taken), else it becomes a leader. CF sums stay exact."""
-    pdf = pdf.sort_values("first_pid", kind="stable")
-    out: list[dict] = []
-    cen: list[np.ndarray] = []
-    for r in pdf.itertuples(index=False):
-        s1, s2, n = np.asarray(r.cf1x, dtype=np.float64), np.asarray(r.cf2x, dtype=np.float64), int(r.n)
-        c = s1 / n
-        if out:
-            d2 = [float(((c - x) * (c - x)).sum()) for x in cen]
-            j = int(np.argmin(d2))
-            if (recursive and np.sqrt(d2[j]) <= 2.0 * out[j]["rmsd"]) or len(out) >= slots:
-                o = out[j]
-                o["cf1x"], o["cf2x"], o["n"] = o["cf1x"] + s1, o["cf2x"] + s2, o["n"] + n
-                cen[j] = o["cf1x"] / o["n"]
-                o["rmsd"] = _rmsd(o["cf1x"], o["cf2x"], o["n"])
-                continue
-        row = r._asdict()
-        row.update(cf1x=s1, cf2x=s2, n=n)
-        out.append(row)
-        cen.append(c)
-    for o in out:
-        o["cf1x"], o["cf2x"] = o["cf1x"].tolist(), o["cf2x"].tolist()
-    return pd.DataFrame(out, columns=list(pdf.columns))
-
-
-def reduce_leaders(new_rows: DataFrame, partitions: int, dims: int, slots: int, recursive: bool) -> DataFrame:
-    """Bound the leader rows that reach the model step: with P input
-    partitions the first level yields up to P*L rows; beyond MAX_LEADER_ROWS
-    they are reduced per bucket of first_pid (each bucket holds about
-    MAX_LEADER_ROWS rows) by the same walk, leaving at most buckets*L rows."""
-    if partitions * slots <= MAX_LEADER_ROWS:
-        return new_rows
-    buckets = max(1, (partitions * slots) // MAX_LEADER_ROWS)
-    schema = new_rows.schema
-    return (new_rows.withColumn("_b", F.col("first_pid") % F.lit(buckets))
-            .groupBy("_b").applyInPandas(lambda pdf: _reduce_rows(pdf.drop(columns=["_b"]), dims, slots, recursive),
-                                         schema))
+        key = F.transform("cell", lambda x: F.lit(0).cast("bigint"))
+    return _summed(cells.withColumn("cell", key), dims)
+
+
+def _summed(cells: DataFrame, dims: int) -> DataFrame:
+    agg = cells.groupBy("mc_id", "cell").agg(
+        F.sum("n").alias("n"), F.min("first_pid").alias("first_pid"),
+        *[F.sum(F.col(v)[d]).alias(f"_{v}{d}") for v in ("cf1x", "cf2x") for d in range(dims)])
+    return agg.select("mc_id", "cell", "n", "first_pid",
+                      *[F.array(*[F.col(f"_{v}{d}") for d in range(dims)]).alias(v) for v in ("cf1x", "cf2x")])
+
+
+def step_rows(passed: DataFrame, dims: int, q: int | None, tick: int, key: int, schema: T.StructType) -> list[DataFrame]:
+    """The model step's rows (kinds `in` and `new`) of a cached point pass; q = None keeps every cell."""
+    ins = passed.where(F.col("cell").isNull()).select(
+        "*", F.lit("in").alias("kind"), (F.col("n") * tick).alias("cf1t"), (F.col("n") * (tick * tick)).alias("cf2t"),
+        F.lit(tick).alias("last_tick")).drop("first_pid")
+    cells = passed.where(F.col("cell").isNotNull())
+    news = (cells if q is None else coarsen(cells, dims, q)).withColumn("kind", F.lit("new")).drop("mc_id")
+    out = []
+    for df in (ins, news):
+        df = df.withColumn("model", F.lit(key))
+        out.append(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                               for f in schema.fields]))
+    return out

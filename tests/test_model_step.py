@@ -21,7 +21,7 @@ def model_row(mc_id, pts, tick=1):
 
 def new_row(pid, p):
     p = np.array(p, dtype=float)
-    return row("new", first_pid=pid, n=1, cf1x=p.tolist(), cf2x=(p * p).tolist(), rmsd=np.inf)
+    return row("new", first_pid=pid, n=1, cf1x=p.tolist(), cf2x=(p * p).tolist())
 
 
 def in_row(mc_id, pts, tick):
@@ -75,3 +75,22 @@ def test_commit_row_carries_next_id():
     out = run(BASE + [new_row(7, [500, 500])], q=5, total_n=9, batch_id=3)
     meta = out["meta"].iloc[0]
     assert meta["next_id"] == 101 and meta["total_n"] == 9 and meta["batch_id"] == 3
+
+
+def test_fixed_q_absorbs_only_into_clusters_of_this_tick():
+    """VAR3: an outlier near an old cluster founds a new one; the next, within t_factor * rmsd of that, joins it."""
+    rows = BASE + [new_row(1, [0, 3]), new_row(2, [0, 4])]
+    near = run(rows, q=10, variant="fixed", t_factor=3.0)["model"]
+    assert near[near["mc_id"] >= 100]["n"].tolist() == [2] and near.set_index("mc_id").loc[0, "n"] == 2
+    apart = run(rows, q=10, variant="fixed", t_factor=0.1)["model"]
+    assert sorted(apart[apart["mc_id"] >= 100]["n"]) == [1, 1]
+
+
+def test_fixed_q_takes_a_stale_slot_before_capacity():
+    out = run(BASE + [new_row(1, [50, 50])], tick=20, q=10, delta=5, variant="fixed", m_last=1)["model"]
+    assert sorted(out["mc_id"]) == [1, 100]
+
+
+def test_unbounded_model_deletes_stale_clusters():
+    out = run(BASE + [in_row(1, [[10, 10]] * 9, 20)], tick=20, q=2, delta=5, unbounded=True, expire=False, m_last=1)["model"]
+    assert out["mc_id"].tolist() == [1]

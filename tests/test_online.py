@@ -11,8 +11,7 @@ from eddy.streaming.online import OnlineModel, replay, run_stream
 
 from conftest import SF_SMALL
 
-CFG = ModelConfig(q=12, dims=2, delta=4, scaling="none", init_mode="random", alpha=2, l=1, seed=3,
-                  leader_slots=4, outlier_partitions=2)
+CFG = ModelConfig(q=12, dims=2, delta=4, scaling="none", init_mode="random", alpha=2, l=1, seed=3)
 TICKS = 9
 
 
@@ -113,16 +112,43 @@ def test_text_stream_parses_and_quarantines(spark):
     assert spark.read.parquet(f"{base}/s/quarantine").count() == 2
 
 
-def test_many_partitions_path_gives_the_same_model(spark, monkeypatch):
-    """Forcing the pre-aggregation path (as with thousands of input
-    partitions) must not change the model."""
-    import eddy.streaming.online as O
+def _state(m):
+    return sorted((r["mc_id"], r["n"], tuple(np.round(r["cf1x"], 9)), tuple(np.round(r["cf2x"], 9)), tuple(sorted(r["ids"])))
+                  for r in m.model().collect())
+
+
+@pytest.mark.parametrize("unbounded", [False, True])
+def test_model_does_not_depend_on_the_file_layout(spark, unbounded):
+    cfg = CFG.replace(remove_expired=not unbounded)
     pts = I.ev_points(spark, SF_SMALL).where(F.col("tick") <= 4)
-    a = replay(spark, pts, CFG, work_dir(spark, "test-direct"))
-    monkeypatch.setattr(O, "MAX_STEP_ROWS", 0)
-    b = replay(spark, pts, CFG, work_dir(spark, "test-preagg"))
-    key = lambda m: sorted((r["mc_id"], r["n"], tuple(np.round(r["cf1x"], 9))) for r in m.model().collect())
-    assert key(a) == key(b)
+    got = []
+    for files in (1, 6, 64):
+        base = work_dir(spark, f"test-layout-{files}")
+        pts.repartition(files).write.partitionBy("tick").parquet(f"{base}/points")
+        got.append(_state(replay(spark, spark.read.parquet(f"{base}/points"), cfg, base, unbounded=unbounded, bucket=False)))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_unusable_points_change_nothing(spark):
+    pts = I.ev_points(spark, SF_SMALL).where(F.col("tick") <= 3).select("point_id", "tick", "features")
+    bad = spark.createDataFrame([(-1, 2, [float("nan"), 1.0]), (-2, 2, [1.0]), (-3, 3, None), (-4, 3, [float("inf"), 0.0])],
+                                "point_id bigint, tick bigint, features array<double>")
+    cfg = CFG.replace(scaling="batch")
+    a = replay(spark, pts, cfg, work_dir(spark, "test-clean"))
+    base = work_dir(spark, "test-dirty")
+    b = replay(spark, pts.unionByName(bad), cfg, base)
+    assert _state(a) == _state(b) and a.total == b.total
+    assert spark.read.parquet(f"{base}/quarantine").count() == 4
+
+
+def test_outlier_cells_are_bounded_and_whole(spark):
+    from eddy.streaming.outliers import coarsen
+    rows = [(m, [x, y], 1, m * 1000 + x * 20 + y, [float(x), float(y)], [1.0, 1.0]) for m in range(3) for x in range(-9, 10) for y in range(8)]
+    cells = spark.createDataFrame(rows, "mc_id bigint, cell array<bigint>, n bigint, first_pid bigint, cf1x array<double>, cf2x array<double>")
+    for q in (1000, 100, 12, 3):
+        out = coarsen(cells, 2, q).collect()
+        assert len(out) <= q and sum(r["n"] for r in out) == len(rows)
+        assert sum(r["cf1x"][0] for r in out) == sum(r[4][0] for r in rows)
 
 
 def test_online_report_covers_kept_snapshots(run):

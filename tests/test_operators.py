@@ -17,7 +17,6 @@ from eddy.operators.scale import standardize
 from eddy.sources.points import parse_points
 from eddy.streaming.model_step import MC, prune, refresh
 from eddy.streaming.online import dropped_snapshot
-from eddy.streaming.outliers import leader_walk
 
 
 def pts(spark, rows, dims):
@@ -171,12 +170,6 @@ def test_horizon_before_first_snapshot_uses_earliest(spark):
     assert got == {9: (8, 4), 3: (None, None)}
 
 
-def test_leader_walk_absorbs_and_caps():
-    x = np.array([[0.0, 0.0], [0.1, 0.0], [5.0, 5.0], [9.0, 9.0]])
-    rows = leader_walk(x, np.arange(4), np.array([1.0, 1.0, 1.0, 1.0]), slots=2, recursive=True)
-    assert sum(r[1] for r in rows) == 4 and len(rows) == 2
-
-
 def test_model_prune_merges_last_into_earlier():
     def mc(i, c, r, n=2):
         c = np.array(c, dtype=float)
@@ -205,8 +198,7 @@ def test_unbounded_model_starts_empty(spark):
     from eddy.config import work_dir
     from eddy.plans import inputs as I
     from eddy.streaming.online import replay
-    cfg = ModelConfig(q=2, dims=2, delta=3, scaling="none", remove_expired=False, leader_slots=4,
-                      outlier_partitions=2)
+    cfg = ModelConfig(q=2, dims=2, delta=3, scaling="none", remove_expired=False)
     pts = I.ev_points(spark, "/root/testdata/sf0.001")
     m = replay(spark, pts, cfg, work_dir(spark, "test-unbounded"), unbounded=True, max_ticks=3)
     rows = m.model().collect()
@@ -282,11 +274,10 @@ def test_horizon_subtracts_related_clusters_sequentially(spark):
     assert same == {1: 10, 4: 2}          # t1 - h < t2: nothing is subtracted
 
 
-def test_macro_merge_cap_is_explicit(spark):
+def test_macro_merge_keeps_every_cluster(spark):
     rows = [(3, [0, 0], [2, 0]), (3, [3, 0], [5, 0]), (1, [100, 0], [10000, 0])]
     full = macro_merge(_cf_rows(spark, rows), ["tick"], 2).agg(F.sum("n")).first()[0]
-    capped = macro_merge(_cf_rows(spark, rows), ["tick"], 2, max_clusters=2).agg(F.sum("n")).first()[0]
-    assert full == 7 and capped == 6
+    assert full == 7
 
 
 def test_merge_stamps_the_merge_tick(spark):
@@ -311,20 +302,10 @@ def test_capacity_merge_fits_every_group(spark):
     assert any({0, 1} <= set(r["ids"]) for r in by_tick[0])
 
 
-def test_leader_rows_are_reduced_when_partitions_are_many(spark):
-    from eddy.streaming.model_step import STEP_SCHEMA
-    from eddy.streaming.outliers import MAX_LEADER_ROWS, reduce_leaders
-    rng = np.random.default_rng(3)
-    rows = []
-    for i in range(300):
-        p = np.round(rng.normal(size=2) * 10)
-        r = dict.fromkeys(STEP_SCHEMA.names)
-        r.update(kind="new", model=0, first_pid=i, n=1, cf1x=p.tolist(), cf2x=(p * p).tolist(), rmsd=1.0)
-        rows.append(tuple(r[k] for k in STEP_SCHEMA.names))
-    df = spark.createDataFrame(rows, STEP_SCHEMA)
-    partitions, slots = 10 * MAX_LEADER_ROWS, 4
-    out = reduce_leaders(df, partitions, 2, slots, True).collect()
-    buckets = partitions * slots // MAX_LEADER_ROWS
-    assert len(out) <= buckets * slots and sum(r["n"] for r in out) == 300
-    assert np.allclose(np.sum([r["cf1x"] for r in out], axis=0), np.sum([r[5] for r in rows], axis=0))
-    assert reduce_leaders(df, 1, 2, slots, True) is df      # few partitions: untouched
+
+
+def test_random_centers_are_distinct_and_fill_the_box(spark):
+    from eddy.operators.init import random_centers
+    rows = [tuple(r["centroid"]) for r in random_centers(spark, 2000, [(0.0, 1.0), (0.0, 1.0)], 42).collect()]
+    assert len(set(rows)) == 2000
+    assert len({(int(x * 10), int(y * 10)) for x, y in rows}) == 100
