@@ -71,11 +71,14 @@ def test_signatures_never_miss():
 
 def test_sketch_is_a_lower_bound():
     rnd = np.random.default_rng(6)
-    sets = [np.unique(rnd.integers(0, 500, n).astype("<u8")) for n in (0, 3, 50, 200, 300)]
-    bits = np.unpackbits(jaccard_join.sketches(sets).view("u1"), axis=1)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            assert (bits[i] != bits[j]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+    sets = [np.unique(rnd.integers(0, 900, n).astype("<u8")) for n in (0, 3, 50, 200, 300, 700, 900)]
+    words = jaccard_join.sketch_words(np.array([len(s) for s in sets]))
+    bits = [np.unpackbits(x.view("u1"), bitorder="little") for x in np.split(jaccard_join.sketches(sets), np.cumsum(words)[:-1])]
+    for x, a in zip(bits, sets):
+        for y, b in zip(bits, sets):
+            n = min(len(x), len(y))
+            fold = [z.reshape(-1, n).sum(0) % 2 for z in (x, y)]
+            assert (fold[0] != fold[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_shingles():
