@@ -109,7 +109,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = os.path.join("/tmp", "eddy-checkpoints")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = os.path.join("/tmp", "eddy-checkpoints")     # one machine, as in tests
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 

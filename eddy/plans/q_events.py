@@ -253,9 +253,9 @@ def q_online_centers(spark, sf_dir):
     return c.select("tick", "mc_id", *[F.col("center")[d].alias(f"center_{d}") for d in range(D)])
 
 
-REPORT_LINE = """concat('ids=[', CAST(mc_id AS VARCHAR), '] cf2x=[', CAST(CAST(s2_0 AS BIGINT) AS VARCHAR), ',',
-         CAST(CAST(s2_1 AS BIGINT) AS VARCHAR), '] cf1x=[', CAST(CAST(s1_0 AS BIGINT) AS VARCHAR), ',',
-         CAST(CAST(s1_1 AS BIGINT) AS VARCHAR), '] cf2t=', CAST(cf2t AS VARCHAR), ' cf1t=', CAST(cf1t AS VARCHAR),
+REPORT_LINE = """concat('ids=[', CAST(mc_id AS VARCHAR), '] cf2x=[', CAST(CAST(s2_0 / 8.0 AS DECIMAL(38,6)) AS VARCHAR), ',',
+         CAST(CAST(s2_1 / 8.0 AS DECIMAL(38,6)) AS VARCHAR), '] cf1x=[', CAST(CAST(s1_0 / 8.0 AS DECIMAL(38,6)) AS VARCHAR), ',',
+         CAST(CAST(s1_1 / 8.0 AS DECIMAL(38,6)) AS VARCHAR), '] cf2t=', CAST(cf2t AS VARCHAR), ' cf1t=', CAST(cf1t AS VARCHAR),
          ' n=', CAST(n AS VARCHAR))"""
 
 
@@ -264,11 +264,12 @@ REPORT_LINE = """concat('ids=[', CAST(mc_id AS VARCHAR), '] cf2x=[', CAST(CAST(s
 FROM snap""")
 def q_snapshot_report(spark, sf_dir):
     """SRC10: one text line per micro-cluster of every kept snapshot, plus the
-    snapshot's total n."""
+    snapshot's total n; the sums are printed in eighths, so they are no integers."""
     deltas = cut_lineage(I.ev_deltas(spark, sf_dir))
     _saved_df, _now, ticks = _saved(spark, sf_dir, deltas)
     snaps = P.snapshots_at(deltas, ticks, D)
-    return S.report(snaps).select("tick", "mc_id", "n", "line", "snapshot_n")
+    eighths = {c: F.transform(c, lambda x: x / F.lit(8.0)) for c in ("cf1x", "cf2x")}
+    return S.report(snaps.withColumns(eighths), digits=6).select("tick", "mc_id", "n", "line", "snapshot_n")
 
 
 @register("snapshot_roundtrip", _with(*EV_CF, SAVED_SQL, SNAP_SQL, f"""win AS (

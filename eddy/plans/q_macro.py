@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import work_dir
+from ..config import cut_lineage, work_dir
 from ..operators import macro as M
 from ..operators import pyramid as P
 from ..operators.assign import assign_nearest
@@ -135,16 +135,13 @@ def q_streaming_kmeans_step(spark, sf_dir):
 
 # ------------------------------------------------------- offline sweep (CLU9)
 
-SWEEP_START = 4
-
-
 def _sweep_sql() -> str:
     d = I.EV_DIMS
     dd = " + ".join(f"(a.m{k} - b.m{k}) * (a.m{k} - b.m{k})" for k in range(d))
     snap = f"""snap AS (
   SELECT s.tick, d.mc_id, CAST(sum(d.n) AS BIGINT) AS n, {', '.join(f'sum(d.s1_{k}) AS s1_{k}' for k in range(d))},
          {', '.join(f'sum(d.s2_{k}) AS s2_{k}' for k in range(d))}
-  FROM (SELECT DISTINCT tick FROM ev_pts WHERE tick >= {SWEEP_START}) s JOIN ecf d ON d.tick <= s.tick
+  FROM (SELECT DISTINCT tick FROM ev_pts) s JOIN ecf d ON d.tick <= s.tick
   GROUP BY s.tick, d.mc_id)"""
     edges = f"""near AS (
   SELECT a.tick, a.mc_id AS src, b.mc_id AS dst, sqrt({dd}) AS dist, b.rmsd AS dst_rmsd,
@@ -164,10 +161,15 @@ FROM info i LEFT JOIN comp c ON i.tick = c.tick AND i.mc_id = c.mc_id GROUP BY A
 
 @register("offline_sweep", _sweep_sql())
 def q_offline_sweep(spark, sf_dir):
-    """CLU9 (merge path): macro merge of the cumulative snapshot at every tick
-    from the start tick on, all ticks in one set of jobs."""
-    deltas = I.ev_deltas(spark, sf_dir)
-    ticks = tick_list(deltas.where(F.col("tick") >= SWEEP_START))
+    """CLU9 (merge path): macro merge of the cumulative snapshot at every tick,
+    all ticks in one set of jobs."""
+    return sweep(spark, sf_dir)
+
+
+def sweep(spark, sf_dir, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The sweep over ticks start to end (both inclusive; default all)."""
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))          # model-sized, read twice
+    ticks = [t for t in tick_list(deltas) if (start is None or t >= start) and (end is None or t <= end)]
     snaps = P.snapshots_at(deltas, ticks, I.EV_DIMS).drop("ids")
     out = macro_merge(snaps, ["tick"], I.EV_DIMS)
     return out.select("tick", "new_cluster_id", "n", *[F.col("centroid")[k].alias(f"center_{k}")

@@ -14,7 +14,7 @@ from ..operators.assign import assign_nearest, split_inliers
 from ..operators.nearest import refresh_info
 from ..operators.scale import pca_project
 from ..sources.points import embedding_points, tick_list
-from ..streaming.online import OnlineModel, replay, run_stream
+from ..streaming.online import OnlineModel, file_source, replay, run_stream
 from ..streaming.outliers import cell_of, cell_sums
 from . import inputs as I
 from .catalog import _with, register
@@ -71,7 +71,7 @@ def q_file_stream(spark, sf_dir):
         (spark.read.parquet(f"{base}/by-tick").where(F.col("tick") == t).drop("tick").coalesce(1)
          .write.mode("append").parquet(src))
     schema = spark.read.parquet(src).schema
-    m = run_stream(spark, src, schema, ONLINE_CFG, base)
+    m = run_stream(spark, file_source(spark, src, schema), ONLINE_CFG, base)
     return model_view(m.model(), I.EV_DIMS)
 
 

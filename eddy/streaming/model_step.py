@@ -284,5 +284,5 @@ def step_group(pdf: pd.DataFrame, tick: int, next_id: int, q: int, delta: int, r
         out.append(("next", model_key, m.mc_id, m.ids, m.n, m.s1.tolist(), m.s2.tolist(), m.cf1t, m.cf2t,
                     m.last_tick, m.centroid.tolist(), m.rmsd, None, tick))
     used = [i for m in mlist for i in m.ids] + [next_id - 1]
-    meta = ("meta", model_key) + (None,) * 11 + (tick, total_n, max(used) + 1, batch_id, True)
+    meta = ("meta", model_key, None, None, outliers) + (None,) * 8 + (tick, total_n, max(used) + 1, batch_id, True)
     return pd.DataFrame([r + (None, None, None, None) for r in out] + [meta], columns=COLS)

@@ -13,6 +13,7 @@ State lives in one Parquet table partitioned by (kind, tick):
               pyramidal schedule)
   kind=next   the model after expiry, which assigns the next tick
   kind=delta  each tick's contribution per micro-cluster id (window + horizon)
+  kind=skm    centers and weights of a streaming k-means init that is under way
   kind=meta   tick, total points, next free id and the committed batch id
 A tick's partitions are written with dynamic overwrite, and the meta row in a
 second write after them, so a retried batch rewrites exactly its own
@@ -22,6 +23,7 @@ is skipped: the loop survives executor loss and driver restarts.
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -115,6 +117,7 @@ class TickReport:
     total_n: int
     clusters: int
     seconds: float
+    outliers: int = 0
 
 
 class OnlineModel:
@@ -127,13 +130,14 @@ class OnlineModel:
         self.unbounded = unbounded
         self.tick, self.total, self.next_id, self.batch_id = 0, 0, 0, -1
         self.initialized = False
-        self.reports: list[TickReport] = []
+        self.reports: collections.deque[TickReport] = collections.deque(maxlen=1024)   # a log of the last ticks
         self._skm = None          # streaming k-means init state (k x dims, bounded)
         self._next = None         # collected next-tick model (at most q rows)
         self._recent: dict[int, list] = {}   # delta rows of the ticks still in the window
         self._writer = ThreadPoolExecutor(max_workers=1)
         self._pending = None
         self.model_size = 0
+        self.outliers = 0
         self._resume()
 
     # ------------------------------------------------------------ state I/O
@@ -235,6 +239,9 @@ class OnlineModel:
         from ..operators.cf import cf_sum
         from ..operators.window import lineage
         tc = self.tick if tc is None else tc
+        gone = [t for t in range(max(1, tc - h + 1), tc + 1) if not self._part_exists("delta", t) and not self._part_exists("meta", t)]
+        if gone:
+            raise ValueError(f"ticks without state: {gone}")
         d = self.deltas(list(range(max(1, tc - h + 1), tc + 1)))
         roots = lineage(self.read("model", [tc]))
         j = d.join(roots.withColumnRenamed("mc_id", "root"), d.mc_id == F.col("member_id"))
@@ -307,6 +314,7 @@ class OnlineModel:
             del self._recent[old_t]
         meta = [r for r in rows if r["kind"] == "meta"]
         self.next_id = max([self.next_id] + [int(r["next_id"]) for r in meta])
+        self.outliers = sum(int(r["n"] or 0) for r in meta)
         self.model_size = size
         self.committed = True
 
@@ -329,7 +337,7 @@ class OnlineModel:
         # no cache of the whole tick: the statistics pass and the point pass are
         # two column-pruned scans, cheaper at scale than materialising the batch
         bid = batch_id if batch_id is not None else self.batch_id + 1
-        self.committed = False
+        self.committed, self.outliers = False, 0
         if not self.initialized:
             self._init_step(pts, t, n, bid)
         else:
@@ -342,7 +350,7 @@ class OnlineModel:
             self.batch_id = bid
         self._retain(t)
         clusters = self.model_size if self.initialized else 0
-        rep = TickReport(t, n, self.total, clusters, time.time() - t0)
+        rep = TickReport(t, n, self.total, clusters, time.time() - t0, self.outliers)
         self.reports.append(rep)
         return rep
 
@@ -414,6 +422,9 @@ class OnlineModel:
         enough points were seen; then the current batch initialises the model."""
         import numpy as np
         cfg = self.cfg
+        if self._skm is None and self.tick and self._part_exists("skm", self.tick):
+            kept = self.read("skm", [self.tick]).orderBy("mc_id").collect()        # q rows, after a restart
+            self._skm = (np.array([r["centroid"] for r in kept]), np.array([r["rmsd"] for r in kept]))
         if self._skm is None:
             box = [(0.0, 1.0)] * cfg.dims if cfg.scaling == "batch" else bounding_box(pts, cfg.dims)
             c0 = random_centers(self.spark, cfg.q, box, cfg.seed).orderBy("mc_id").collect()
@@ -431,6 +442,12 @@ class OnlineModel:
             centers[i] = (1.0 - lam) * centers[i] + (lam / m) * np.asarray(r["cf1x"])
             weights[i] = w2
         self._skm = (centers, weights)
+        # the state of the init, its weight in the place of a radius
+        kept = self.spark.createDataFrame([(i, c.tolist(), float(w)) for i, (c, w) in enumerate(zip(centers, weights))],
+                                          "mc_id bigint, centroid array<double>, rmsd double")
+        self._write(self._as_step(kept, "skm"), t)
+        if t > 1:
+            self._drop_partition("skm", t - 2)
         if self.total + n >= cfg.min_init_points:
             cdf = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)],
                                              "mc_id bigint, centroid array<double>")
@@ -487,27 +504,33 @@ def replay(spark: SparkSession, points: DataFrame, cfg: ModelConfig, path: str,
 
 # ------------------------------------------------------------------ streaming
 
-def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType | None, cfg: ModelConfig, path: str,
-               files_per_trigger: int = 1, trigger_seconds: float | None = None, fmt: str = "parquet") -> OnlineModel:
-    """STR1/SRC2: Structured Streaming over a folder of files, one model step
+def file_source(spark: SparkSession, source_dir: str, schema: T.StructType | None = None,
+                files_per_trigger: int = 1) -> DataFrame:
+    """SRC2: a folder of files as a stream: Parquet of the schema, or text lines without one."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(source_dir) if schema is None else reader.schema(schema).parquet(source_dir)
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, cfg: ModelConfig, path: str,
+               trigger_seconds: float | None = None) -> OnlineModel:
+    """STR1: any streaming DataFrame (`file_source`, `kafka_source`), one model step
     per micro-batch in foreachBatch (same thread as the batch, so the
     snapshot save cannot race the next batch). The query's checkpoint sits
     beside the model state; a restart resumes both.
 
-    fmt="parquet": files of (point_id, features). fmt="text": one message per
-    line, "x1,x2,..." as the reference's producer sends them; lines are parsed
+    A stream of (point_id, features) is taken as it is. One with `value`: one message per
+    row, "x1,x2,..." as the reference's producer sends them; lines are parsed
     (SRC3), point ids follow the batch's file and line order. Rejected lines
     (with their reason) or rows go to `<path>/quarantine`, a folder a batch.
     """
     from ..sources.points import parse_points
     model = OnlineModel(spark, cfg, f"{path}/model")
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.text(source_dir) if fmt == "text" else reader.schema(schema).parquet(source_dir)
+    text = "features" not in stream.columns
 
     def each(df: DataFrame, batch_id: int) -> None:
         if batch_id <= model.batch_id:
             return                                        # committed before a restart
-        if fmt == "text":
+        if text:
             good, bad = parse_points(df, cfg.dims)
             df = good.withColumn("point_id", F.monotonically_increasing_id())
         else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eddy.config import ModelConfig, work_dir
 from eddy.operators import pyramid as P
 from eddy.plans import inputs as I
-from eddy.streaming.online import OnlineModel, replay, run_stream
+from eddy.streaming.online import OnlineModel, file_source, replay, run_stream
 
 from conftest import SF_SMALL
 
@@ -70,7 +70,7 @@ def test_stream_equals_replay(spark):
     src = f"{base}/source"
     for t in range(1, 5):
         pts.where(F.col("tick") == t).drop("tick").coalesce(1).write.mode("append").parquet(src)
-    streamed = run_stream(spark, src, spark.read.parquet(src).schema, CFG, f"{base}/s")
+    streamed = run_stream(spark, file_source(spark, src, spark.read.parquet(src).schema), CFG, f"{base}/s")
     replayed = replay(spark, pts, CFG, f"{base}/r")
     a = sorted((r["mc_id"], r["n"], tuple(r["cf1x"])) for r in streamed.model().collect())
     b = sorted((r["mc_id"], r["n"], tuple(r["cf1x"])) for r in replayed.model().collect())
@@ -107,7 +107,7 @@ def test_text_stream_parses_and_quarantines(spark):
         if t == 2:
             lines = lines.unionByName(spark.createDataFrame([("1,x",), ("7",)], "value string"))
         lines.coalesce(1).write.mode("append").text(src)
-    m = run_stream(spark, src, None, CFG, f"{base}/s", fmt="text")
+    m = run_stream(spark, file_source(spark, src), CFG, f"{base}/s")
     assert m.tick == 3 and m.total == pts.count()
     assert spark.read.parquet(f"{base}/s/quarantine").count() == 2
 
@@ -159,3 +159,27 @@ def test_online_report_covers_kept_snapshots(run):
     last = [r for r in rep if r["tick"] == model.tick]
     assert last and all(r["snapshot_n"] == sum(x["n"] for x in last) for r in last)
     assert all(r["line"].startswith("ids=[") for r in rep)
+
+
+def test_restart_during_streaming_init(spark):
+    cfg = CFG.replace(init_mode="streaming", min_init_points=10 ** 6)
+    pts = I.ev_points(spark, SF_SMALL)
+    base, other = work_dir(spark, "test-skm"), work_dir(spark, "test-skm-restart")
+    whole, first = OnlineModel(spark, cfg, base), OnlineModel(spark, cfg, other)
+    for t in (1, 2, 3):
+        whole.step(pts.where(F.col("tick") == t).drop("tick"), batch_id=t)
+    for t in (1, 2):
+        first.step(pts.where(F.col("tick") == t).drop("tick"), batch_id=t)
+    again = OnlineModel(spark, cfg, other)
+    again.step(pts.where(F.col("tick") == 3).drop("tick"), batch_id=3)
+    assert np.allclose(whole._skm[0], again._skm[0]) and np.allclose(whole._skm[1], again._skm[1])
+
+
+def test_outliers_are_reported(run):
+    _, _, model, _ = run
+    assert len(model.reports) == TICKS and any(r.outliers > 0 for r in model.reports)
+
+
+def test_reading_nothing_gives_an_empty_frame(spark):
+    from eddy.sources.snapshots import read_snapshots
+    assert read_snapshots(spark, work_dir(spark, "test-none"), "window", [3]).count() == 0
