@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
-from .jaccard_join import op2_jaccard_join
+from .jaccard_join import OP2_SQL, op2_jaccard_join
 from .language_id import op5_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import op9_line_dedup
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: The others learn or read byte tables, or are too slow in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_topk_search": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op4_topk_search": OP4_SQL}
