@@ -73,7 +73,12 @@ def probe_keys(line: Column, tau: int) -> list[Column]:
 
 def within(a: Column, b: Column, tau: int) -> Column:
     """Whether the edit distance of two strings is at most tau: banded, bit-parallel. `a` and `b` are
-    arrays of characters whose sizes differ by at most tau."""
+    arrays of characters whose sizes differ by at most tau; each is evaluated once."""
+    both = F.array(F.struct(a.alias("a"), b.alias("b")))
+    return F.get(F.transform(both, lambda p: _within(p["a"], p["b"], tau)), F.lit(0))
+
+
+def _within(a: Column, b: Column, tau: int) -> Column:
     width = 2 * tau + 1
     full = (1 << width) - 1
 
