@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,14 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CROWDED = re.compile(f" [{SPACE}]|[{SPACE}] |^ | $")
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Pieces kept between batches, and the longest piece that is kept.
-CACHE_PIECES = 300_000
+#: Pieces kept between batches (beyond it only those of the current batch stay), and the longest one kept.
+CACHE_PIECES = 600_000
 CACHE_CHARS = 48
 
 
+ID = array("I")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -87,7 +92,10 @@ class Encoder:
         """Ids of every distinct match of the pattern in `pieces`, by the library's BPE model over
         the byte-to-character form."""
         tokenize, chars = self.model.tokenize, self.chars
-        return {w: np.array([t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(chars))], "<u4").tobytes()
+        if ID.itemsize != 4 or sys.byteorder != "little":
+            return {w: np.array([t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(chars))], "<u4").tobytes()
+                    for w in pieces}
+        return {w: array("I", [t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(chars))]).tobytes()
                 for w in pieces}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -96,9 +104,10 @@ class Encoder:
         known = self.known
         new = every.difference(known)
         if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = every
-        cut = {p: self.words(p) for p in new}
+            known = self.known = {p: known[p] for p in every if p in known}
+        # a run of letters, with or without the space before it, is one match of the pattern
+        words = self.words
+        cut = {p: [p] if p.isalpha() or p[0] == " " and p[1:].isalpha() else words(p) for p in new}
         ids = self._words(set().union(*cut.values()))
         for p, words in cut.items():
             known[p] = b"".join([ids[w] for w in words])
