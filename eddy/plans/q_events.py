@@ -147,7 +147,7 @@ win AS (
   GROUP BY e.end_tick, d.mc_id)""") + f"SELECT {_cf_sql_cols(D, 'win')} FROM win")
 def q_sliding_window_cf(spark, sf_dir):
     """STR4/WIN1/JOI8/VAR5: window model (last delta ticks) at every tick."""
-    deltas = I.ev_deltas(spark, sf_dir)
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))          # model-sized, read twice
     last = deltas.agg(F.max("tick")).first()[0]
     w = window_state(deltas, I.EV_DELTA, D, last)
     return w.select(*_cf_cols(w, D))
@@ -242,6 +242,57 @@ def q_horizon_cf(spark, sf_dir):
     return out.select(*_cf_cols(out, D, tick=False), txt("ids").alias("ids"), txt("new_ids").alias("new_ids"))
 
 
+MERGED_SQL = """pair AS (SELECT t1, t2 FROM p2 WHERE tc = (SELECT now FROM now_t)),
+now_m AS (
+  SELECT mc_id - mc_id % 3 AS mc_id, sum(n) AS n, sum(s1_0) AS s1_0, sum(s1_1) AS s1_1, sum(s2_0) AS s2_0, sum(s2_1) AS s2_1,
+         sum(cf1t) AS cf1t, sum(cf2t) AS cf2t, max(last_tick) AS last_tick, list_sort(list(mc_id)) AS ids
+  FROM pair JOIN snap ON tick = t1 GROUP BY 1),
+then_m AS (
+  SELECT mc_id - mc_id % 3 AS mc_id, sum(n) AS n, sum(s1_0) AS s1_0, sum(s1_1) AS s1_1, sum(s2_0) AS s2_0, sum(s2_1) AS s2_1,
+         sum(cf1t) AS cf1t, sum(cf2t) AS cf2t, list(mc_id) AS ids
+  FROM pair JOIN snap ON tick = t2 AND mc_id % 3 <> 2 GROUP BY 1)"""
+
+
+@register("horizon_lineage", _with(*EV_CF, SAVED_SQL, ASOF_SQL, SNAP_SQL, MERGED_SQL) + """
+SELECT a.mc_id, CAST(a.n - coalesce(b.n, 0) AS BIGINT) AS n,
+       a.s1_0 - coalesce(b.s1_0, 0) AS cf1x_0, a.s1_1 - coalesce(b.s1_1, 0) AS cf1x_1,
+       a.s2_0 - coalesce(b.s2_0, 0) AS cf2x_0, a.s2_1 - coalesce(b.s2_1, 0) AS cf2x_1,
+       CAST(a.cf1t - coalesce(b.cf1t, 0) AS BIGINT) AS cf1t, CAST(a.cf2t - coalesce(b.cf2t, 0) AS BIGINT) AS cf2t, a.last_tick,
+       array_to_string(a.ids, ',') AS ids,
+       array_to_string([x FOR x IN a.ids IF NOT coalesce(list_contains(b.ids, x), false)], ',') AS new_ids
+FROM now_m a LEFT JOIN then_m b USING (mc_id)""")
+def q_horizon_lineage(spark, sf_dir):
+    """STR9/JOI7/SET1 with merged clusters: at the last tick three neighbours are one cluster, and
+    every third one is taken as born after the earlier snapshot."""
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))          # model-sized, reused below
+    saved, now, _ = _saved(spark, sf_dir, deltas)
+    req = spark.range(1).select(F.lit(now).cast("bigint").alias("tc"))
+    t1, t2 = P.snapshot_pair(req, saved, I.HORIZON).select("t1", "t2").first()
+    snaps = P.snapshots_at(deltas, [t1, t2], D)
+    root = F.col("mc_id") - F.col("mc_id") % 3
+    merged = cf_sum(snaps.where(F.col("tick") == t1).drop("tick").withColumn("mc_id", root), ["mc_id"], D, ids=True)
+    out = P.horizon(merged, snaps.where((F.col("tick") == t2) & (F.col("mc_id") % 3 != 2)).drop("tick"),
+                    t1, t2, I.HORIZON, D)
+    txt = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    return out.select(*_cf_cols(out, D, tick=False), txt("ids").alias("ids"), txt("new_ids").alias("new_ids"))
+
+
+@register("sliding_window_lineage", _with(*EV_CF, f"""ends AS (SELECT DISTINCT tick AS end_tick FROM ev_pts),
+win AS (
+  SELECT e.end_tick AS tick, d.mc_id - d.mc_id % 3 AS mc_id, CAST(sum(d.n) AS BIGINT) AS n,
+         sum(d.s1_0) AS s1_0, sum(d.s1_1) AS s1_1, sum(d.s2_0) AS s2_0, sum(d.s2_1) AS s2_1,
+         CAST(sum(d.cf1t) AS BIGINT) AS cf1t, CAST(sum(d.cf2t) AS BIGINT) AS cf2t, max(d.last_tick) AS last_tick
+  FROM ecf d JOIN ends e ON e.end_tick >= d.tick AND e.end_tick < d.tick + {I.EV_DELTA}
+  GROUP BY e.end_tick, d.mc_id - d.mc_id % 3)""") + f"SELECT {_cf_sql_cols(D, 'win')} FROM win")
+def q_sliding_window_lineage(spark, sf_dir):
+    """STR4/JOI8 with merged clusters: deltas of three neighbours count for their common root."""
+    deltas = cut_lineage(I.ev_deltas(spark, sf_dir))
+    last = deltas.agg(F.max("tick")).first()[0]
+    members = deltas.select((F.col("mc_id") - F.col("mc_id") % 3).alias("mc_id"), F.col("mc_id").alias("member_id")).distinct()
+    w = window_state(deltas, I.EV_DELTA, D, last, lineage_map=members)
+    return w.select(*_cf_cols(w, D))
+
+
 @register("online_centers", _with(*EV_CF, SAVED_SQL, SNAP_SQL)
           + "SELECT tick, mc_id, s1_0 / n AS center_0, s1_1 / n AS center_1 FROM snap WHERE n > 0")
 def q_online_centers(spark, sf_dir):
