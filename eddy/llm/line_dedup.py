@@ -8,9 +8,11 @@ A line is cut into tau + 1 segments, as even as they go; of two lines within tau
 segment of the other whole. So every distinct line enters its segments under (length, number,
 content), and looks up, for each length it may meet, the substrings at the places where that segment
 can have moved (a shift below its number, and with the rest of the edits left for what follows).
-Meetings are verified by a bit-parallel automaton over the band of 2 tau + 1 diagonals: bit k of word
-d says that the first i + k - tau characters of one line are within d edits of the first i of the
-other.
+An edit changes at most two of a line's letter counts by one, so lines meet only if their counts of 16
+letters (modulo 16, in one 64-bit integer) differ by at most 2 tau in sum. Meetings are verified, after
+what both lines begin and end with is cut off, by a bit-parallel automaton over the band of 2 tau + 1
+diagonals: bit k of word d says that the first i + k - tau characters of one line are within d edits of
+the first i of the other.
 
 Equal lines are counted together before anything is joined, so a line that fills a third of all rows
 is one row. Only line hashes (64 bits) are shuffled; texts are fetched for lines that met.
@@ -29,6 +31,7 @@ from .common import cut, ready, table
 
 TAU = 2
 MIN_CHARS = 20
+LETTERS = "etaoinsrhdlucmgp"
 #: Hashes (8 bytes each) that may be broadcast to pick lines out of the texts; beyond it a shuffle join does it.
 BROADCAST_LINES = 2_000_000
 
@@ -78,6 +81,59 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.get(F.transform(both, lambda p: _within(p["a"], p["b"], tau)), F.lit(0))
 
 
+def _common_prefix(a: Column, b: Column) -> Column:
+    """Length of what two strings begin with alike, by halving steps."""
+    least = F.least(F.length(a), F.length(b))
+
+    def step(at: Column, size: Column) -> Column:
+        fits = (at + size <= least) & (F.substring(a, at + 1, size) == F.substring(b, at + 1, size))
+        return F.when(fits, at + size).otherwise(at)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), step)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """struct(a, b): the strings without their common beginning and end, reversed."""
+    def rest(p: Column) -> Column:
+        n = _common_prefix(p["a"], p["b"])
+        return F.get(F.transform(F.array(n), lambda n: F.struct(
+            F.reverse(F.substring(p["a"], n + 1, F.length(p["a"]))).alias("a"),
+            F.reverse(F.substring(p["b"], n + 1, F.length(p["b"]))).alias("b"))), F.lit(0))
+
+    def middle(p: Column) -> Column:
+        n = _common_prefix(p["a"], p["b"])
+        return F.get(F.transform(F.array(n), lambda n: F.struct(
+            F.substring(p["a"], n + 1, F.length(p["a"])).alias("a"),
+            F.substring(p["b"], n + 1, F.length(p["b"])).alias("b"))), F.lit(0))
+    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
+    return F.get(F.transform(F.transform(pair, rest), middle), F.lit(0))
+
+
+def close(a: Column, b: Column, tau: int) -> Column:
+    """Whether two strings whose lengths differ by at most tau are within tau edits."""
+    def verdict(p: Column) -> Column:
+        chars = [F.filter(F.split(p[x], ""), lambda c: c != "") for x in "ab"]
+        return within(*chars, tau)
+    return F.get(F.transform(F.array(differing(a, b)), verdict), F.lit(0))
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of 16 letters, modulo 16 each, in one integer."""
+    out = F.lit(0).cast("bigint")
+    for k, letter in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((n % 16).cast("bigint"), 4 * k))
+    return out
+
+
+def _count_distance(x: Column, y: Column) -> Column:
+    """A lower bound of the sum of the counts' differences."""
+    total = F.lit(0).cast("bigint")
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * k).bitwiseAND(F.lit(15)))
+        total = total + F.least(d, 16 - d)
+    return total
+
+
 def _within(a: Column, b: Column, tau: int) -> Column:
     width = 2 * tau + 1
     full = (1 << width) - 1
@@ -96,7 +152,8 @@ def _within(a: Column, b: Column, tau: int) -> Column:
                 new.append(state[f"r{d}"].bitwiseAND(m).bitwiseOR(was).bitwiseOR(F.shiftright(was, 1))
                            .bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full)))
             return F.struct((i + 1).alias("i"), *(r.alias(f"r{d}") for d, r in enumerate(new)))
-        return F.get(F.transform(F.array(equal), after), F.lit(0))
+        # more than tau edits already: nothing comes back
+        return F.when(state[f"r{tau}"] == 0, state).otherwise(F.get(F.transform(F.array(equal), after), F.lit(0)))
 
     start = F.struct(F.lit(0).alias("i"), *(F.lit(word(d)).alias(f"r{d}") for d in range(tau + 1)))
     end = F.aggregate(b, start, step, lambda s: s[f"r{tau}"])
@@ -117,11 +174,12 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     line = F.col("line")
     keys = F.array(*segment_keys(line, tau), *probe_keys(line, tau))
     # one row for each distinct line: its first place, and its keys
-    first = lines.select("h", F.struct("doc_id", "line_no").alias("at"), keys.alias("keys")).groupBy("h").agg(
-        F.min("at").alias("at"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
-    entered = first.select("h", F.explode(F.slice("keys", 1, tau + 1)).alias("key"))
-    asked = first.select(F.col("h").alias("g"), F.explode(F.slice("keys", tau + 2, len(probe_keys(line, tau)))).alias("key"))
-    met = cut(entered.hint("shuffle_hash").join(asked, "key").where("h <> g")
+    first = lines.select("h", F.struct("doc_id", "line_no").alias("at"), keys.alias("keys"), letter_counts(line).alias("counts")).groupBy("h").agg(
+        F.min("at").alias("at"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    entered = first.select("h", "counts", F.explode(F.slice("keys", 1, tau + 1)).alias("key"))
+    asked = first.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(F.slice("keys", tau + 2, len(probe_keys(line, tau)))).alias("key"))
+    fits = (F.col("h") != F.col("g")) & (_count_distance(F.col("counts"), F.col("g_counts")) <= 2 * tau)
+    met = cut(entered.hint("shuffle_hash").join(asked, "key").where(fits)
               .select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct())
     # texts of the lines that met
     wanted = cut(met.select(F.col("a").alias("h")).union(met.select("b")).distinct())
@@ -129,8 +187,8 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
         F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("line").alias("line")))
     left, right = (texts.select(F.col("h").alias(x), F.col("at").alias(f"{x}_at"), F.col("line").alias(f"{x}_line")) for x in "ab")
     pairs = met.join(left, "a").join(right, "b")
-    chars = {x: F.split(f"{x}_line", "") for x in "ab"}
-    linked = pairs.where((F.abs(F.length("a_line") - F.length("b_line")) <= tau) & within(chars["a"], chars["b"], tau))
+    linked = pairs.where((F.abs(F.length("a_line") - F.length("b_line")) <= tau)
+                         & close(F.col("a_line"), F.col("b_line"), tau))
     later = F.when((F.col("a_at") < F.col("b_at")) | ((F.col("a_at") == F.col("b_at")) & (F.col("a") < F.col("b"))),
                    F.col("b")).otherwise(F.col("a"))
     near = linked.select(later.alias("h")).distinct().withColumn("near", F.lit(True))

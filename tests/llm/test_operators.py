@@ -299,6 +299,10 @@ def test_banded_automaton(spark):
         df = spark.createDataFrame(near, "a string, b string")
         got = df.select("a", "b", line_dedup.within(F.split("a", ""), F.split("b", ""), tau).alias("x")).collect()
         assert all(r.x == (distance(r.a, r.b) <= tau) for r in got if r.a and r.b)
+        got = df.select("a", "b", line_dedup.close(F.col("a"), F.col("b"), tau).alias("x")).collect()
+        assert all(r.x == (distance(r.a, r.b) <= tau) for r in got)
+        bound = line_dedup._count_distance(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b")))
+        assert all(r.x <= 2 * distance(r.a, r.b) for r in df.select("a", "b", bound.alias("x")).collect())
 
 
 def brute_drops(rows, tau=line_dedup.TAU, least=line_dedup.MIN_CHARS):
