@@ -65,8 +65,9 @@ def test_signatures_never_miss():
                 x, y = set(a.tolist()), set(b.tolist())
                 if 100 * len(x & y) < 75 * len(x | y):
                     continue
-                which, sig = jaccard_join.signatures([np.unique(a), np.unique(b)], level)
-                assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
+                for frequent in (None, np.unique(a[::3]), np.unique(a), np.unique(np.concatenate([a[::2], b[::2]]))):
+                    which, sig = jaccard_join.signatures([np.unique(a), np.unique(b)], level, frequent)
+                    assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
 
 
 def test_sketch_is_a_lower_bound():
