@@ -268,6 +268,16 @@ def test_lm_scoring(docs, none):
     assert {(r.n_known, r.train_tokens) for r in untrained} == {(0, 0)} and all(abs(r.base_score) < 1e-9 for r in untrained)
 
 
+def test_lm_scoring_of_blocks_of_equal_rows(spark):
+    """A table united with itself: the second half's blocks hold the rows of the first in the same order."""
+    one = spark.createDataFrame([(k, f"a b w{k}", True) for k in range(6)], "doc_id bigint, text string, train boolean")
+    out = lm_scoring.score(one.union(one)).collect()
+    total = math.log10(48 + 9 + 1)        # 12 texts of 4 tokens; a, b, the end and six words
+    want = 3 * math.log10(13) + math.log10(3) - 4 * total
+    assert len(out) == 12
+    assert {(r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out} == {(4, 4, round(want, 6))}
+
+
 def test_model_beats_the_unigram_base(spark):
     rows = lm_scoring.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
