@@ -1,8 +1,8 @@
 """Operator 9: near-duplicate lines by a segment-partition edit join, DataFrame functions only.
 
-Lines are what `\\n` separates. A line of at least `min_chars` characters goes if an equal line, or
-one within `tau` edits (code points), stands earlier; earlier means smaller (doc_id, line number).
-Shorter lines always stay.
+Lines are what `\\n` separates. A line that is not blank goes if an equal line stands earlier, and one
+of at least `min_chars` characters also if one within `tau` edits (code points) does; earlier means
+smaller (doc_id, line number). Shorter blank lines always stay.
 
 A line is cut into tau + 1 segments, as even as they go; of two lines within tau edits one keeps a
 segment of the other whole. So every distinct line enters its segments under (length, number,
@@ -169,9 +169,9 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     """(doc_id, line_no, h, near) of every line that goes; near: for an earlier line within tau edits
     of it, not for an equal one."""
     ready(docs.sparkSession)
-    lines = (lines_of(docs).where(F.length("line") >= min_chars)
-             .withColumn("h", F.xxhash64("line", F.lit(0))))
     line = F.col("line")
+    every = lines_of(docs).where(line.rlike(r"\S") | (F.length(line) >= min_chars)).withColumn("h", F.xxhash64(line, F.lit(0)))
+    lines = every.where(F.length(line) >= min_chars)
     keys = F.array(*segment_keys(line, tau), *probe_keys(line, tau))
     # one row for each distinct line: its first place, and its keys
     first = lines.select("h", F.struct("doc_id", "line_no").alias("at"), keys.alias("keys"), letter_counts(line).alias("counts")).groupBy("h").agg(
@@ -192,10 +192,10 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     later = F.when((F.col("a_at") < F.col("b_at")) | ((F.col("a_at") == F.col("b_at")) & (F.col("a") < F.col("b"))),
                    F.col("b")).otherwise(F.col("a"))
     near = linked.select(later.alias("h")).distinct().withColumn("near", F.lit(True))
-    # lines that stand more than once keep their first place
-    more = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # lines of any length that stand more than once keep their first place
+    more = every.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
     known = cut(more.select("h", "at").join(near, "h", "full").select("h", "at", F.coalesce("near", F.lit(False)).alias("near")))
-    places = _picked(lines.select("h", "doc_id", "line_no"), known, "h")
+    places = _picked(every.select("h", "doc_id", "line_no"), known, "h")
     return places.where(F.col("near") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).select(
         "doc_id", "line_no", "h", "near")
 
@@ -209,14 +209,14 @@ def _by_document(drops: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` with the lines that go taken out of `text` (other columns as they are, n_chars of the new
-    text if there is one). A document of which nothing is left goes; untouched ones are unchanged."""
+    text if there is one). A document of which only blanks are left goes; untouched ones are unchanged."""
     drops = _by_document(dropped_lines(docs, tau, min_chars)).select("__doc", "__lines")
     parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains(
         F.col("__lines"), F.struct(i.alias("line_no"), F.xxhash64(x, F.lit(0)).alias("h"))))
     out = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__doc"]), "left").withColumn(
         "text", F.when(F.col("__lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
-    out = out.where(F.col("__lines").isNull() | (F.length(F.trim("text")) > 0))
+    out = out.where(F.col("__lines").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__lines").isNotNull(), F.length("text").cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

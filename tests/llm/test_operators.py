@@ -351,6 +351,18 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.line_dedup(none).count() == 0 and line_dedup.line_dedup(docs).columns == docs.columns
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Equal lines go at any length, near ones only from MIN_CHARS on; blank lines stay."""
+    long = "a line of more than twenty characters"
+    rows = [(1, f"short\n\n{long}\n\n  \nend."), (2, f"{long}\nshort\n\nshort\nother"), (3, f"shorts\n{long}\n\nend."), (4, f"end.\n{long}\n\n\t"),
+            (None, "other")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.line_no, r.near) for r in line_dedup.dropped_lines(df).collect()}
+    assert got == {(2, 0, False), (2, 1, False), (2, 3, False), (2, 4, False), (3, 1, False), (3, 3, False), (4, 0, False), (4, 1, False)}
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    assert kept == {None: "other", 1: rows[0][1], 3: "shorts\n"}
+
+
 # ----------------------------------------------------------------- 10
 
 def test_byte_bpe(docs, none):
