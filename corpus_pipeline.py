@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eddy.config import ensure_checkpoint_dir, prepare
 from eddy.llm import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup
-from eddy.llm.common import cut, is_held_out, table
+from eddy.llm.common import is_held_out, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest doc_id; documents without
-    a doc_id stay."""
+    """Of each group of near-duplicate rows the one with the smallest doc_id (a null one is the
+    largest). Rows are judged by their own text, whatever id they have or share."""
     prepare(spark)
-    gone = cut(jaccard_join.near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")))
-    if gone.count() <= jaccard_join.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return jaccard_join.first_of_copies(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,22 @@ def test_stages_keep_the_columns(spark):
     assert last.count() == kept.count() > 0
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    """Every row is judged by its own text."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(1, a, "x"), (None, a + " more", "x"), (None, a, "x"), (None, b, "x"), (None, b + " more", "y"),    # null ids
+            (2, a, "x"), (2, c, "x"), (3, c + " more", "x"),                    # 2 holds a copy and a text of its own
+            (4, d, "z"), (4, d, "x"), (4, d, "y"),                              # equal but for the source
+            (None, e, "x"), (0, e, "x"), (5, "", "x"), (5, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+    assert len(got) == 8
+    assert {x for x in got if x[1] and x[1][0] != "b"} == {(1, a, "x"), (2, c, "x"), (4, d, "x"), (0, e, "x")}
+    assert len([x for x in got if x[1] and x[1][0] == "b"]) == 1                # one of the two null ids
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
