@@ -9,7 +9,9 @@ share of a template has a Jaccard similarity of at least 0.75 L / 1.5 L = 0.5 to
 retrieved with probability of at least 1 - 0.5^BANDS (above 0.99998). What is retrieved is verified
 exactly: the share of the template's shingles that the window holds must reach `CONTAINMENT`.
 
-Templates are a parameter (name, text); the registry below holds short public notices.
+Templates are a parameter (name, text); the registry holds the usual short notices (`NOTICES`) and
+the bodies of `license_texts`, cut into overlapping templates of 64 shingles. A passage that stands in
+bodies of several names has all of them, joined by a slash.
 
 Defined cases: null, empty and wordless texts hold no notice; a template without words is never
 found; equal rows get equal answers; a text of any length is read whole; other columns pass through.
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, table, text_batches
+from .license_texts import BODIES
 from .shingles import _ODD, mix
 
 SHINGLE, BANDS = 5, 16
@@ -36,7 +39,7 @@ CONTAINMENT = 0.75
 WORD = re.compile(r"\w+")
 
 #: Short public license notices.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -50,9 +53,65 @@ TEMPLATES = (
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
             "Public License as published by the Free Software Foundation"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *(("MIT", f"{how} the MIT License") for how in ("Licensed under", "Distributed under", "Available under", "Provided under",
+                                                    "Published under", "Covered by", "Terms of")),
+    ("BSD", "Licensed under the BSD License"), ("BSD", "Use of this source code is governed by a BSD-style license"),
+    ("BSD", "Licensed under the BSD 2-Clause License"), ("BSD", "Licensed under the BSD 3-Clause License"),
+    ("ISC", "Licensed under the ISC License"), ("ISC", "Released under the ISC License"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"), ("Apache-2.0", "Under the Apache 2.0 License"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                   "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("GPL", "Licensed under the GNU General Public License"), ("GPL", "Released under the GNU General Public License"),
+    ("GPL", "Distributed under the GNU General Public License"), ("GPL", "Terms of the GNU General Public License"),
+    ("GPL-2.0", "GNU General Public License v2"), ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-3.0", "GNU General Public License v3"), ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+            "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("LGPL", "Under the GNU Lesser General Public License"), ("LGPL", "Terms of the GNU Lesser General Public License"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+             "Public License as published by the Free Software Foundation"),
+    ("AGPL", "Under the GNU Affero General Public License"), ("AGPL", "Terms of the GNU Affero General Public License"),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+             "Public License as published by the Free Software Foundation"),
+    ("MPL-2.0", "Under the Mozilla Public License 2.0"), ("MPL-2.0", "Under the Mozilla Public License, Version 2.0"),
+    ("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-1.0", "Made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL", "Licensed under the Eclipse Public License"),
+    *((f"CC-{short}-{v}", f"licensed under a Creative Commons {long} {v} {where} License")
+      for short, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                          ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for v, where in (("4.0", "International"), ("3.0", "Unported"))),
+    *((f"CC-{x}-{v}", f"Licensed under CC {x} {v}") for x in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("4.0", "3.0")),
+    ("CC-BY-NC-3.0", "Licensed under CC BY-NC 3.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal"), ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+                "accompanying documentation covered by this license"),
 )
 
 
+def body_templates(bodies, size: int = 64, step: int = 60) -> tuple[tuple[str, str], ...]:
+    """Stretches of `size` shingles of each body, `step` words apart; their name is joined from those of
+    all bodies that hold at least half of their shingles."""
+    words = [(name, WORD.findall(text.casefold())) for name, text in bodies]
+    grams = [{tuple(w[k:k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for _, w in words]
+    out = []
+    for _, w in words:
+        last = max(0, len(w) - size - SHINGLE + 1)
+        for at in sorted({*range(0, last, step), last}):
+            part = w[at:at + size + SHINGLE - 1]
+            own = {tuple(part[k:k + SHINGLE]) for k in range(len(part) - SHINGLE + 1)}
+            names = {n for (n, _), g in zip(words, grams) if 2 * len(own & g) >= len(own)}
+            out.append(("/".join(sorted(names)), " ".join(part)))
+    return tuple(out)
+
+
+TEMPLATES = NOTICES + body_templates(BODIES)
+
+
 def _hashes(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(d) for d in docs], "<i8")
     flat = np.empty(int(counts.sum()), object)
@@ -174,9 +233,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> DataFrame:
     return docs.select(*rest).mapInArrow(run, schema)
 
 
+def specific(docs: DataFrame) -> DataFrame:
+    """`docs` without the notices that only name the family of a versioned notice at their place."""
+    return docs.withColumn("notices", F.filter("notices", lambda x: ~F.exists("notices", lambda y: (
+        y["name"].startswith(F.concat(x["name"], F.lit("-"))) & (y["first"] < x["end"]) & (x["first"] < y["end"])))))
+
+
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
     """Per document: n_notices, licenses (distinct names), spans (name:first word:end word)."""
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = specific(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
     spans = F.transform("notices", lambda x: F.concat_ws(":", x["name"], x["first"], x["end"]))
     return out.select("doc_id", F.size("notices").cast("bigint").alias("n_notices"),
                       F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["name"]))), ",").alias("licenses"),

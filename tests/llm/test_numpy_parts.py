@@ -142,6 +142,29 @@ def test_license_scan_equals_brute_force():
         assert {n for n, _, _ in got} == brute_licenses(t)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the MIT License", {"MIT"}), ("it is licensed under the GNU General Public License v3.", {"GPL", "GPL-3.0"}),
+    ("under the terms of the GNU Lesser General Public License", {"LGPL"}), ("Licensed under CC BY 4.0", {"CC-BY-4.0"}),
+    ("Released under the ISC License", {"ISC"}), ("licensed under the Eclipse Public License", {"EPL"}),
+    ("licensed under the GNU Affero General Public License", {"AGPL"}), ("Licensed under CC0 1.0 Universal", {"CC0-1.0"}),
+    ("This is free and unencumbered software released into the public domain.", {"Unlicense"})])
+def test_usual_wordings_of_licenses(text, want):
+    got, = license_scan.Registry(license_scan.TEMPLATES).scan(["Some words go before. " + text + " And some after."])
+    assert {n for n, _, _ in got} == want
+
+
+def test_license_bodies_are_found_whole_and_by_their_own_name():
+    from eddy.llm.license_texts import BODIES
+    registry = license_scan.Registry(license_scan.TEMPLATES)
+    for (name, text), got in zip(BODIES, registry.scan([t for _, t in BODIES])):
+        # bodies name the licences they allow besides; a long passage is found by its own name
+        long = [(n, e - a) for n, a, e in got if e - a >= 60]
+        assert all(name in n.split("/") or n == name.split("-")[0] for n, _ in long), name
+        assert sum(k for _, k in long) >= 0.9 * (len(license_scan.WORD.findall(text)) - 5), name
+        middle = " ".join(text.split()[30:170])
+        assert any(name in n.split("/") for n, _, _ in registry.scan([middle])[0]), name
+
+
 def brute_licenses(text):
     """Names of templates of which some window of the text holds the needed share."""
     def grams(words, n):

@@ -140,6 +140,13 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_counts_a_notice_once(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License",
+             "Licensed under the GNU General Public License. And now, some ten or more quite other words: GNU General Public License v2"]
+    out = license_scan.specific(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [[n.name for n in r.notices] for r in out.orderBy("doc_id").collect()] == [["GPL-3.0"], ["GPL"], ["GPL", "GPL-2.0"]]
+
+
 # ------------------------------------------------------------------ 4
 
 def test_topk_search(spark):
