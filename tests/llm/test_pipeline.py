@@ -8,7 +8,7 @@ import pytest
 from eddy.llm import decontaminate
 from eddy.llm.queries import ORACLE, QUERIES
 
-from test_operators import DOCS, brute_components
+from test_llm_operators import DOCS, brute_components
 
 SF = "/root/testdata/sf0.001"
 
