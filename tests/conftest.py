@@ -5,9 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
+sys.path.insert(0, os.path.join(ROOT, "tests"))      # data_paths
 
 
 @pytest.fixture(scope="session")

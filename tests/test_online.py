@@ -9,7 +9,7 @@ from eddy.operators import pyramid as P
 from eddy.plans import inputs as I
 from eddy.streaming.online import OnlineModel, file_source, replay, run_stream
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 CFG = ModelConfig(q=12, dims=2, delta=4, scaling="none", init_mode="random", alpha=2, l=1, seed=3)
 TICKS = 9

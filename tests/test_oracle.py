@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from eddy.plans.catalog import ORACLE, QUERIES  # noqa: E402
 from oracle_check import compare  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from data_paths import SF_SMALL  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
