@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ensure_checkpoint_dir, ship_package
+from ..config import ensure_checkpoint_dir, ship_package, work_dir
 from ..sources.points import table
 
-__all__ = ["table", "ready", "cut", "is_held_out", "text_batches", "shuffle_width", "ASCII_LOWER"]
+__all__ = ["table", "ready", "cut", "numbered", "written", "is_held_out", "text_batches", "shuffle_width", "ASCII_LOWER"]
 
 #: Byte table that lower-cases A-Z and nothing else (UTF-8 safe).
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -30,6 +30,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, and kept when executors are lost."""
+    path = work_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """`df`, written, with `id`: the row's place from 0 in `order`, which must be total. A range-partitioned
+    sort numbers the rows of each partition; the partitions' counts (one each) give the offsets."""
+    rows = written(df.sort(*order).withColumn("_part", F.spark_partition_id())
+               .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    offsets, at = {}, 0
+    for part in sorted(counts):
+        offsets[part], at = at, at + counts[part]
+    starts = df.sparkSession.createDataFrame(list(offsets.items()), "_part int, _start bigint")
+    return (rows.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_row"))
+            .drop("_part", "_row", "_start"))
+
+
 def is_held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id's decimal text modulo `modulus`; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
