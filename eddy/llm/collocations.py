@@ -322,7 +322,7 @@ def scored(levels: list[DataFrame], sizes: DataFrame) -> DataFrame:
         out = found.select("lang", "words", "a", "heads", "tails") if out is None else out.unionByName(
             found.select("lang", "words", "a", "heads", "tails"))
     wide = lambda c: c.cast("decimal(38,0)")
-    met = look_up(out, _ranked_sizes(sizes), F.col("lang") == F.col("_of")).drop("_of", "id")
+    met = look_up(written(out), _ranked_sizes(sizes), F.col("lang") == F.col("_of")).drop("_of", "id")
     # tails are by length: the rest of a phrase of m words after k is its last m - k words
     cuts = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.struct(
         k.alias("k"), F.element_at("heads", k).alias("l"), F.element_at("tails", F.size("words") - k).alias("r")))
