@@ -11,8 +11,10 @@ Candidates are the phrases of 2 to `longest` words with f of at least `least`.
    word), counted only where its last m - 1 words are frequent too. The pair space is split into tiles
    of `TILE` x `TILE` ranks. In a block, a tile with many pairs is counted by a dense bincount at direct
    addresses; the pairs of all other tiles (and of the ranks beyond the addressed tiles) are sorted
-   coordinates. The sums over all blocks that reach `least` are ranked by frequency again, and their
-   ranks are the first halves of the next level's pairs.
+   coordinates. A pair's code is its address in tile order, so that the sorted codes of a group of tiles
+   take about a byte each in the exchange. A group's sums are merged in memory; one of more than
+   `MERGED` pairs is sent on as rows, which Spark sums. Sums that reach `least` are ranked by frequency
+   again, and their ranks are the first halves of the next level's pairs.
 4. A frequent phrase carries the counts of all its heads and tails from its two shorter phrases, so that
    cuts need no further look into the texts; scores are integer quotients of 38-digit decimals.
 
@@ -24,11 +26,13 @@ dictionaries within that bound.
 
 Defined cases: a null text is empty, a null language `und`; documents without words add nothing; equal
 rows count each; ties by rank go to the smaller phrase in UTF-8 byte order; any number of languages.
+More than 2^31 frequent phrases of one length raise an error (100 occurrences each: over 2 * 10^11 words).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,9 @@ TILE = 256
 ADDRESSED = 255             # tiles a side with an address; what lies beyond is counted as coordinates
 DENSE = 2048                # pairs of a block from which a tile is counted densely
 BLOCK_CHARS = 2_000_000
+CHUNK = 2_000_000           # pairs that are counted at once
+MERGED = 4_000_000          # distinct pairs of a group that are held at once
+GROUPS = 4096
 HEAD = 65_536
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32_000_000
@@ -123,6 +130,15 @@ def _apply(pairs: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == pairs, ids[at], -1)
 
 
+_SIDE = 23                  # bits of a tile's row and column
+
+
+def addresses(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Codes of pairs: tile row, tile column, place in the tile."""
+    first, second = first.astype("<i8"), second.astype("<i8")
+    return ((((first // TILE) << _SIDE) | (second // TILE)) << 16) | ((first % TILE) * TILE + second % TILE)
+
+
 def _pairs(p: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Places at which a phrase of m words may be frequent, and the codes of its pairs. p holds the
     ranks of the phrases of m - 1 words that start at each place, w those of the words."""
@@ -130,7 +146,7 @@ def _pairs(p: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray
     if n <= 0:
         return np.zeros(0, "<i8"), np.zeros(0, "<i8")
     at = np.flatnonzero((p[:n] >= 0) & (p[1:n + 1] >= 0))
-    return at, (p[at].astype("<i8") << 31) | w[at + m - 1]
+    return at, addresses(p[at], w[at + m - 1])
 
 
 def _climb(w: np.ndarray, p: np.ndarray, m: int, steps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
@@ -143,36 +159,92 @@ def _climb(w: np.ndarray, p: np.ndarray, m: int, steps: list[tuple[np.ndarray, n
     return p, m
 
 
-def count_tiles(first: np.ndarray, second: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first, second, tail, count) of the distinct pairs; tail is any value that the pair determines."""
-    rows, cols = np.minimum(first // TILE, ADDRESSED), np.minimum(second // TILE, ADDRESSED)
-    tile = (rows * (ADDRESSED + 1) + cols).astype("<u2")
-    order = np.argsort(tile, kind="stable")
-    first, second, tail, tile = first[order], second[order], tail[order], tile[order]
-    edges = np.flatnonzero(np.diff(tile)) + 1
-    starts, ends = np.r_[0, edges], np.r_[edges, len(tile)]
+def count_tiles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and their counts."""
+    rows, cols = np.minimum(codes >> (16 + _SIDE), ADDRESSED), np.minimum((codes >> 16) & ((1 << _SIDE) - 1), ADDRESSED)
     side = ADDRESSED + 1
+    tile = (rows * side + cols).astype("<u2")
+    codes = codes[np.argsort(tile, kind="stable")]
+    sizes = np.bincount(tile, minlength=side * side)
+    ends = np.cumsum(sizes)
     found, sparse = [], []
-    for lo, hi in zip(starts.tolist(), ends.tolist()):
-        if lo == hi:
+    for t in np.flatnonzero(sizes).tolist():
+        some = codes[ends[t] - sizes[t]:ends[t]]
+        if len(some) < DENSE or t // side == ADDRESSED or t % side == ADDRESSED:
+            sparse.append(some)
             continue
-        row, col = divmod(int(tile[lo]), side)
-        if hi - lo < DENSE or row == ADDRESSED or col == ADDRESSED:
-            sparse.append(np.arange(lo, hi))
-            continue
-        address = (first[lo:hi] - row * TILE) * TILE + (second[lo:hi] - col * TILE)
-        counts = np.bincount(address, minlength=TILE * TILE)
-        tails = np.zeros(TILE * TILE, "<i8")
-        tails[address] = tail[lo:hi]
+        counts = np.bincount(some & 65535, minlength=TILE * TILE)
         cells = np.flatnonzero(counts)
-        found.append((cells // TILE + row * TILE, cells % TILE + col * TILE, tails[cells], counts[cells]))
+        found.append((((some[0] >> 16) << 16) | cells, counts[cells]))
     if sparse:
-        at = np.concatenate(sparse)
-        codes, one, counts = np.unique((first[at].astype("<i8") << 31) | second[at], return_index=True, return_counts=True)
-        found.append((codes >> 31, codes & ((1 << 31) - 1), tail[at[one]], counts))
-    if not found:
-        return (np.zeros(0, "<i8"),) * 4
-    return tuple(np.concatenate(x) for x in zip(*found))
+        found.append(np.unique(np.concatenate(sparse), return_counts=True))
+    return _summed(found)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by code of (codes, counts), sorted."""
+    if not parts:
+        return np.zeros(0, "<i8"), np.zeros(0, "<i8")
+    codes, counts = (np.concatenate(x).astype("<i8") for x in zip(*parts))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, "<i8")
+    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit integers, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view("u1").reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), "u1").reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def _tile_groups(codes: np.ndarray, counts: np.ndarray, groups: int) -> pa.RecordBatch:
+    """(grp, codes, counts) with the sorted codes of a group of tiles as differences."""
+    with np.errstate(over="ignore"):
+        group = (((codes >> 16).astype("<u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(groups)
+    order = np.argsort(group.astype("<u2"), kind="stable")
+    codes, counts, group = codes[order], counts[order], group[order]
+    edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(codes)].tolist() if len(codes) else [0]
+    rows = [(int(group[lo]), _packed(np.diff(codes[lo:hi], prepend=0)), _packed(counts[lo:hi])) for lo, hi in zip(edges, edges[1:])]
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
+                                      ["grp", "codes", "counts"])
+
+
+def _merged_groups(least: int, most: int):
+    """Sums of groups that stand one after the other: those of at least `least` of a group that is held
+    whole, all sums so far of one that is not."""
+    def rows(codes, counts):
+        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, split = None, [], 0, False
+
+        def close():
+            codes, counts = _summed(held)
+            if not split:
+                codes, counts = codes[counts >= least], counts[counts >= least]
+            return rows(codes, counts)
+
+        for b in batches:
+            for grp, codes, counts in zip(*(c.to_pylist() for c in b.columns)):
+                if grp != at:
+                    yield close()
+                    at, held, size, split = grp, [], 0, False
+                held.append((np.cumsum(_unpacked(codes)), _unpacked(counts)))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield rows(*held[0])
+                        held, size, split = [], 0, True
+        yield close()
+    return run
 
 
 class Ranked:
@@ -182,44 +254,55 @@ class Ranked:
     def __init__(self, blocks: DataFrame, m: int, steps: list):
         self.blocks, self.m, self.steps = blocks, m, steps
 
-    def _each(self, schema: str, make) -> DataFrame:
+    def _each(self):
+        """An iterator maker: (row, w, p, m) of each block."""
         m0, steps = self.m - len(self.steps), self.steps
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             dictionaries = [s.value for s in steps]
             for b in batches:
                 for r in b.to_pylist():
                     w = np.frombuffer(r["w"], "<i4")
                     p = np.frombuffer(r["p"], "<i8") if r["p"] is not None else w.astype("<i8")
-                    p, m = _climb(w, p, m0, dictionaries)
-                    yield from make(r, w, p, m)
-        return self.blocks.mapInArrow(run, schema)
-
-    def counts(self) -> DataFrame:
-        """(first, second, tail, n) of the phrases of m + 1 words, summed within blocks."""
-        def make(r, w, p, m):
-            at, pairs = _pairs(p, w, m + 1)
-            cols = count_tiles(p[at], w[at + m].astype("<i8"), p[at + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype("<i8")) for c in cols], ["first", "second", "tail", "n"])
-        return self._each("first bigint, second bigint, tail bigint, n bigint", make)
+                    yield r, w, *_climb(w, p, m0, dictionaries)
+        return run
+
+    def frequent(self, least: int, words: int) -> DataFrame:
+        """(code, a) of the phrases of m + 1 words with a of at least `least`; `words` are all words."""
+        groups, each = max(1, min(GROUPS, -(-words // MERGED))), self._each()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for _, w, p, m in each(batches):
+                held.append(_pairs(p, w, m + 1)[1])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield _tile_groups(*count_tiles(np.concatenate(held)), groups)
+                    held, size = [], 0
+            if size:
+                yield _tile_groups(*count_tiles(np.concatenate(held)), groups)
+
+        parts = self.blocks.mapInArrow(run, "grp int, codes binary, counts binary")
+        sums = parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_merged_groups(least, MERGED), "code bigint, n bigint")
+        return sums.groupBy("code").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
     def climb(self, entries: DataFrame, rows: int, broadcast_rows: int) -> "Ranked":
-        """The blocks with the ranks of the phrases of m + 1 words from (first, second, id)."""
-        sc = entries.sparkSession.sparkContext
+        """The blocks with the ranks of the phrases of m + 1 words from (code, id)."""
+        sc, each = entries.sparkSession.sparkContext, self._each()
         if rows <= broadcast_rows:
-            some = entries.select(((F.col("first") * F.lit(1 << 31)) + F.col("second")).alias("code"), "id").toPandas()
-            some = some.sort_values("code")
+            some = entries.select("code", "id").toPandas().sort_values("code")
             step = sc.broadcast((some["code"].to_numpy("<i8"), some["id"].to_numpy("<i8")))
             return Ranked(self.blocks, self.m + 1, self.steps + [step])
 
-        def keep(r, w, p, m):
-            _, pairs = _pairs(p, w, m + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["w"]], pa.binary()),
-                                              pa.array([p.astype("<i8").tobytes()], pa.binary()),
-                                              pa.array([np.unique(pairs).tolist()], pa.list_(pa.int64()))],
-                                             ["block", "w", "p", "codes"])
-        now = written(self._each("block bigint, w binary, p binary, codes array<bigint>", keep))
-        coded = entries.select(((F.col("first") * F.lit(1 << 31)) + F.col("second")).alias("of"), "id")
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r, w, p, m in each(batches):
+                pairs = _pairs(p, w, m + 1)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["w"]], pa.binary()),
+                                                  pa.array([p.astype("<i8").tobytes()], pa.binary()),
+                                                  pa.array([np.unique(pairs).tolist()], pa.list_(pa.int64()))],
+                                                 ["block", "w", "p", "codes"])
+        now = written(self.blocks.mapInArrow(keep, "block bigint, w binary, p binary, codes array<bigint>"))
+        coded = entries.select(F.col("code").alias("of"), "id")
         own = look_up(now.select("block", F.explode("codes").alias("code")), coded, F.col("code") == F.col("of"))
         lists = own.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "id"))).alias("own"))
         met = now.drop("codes").join(lists, "block", "left").select(
@@ -289,21 +372,31 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     seen = words.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("word") + F.lit(64)).alias("size")).first()
     ranked = ranked_blocks(blocks, words, seen["rows"], seen["size"] or 0, broadcast_rows)
     none = F.array().cast("array<bigint>")
+    every = sizes.agg(F.sum("n")).first()[0] or 0
     levels = [words.select("id", "lang", F.array("word").alias("words"), "a", none.alias("heads"), none.alias("tails"))]
+    tile, place = F.shiftright("code", 16), F.col("code").bitwiseAND(F.lit(65535))
+    first = F.shiftright(tile, _SIDE) * TILE + F.shiftright(place, 8)
+    second = tile.bitwiseAND(F.lit((1 << _SIDE) - 1)) * TILE + place.bitwiseAND(F.lit(TILE - 1))
     for m in range(2, longest + 1):
-        sums = ranked.counts().groupBy("first", "second").agg(F.sum("n").alias("a"), F.max("tail").alias("tail"))
-        entries = written(numbered(sums.where(F.col("a") >= least), F.desc("a"), "first", "second"))
+        entries = written(numbered(ranked.frequent(least, every), F.desc("a"), "code"))
+        rows = entries.count()
+        if rows >= 1 << 31:
+            raise ValueError(f"{rows} frequent phrases of {m} words")
+        pairs = entries.select("id", "a", "code", first.alias("first"), second.alias("second"))
         short = levels[-1]
-        left = short.select(F.col("id").alias("_l"), "lang", F.col("words").alias("_w"), F.col("a").alias("_a"), "heads")
-        right = short.select(F.col("id").alias("_r"), F.element_at("words", -1).alias("_last"), F.col("a").alias("_b"), "tails")
-        both = look_up(look_up(entries, left, F.col("first") == F.col("_l"), "_l"), right, F.col("tail") == F.col("_r"), "_r")
+        left = short.select(F.col("id").alias("_l"), "lang", F.col("words").alias("_w"), F.col("a").alias("_a"), "heads",
+                            *([F.col("tail").alias("_t")] if m > 2 else []))
+        right = short.select(F.col("id").alias("tail"), F.element_at("words", -1).alias("_last"), F.col("a").alias("_b"), "tails",
+                             *([F.col("first").alias("_f"), F.col("second").alias("_s")] if m > 2 else []))
+        # the tail: the same last word after the tail of the first half
+        on = (F.col("_t") == F.col("_f")) & (F.col("second") == F.col("_s")) if m > 2 else F.col("second") == F.col("tail")
+        both = look_up(look_up(pairs, left, F.col("first") == F.col("_l"), "_l"), right, on, "tail")
         levels.append(written(both.select(
-            "id", "lang", F.concat("_w", F.array("_last")).alias("words"), "a",
-            F.concat("heads", F.array("_a")).alias("heads"), F.concat("tails", F.array("_b")).alias("tails"), "first", "tail")))
-        rows = entries.count()
+            "id", "lang", F.concat("_w", F.array("_last")).alias("words"), "a", F.concat("heads", F.array("_a")).alias("heads"),
+            F.concat("tails", F.array("_b")).alias("tails"), "first", "second", "tail")))
+        if not rows:
+            break
         if m < longest:
-            if not rows:
-                break
             ranked = ranked.climb(entries, rows, broadcast_rows)
     return levels, sizes
 

@@ -217,12 +217,29 @@ def test_look_ups_beyond_the_head(spark, monkeypatch):
 def test_tiles_count_pairs(monkeypatch):
     rnd = np.random.default_rng(1)
     first, second = (rnd.zipf(1.3, 50_000) % 70_000).astype("<i8"), (rnd.zipf(1.4, 50_000) % 1000).astype("<i8")
-    want = Counter(zip(first.tolist(), second.tolist()))
+    code = collocations.addresses(first, second)
+    want = Counter(code.tolist())
+    assert len(want) == len(set(zip(first.tolist(), second.tolist())))
     for dense in (1, 2048, 10 ** 9):
         monkeypatch.setattr(collocations, "DENSE", dense)
-        a, b, t, n = collocations.count_tiles(first, second, first * 7 + second)
-        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == want and len(a) == len(want)
-        assert (t == a * 7 + b).all()
+        codes, n = collocations.count_tiles(code)
+        assert dict(zip(codes.tolist(), n.tolist())) == want and (np.diff(codes) > 0).all()
+
+
+@pytest.mark.parametrize("most", [10 ** 6, 3000, 10])
+def test_groups_merge_in_bounded_memory(most):
+    rnd = np.random.default_rng(2)
+    code = collocations.addresses((rnd.zipf(1.3, 30_000) % 9000).astype("<i8"), (rnd.zipf(1.4, 30_000) % 1000).astype("<i8"))
+    blobs = [collocations._tile_groups(*collocations.count_tiles(c), 5) for c in np.array_split(code, 6)]
+    rows = sorted((tuple(r.values()) for b in blobs for r in b.to_pylist()), key=lambda r: r[0])
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["grp", "codes", "counts"])
+    got = Counter()
+    for b in collocations._merged_groups(20, most)(iter([batch])):
+        for c, n in zip(*(x.to_pylist() for x in b.columns)):
+            got[c] += n
+    want = {c: n for c, n in Counter(code.tolist()).items() if n >= 20}
+    assert {c: n for c, n in got.items() if n >= 20} == want
 
 
 def test_scores_beyond_64_bits(spark):
