@@ -62,17 +62,18 @@ def cf_by_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------- model-level (lineitem CF)
 
-def _li_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _li_info(spark: SparkSession, sf_dir: str, q: int = I.LI_Q) -> DataFrame:
     """The per-tick models: lineitem CF per (tick, micro-cluster) with centroid and RMSD."""
-    return refresh_info(I.li_deltas(spark, sf_dir), ["tick"], I.LI_DIMS)
+    return refresh_info(I.li_deltas(spark, sf_dir, q), ["tick"], I.LI_DIMS)
 
 
-LI_INFO_CTES = [
-    I.LI_POINTS_SQL,
-    I.assigned_sql("asg", "li_pts", I.LI_DIMS, I.LI_Q),
-    I.cf_sql("cf", "asg", I.LI_DIMS),
-    I.rmsd_sql("cf", I.LI_DIMS),
-]
+def _info_ctes(q: int) -> list[str]:
+    return [I.LI_POINTS_SQL, I.assigned_sql("asg", "li_pts", I.LI_DIMS, q), I.cf_sql("cf", "asg", I.LI_DIMS),
+            I.rmsd_sql("cf", I.LI_DIMS)]
+
+
+LI_INFO_CTES = _info_ctes(I.LI_Q)
+DENSE_CTES = _info_ctes(I.LI_Q_DENSE)
 LI_DD = " + ".join(f"(a.m{d} - b.m{d}) * (a.m{d} - b.m{d})" for d in range(I.LI_DIMS))
 
 
@@ -91,14 +92,14 @@ def _model_sql_cols(dims: int, src: str = "info") -> str:
     return f"{src}.tick, {src}.mc_id, {src}.n, {s1}, {s2}, {src}.cf1t, {src}.cf2t, {src}.last_tick, {m}, {src}.rmsd"
 
 
-@register("overlap_pairs", _with(*LI_INFO_CTES) + f"""
+@register("overlap_pairs", _with(*DENSE_CTES) + f"""
 SELECT a.tick, a.mc_id, b.mc_id AS parent_id, sqrt({LI_DD}) AS dist
 FROM info a JOIN info b ON a.tick = b.tick AND b.mc_id < a.mc_id
 WHERE sqrt({LI_DD}) <= b.rmsd""")
 def q_overlap_pairs(spark, sf_dir):
     """JOI4: pairs (i, j) with j earlier and dist(c_i, c_j) <= rmsd_j."""
     from ..operators.nearest import overlap_pairs
-    return overlap_pairs(_li_info(spark, sf_dir), ["tick"], I.LI_DIMS)
+    return overlap_pairs(_li_info(spark, sf_dir, I.LI_Q_DENSE), ["tick"], I.LI_DIMS)
 
 
 @register("closest_pair", _with(*LI_INFO_CTES) + f"""
@@ -136,12 +137,12 @@ chain(tick, mc_id, cur) AS (
 mp AS (SELECT tick, mc_id, min(cur) AS root_id FROM chain GROUP BY tick, mc_id)"""
 
 
-@register("overlap_merge", "WITH RECURSIVE " + ",\n".join(LI_INFO_CTES + _merged_sql(OVERLAP_MAP, "root_id"))
+@register("overlap_merge", "WITH RECURSIVE " + ",\n".join(DENSE_CTES + _merged_sql(OVERLAP_MAP, "root_id"))
           + f"\nSELECT {_model_sql_cols(I.LI_DIMS, 'info2')}, info2.ids FROM info2")
 def q_overlap_merge(spark, sf_dir):
     """STR10 + AGG8: each model's overlapping clusters folded into their roots."""
     from ..operators.merge import overlap_merge
-    out = overlap_merge(I.li_deltas(spark, sf_dir), ["tick"], I.LI_DIMS)
+    out = overlap_merge(I.li_deltas(spark, sf_dir, I.LI_Q_DENSE), ["tick"], I.LI_DIMS)
     return out.select(*_model_cols(out, I.LI_DIMS, ids=True))
 
 
@@ -173,17 +174,17 @@ reach(tick, a, b) AS (
 comp AS (SELECT tick, a AS mc_id, min(b) AS component_id FROM reach GROUP BY tick, a)"""
 
 
-@register("near_components", "WITH RECURSIVE " + ",\n".join(LI_INFO_CTES + [NEAR_EDGES])
+@register("near_components", "WITH RECURSIVE " + ",\n".join(DENSE_CTES + [NEAR_EDGES])
           + "\nSELECT tick, mc_id, component_id FROM comp")
 def q_near_components(spark, sf_dir):
     """AGG9/AGG11: components of the macro-merge edges (id = min member)."""
     from ..operators.graph import connected_components
     from ..operators.merge import near_edges
-    info = _li_info(spark, sf_dir)
+    info = _li_info(spark, sf_dir, I.LI_Q_DENSE)
     return connected_components(near_edges(info, ["tick"], I.LI_DIMS), ["tick"])
 
 
-MACRO_SQL = "WITH RECURSIVE " + ",\n".join(LI_INFO_CTES + [NEAR_EDGES]) + """
+MACRO_SQL = "WITH RECURSIVE " + ",\n".join(DENSE_CTES + [NEAR_EDGES]) + """
 SELECT i.tick, coalesce(c.component_id, i.mc_id) AS new_cluster_id, CAST(sum(i.n) AS BIGINT) AS n,
        """ + ", ".join(f"sum(i.s1_{d}) AS cf1x_{d}" for d in range(I.LI_DIMS)) + ",\n       " + \
     ", ".join(f"sum(i.s1_{d}) / sum(i.n) AS centroid_{d}" for d in range(I.LI_DIMS)) + """
@@ -195,7 +196,7 @@ GROUP BY ALL"""
 def q_macro_merge(spark, sf_dir):
     """CLU8 (+JOI6, AGG4, PRJ7, FLT2/3): macro clusters of every model."""
     from ..operators.merge import macro_merge
-    out = macro_merge(I.li_deltas(spark, sf_dir), ["tick"], I.LI_DIMS)
+    out = macro_merge(I.li_deltas(spark, sf_dir, I.LI_Q_DENSE), ["tick"], I.LI_DIMS)
     return out.select("tick", "new_cluster_id", "n", *I.flat(out, "cf1x", I.LI_DIMS),
                       *I.flat(out, "centroid", I.LI_DIMS))
 from . import q_events  # noqa: E402,F401

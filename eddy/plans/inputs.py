@@ -18,6 +18,7 @@ from ..sources.points import events_points, lineitem_points
 LI_DIMS = 3
 EV_DIMS = 2
 LI_Q = 16          # centroids over lineitem points
+LI_Q_DENSE = 200   # so many that micro-clusters overlap: the merge queries
 EV_Q = 12          # centroids over events points
 SEED = 17
 EV_DELTA = 6       # sliding window in ticks (the reference's run uses 6)
@@ -62,10 +63,10 @@ def ev_centers(spark, sf_dir):
     return centers_for(spark, pts, EV_Q, EV_DIMS, box)
 
 
-def li_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-tick CF of lineitem points assigned to the fixed centroids."""
+def li_deltas(spark: SparkSession, sf_dir: str, q: int = LI_Q) -> DataFrame:
+    """Per-tick CF of lineitem points assigned to q fixed centroids."""
     pts = li_points(spark, sf_dir)
-    cen = centers_for(spark, pts, LI_Q, LI_DIMS)
+    cen = centers_for(spark, pts, q, LI_DIMS)
     return cf_aggregate(assign_nearest(pts, cen, LI_DIMS), ["tick", "mc_id"], LI_DIMS)
 
 

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from eddy.plans.catalog import ORACLE, QUERIES  # noqa: E402
 from oracle_check import compare  # noqa: E402
 
-from data_paths import SF_SMALL  # noqa: E402
+from data_paths import SF_MID, SF_SMALL  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -33,3 +33,14 @@ def test_entry_contract(spark):
     df = mod.entry(spark)
     assert df.count() > 0
     assert set(mod.oracle_sql()) <= set(mod.queries())
+
+
+def test_merge_queries_merge(spark):
+    """The inputs of the merge queries overlap, so that their rows exercise the rules."""
+    rows = {n: QUERIES[n](spark, SF_MID).cache() for n in ("overlap_pairs", "overlap_merge", "near_components", "macro_merge", "cf_by_tick")}
+    pairs = [(r.tick, r.mc_id, r.parent_id) for r in rows["overlap_pairs"].collect()]
+    assert len({(t, m) for t, m, _ in pairs}) > 20
+    members = [r.ids.count(",") + 1 for r in rows["overlap_merge"].collect()]
+    models = sum(members)
+    assert len(members) < models and max(members) > 2
+    assert rows["near_components"].count() > 40 and rows["macro_merge"].count() < models - 20
