@@ -1,13 +1,14 @@
 """Partition housekeeping on the cluster's filesystem (HDFS, object stores,
 local) through Hadoop's FileSystem, the one Spark itself writes with.
 
-Used only for the online state table: existence checks before a
-partition-path read, and deletion of snapshot partitions dropped by the
-pyramidal schedule.
+Used for the online state: existence checks before a partition-path read,
+deletion of dropped snapshot partitions, and the manifest of live ones.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +26,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that must not exist yet, by a rename, which a reader sees whole or not at all."""
+    p, fs = _fs(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs.mkdirs(p.getParent())
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        return False
+    return True
