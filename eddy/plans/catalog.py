@@ -202,3 +202,4 @@ def q_macro_merge(spark, sf_dir):
 from . import q_events  # noqa: E402,F401
 from . import q_macro  # noqa: E402,F401
 from . import q_online  # noqa: E402,F401
+from . import q_keyed  # noqa: E402,F401
