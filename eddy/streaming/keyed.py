@@ -151,9 +151,10 @@ class KeyedModels:
         return self.read("model", [self.tick if tick is None else tick]).drop("kind", "first_pid")
 
     def _shape(self, df: DataFrame, kind: str) -> DataFrame:
-        return df.withColumn("kind", F.lit(kind)).select(
-            *[(F.col(f.name) if f.name in df.columns or f.name == "kind" else F.lit(None)).cast(f.dataType).alias(f.name)
-              for f in STEP_SCHEMA.fields])
+        have = set(df.columns)
+        return df.selectExpr(*[f"'{kind}' AS kind" if f.name == "kind" else
+                               f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
+                               for f in STEP_SCHEMA.fields])
 
     def _dropped(self, t: int) -> set[int]:
         """Snapshot ticks that the pyramidal schedule drops when t is written (STR7)."""
@@ -200,12 +201,13 @@ class KeyedModels:
     def _pass(self, pts: DataFrame, centers: DataFrame) -> DataFrame:
         """(model, mc_id, cell, n, first_pid, cf1x, cf2x) of the tick's points."""
         dims = self.cfg.dims
-        size = centers.count() * (dims * 8 + 48)
-        slices = max(1, -(-size // self.model_bytes))
+        most = max(1, self.model_bytes // (dims * 8 + 48))
+        rows = centers.limit(most + 1).collect()                 # at most `model_bytes`
+        slices = 1 if len(rows) <= most else -(-centers.count() // most)
         out = None
         for k in range(slices):
             own = lambda df: df.where(F.pmod(F.xxhash64("model"), F.lit(slices)) == k) if slices > 1 else df
-            place = make_pass_udf(own(centers).collect(), dims, self.cfg.t_factor)
+            place = make_pass_udf(own(centers).collect() if slices > 1 else rows, dims, self.cfg.t_factor)
             near = own(pts).withColumn("_a", place("model", *[F.col("features")[d] for d in range(dims)])).select(
                 "model", "point_id", "features", "_a.mc_id", "_a.cell")
             out = near if out is None else out.unionByName(near)
@@ -236,7 +238,11 @@ class KeyedModels:
             passed = self._pass(pts, centers).persist()          # one row a cluster or cell: read twice
             sums = passed.withColumn("cf1t", F.col("n") * t).withColumn("cf2t", F.col("n") * (t * t)).withColumn(
                 "last_tick", F.lit(t).cast("bigint"))
-            cells = coarsen(passed.where("cell IS NOT NULL"), cfg.dims, cfg.q).drop("mc_id")
+            cells = passed.where("cell IS NOT NULL")
+            crowded = cells.groupBy("model").count().where(F.col("count") > cfg.q)
+            if not crowded.isEmpty():
+                cells = coarsen(cells, cfg.dims, cfg.q)
+            cells = cells.drop("mc_id")
             window = self.read("delta", list(range(max(1, t + 2 - cfg.delta), t))) if cfg.remove_expired else None
             counts = stats.select("model", F.col("batch_n").alias("n"))
             parts = [self._shape(before, "model"), self._shape(starts, "model"), self._shape(sums.where("cell IS NULL").drop("first_pid"), "in"),
