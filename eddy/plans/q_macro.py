@@ -17,7 +17,7 @@ from ..operators.nearest import nearest_other, nonzero_min_dist, refresh_info
 from ..operators.recency import A, B, C, D as DCOEF, P_LOW, recency_keep, recency_stamp
 from ..sources.points import embedding_points, parse_points, points_to_text, tick_list
 from . import inputs as I
-from .catalog import LI_INFO_CTES, _with, register
+from .catalog import DENSE_CTES, LI_INFO_CTES, _with, register
 from .q_events import EV_CF, LI_CF
 
 E_DIMS = 64
@@ -117,6 +117,28 @@ def q_lloyd_step(spark, sf_dir):
     return out.select("tick", "center_id", "n", *[F.col("center")[d].alias(f"center_{d}") for d in range(LI_D)])
 
 
+def _lloyd_sql(rounds: int) -> str:
+    d = range(LI_D)
+    ctes = [f"""l0 AS (SELECT tick, center_id, CAST(0 AS DOUBLE) AS n, {', '.join(f'c{k}' for k in d)} FROM cen0)"""]
+    for r in range(rounds):
+        dd = " + ".join(f"(i.m{k} - c.c{k}) * (i.m{k} - c.c{k})" for k in d)
+        ctes.append(f"""p{r} AS (SELECT i.tick, i.n, {', '.join(f'i.s1_{k}' for k in d)}, c.center_id,
+         row_number() OVER (PARTITION BY i.tick, i.mc_id ORDER BY {dd}, c.center_id) AS rn FROM info i JOIN l{r} c ON i.tick = c.tick),
+g{r} AS (SELECT tick, center_id, CAST(sum(n) AS DOUBLE) AS m, {', '.join(f'sum(s1_{k}) AS t{k}' for k in d)} FROM p{r} WHERE rn = 1 GROUP BY 1, 2),
+l{r + 1} AS (SELECT c.tick, c.center_id, coalesce(g.m, 0) AS n, {', '.join(f'CASE WHEN g.m IS NULL THEN c.c{k} ELSE g.t{k} / g.m END AS c{k}' for k in d)}
+  FROM l{r} c LEFT JOIN g{r} g USING (tick, center_id))""")
+    return (_with(*DENSE_CTES, _CEN, *ctes) + f"SELECT tick, center_id, n, {', '.join(f'c{k} AS center_{k}' for k in d)} FROM l{rounds}")
+
+
+@register("lloyd_rounds", _lloyd_sql(4))
+def q_lloyd_rounds(spark, sf_dir):
+    """CLU5: four weighted Lloyd rounds from the k heaviest clusters of every model, all ticks in one job a round."""
+    from ..operators import kmeans as KM
+    points = KM.mc_points(cut_lineage(refresh_info(I.li_deltas(spark, sf_dir, I.LI_Q_DENSE), ["tick"], LI_D)), ["tick"])
+    out = KM.lloyd(points, KM.heaviest(points, ["tick"], K_MACRO), ["tick"], LI_D, rounds=4, tol=0.0)
+    return out.select("tick", "center_id", "n", *[F.col("center")[d].alias(f"center_{d}") for d in range(LI_D)])
+
+
 @register("streaming_kmeans_step", _with(*LI_INFO_CTES, _CEN, """ww AS (
   SELECT c.*, CAST(c.w AS DOUBLE) / CAST(sum(c.w) OVER (PARTITION BY c.tick) AS DOUBLE) AS w0 FROM cen0 c),
 tt AS (SELECT tick, sum(n) AS total FROM info GROUP BY tick),

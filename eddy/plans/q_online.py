@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig, work_dir
+from ..config import ModelConfig, cut_lineage, work_dir
+from ..operators import kmeans as KM
 from ..operators import macro as M
 from ..operators import pyramid as P
 from ..operators.assign import assign_nearest, split_inliers
@@ -115,14 +116,24 @@ def q_capacity_merge(spark, sf_dir):
 
 @register("macro_kmeans")
 def q_macro_kmeans(spark, sf_dir):
-    """CLU5/CLU9: weighted k-means (k = 5, 20 iterations) of every model."""
-    return _centers_out(M.ml_centers(_li_models(spark, sf_dir), "tick", 5, "kmeans", I.SEED), I.LI_DIMS)
+    """CLU5/CLU9: weighted k-means (k = 5, k-means|| seeds, at most 20 rounds) of every model, all ticks in one
+    job a round."""
+    points = KM.mc_points(cut_lineage(_li_models(spark, sf_dir)), ["tick"])
+    seeds = KM.parallel_seeds(points, ["tick"], 5, I.LI_DIMS, I.SEED)
+    return _centers_out(KM.lloyd(points, seeds, ["tick"], I.LI_DIMS), I.LI_DIMS)
 
 
 @register("macro_bisecting")
 def q_macro_bisecting(spark, sf_dir):
-    """CLU7: weighted bisecting k-means (k = 5) of every model."""
-    return _centers_out(M.ml_centers(_li_models(spark, sf_dir), "tick", 5, "bisecting", I.SEED), I.LI_DIMS)
+    """CLU7: weighted bisecting k-means (k = 5) of every model, all ticks in one job a round."""
+    points = KM.mc_points(cut_lineage(_li_models(spark, sf_dir)), ["tick"])
+    return _centers_out(KM.bisect(points, ["tick"], 5, I.LI_DIMS), I.LI_DIMS)
+
+
+@register("sampled_kmeans")
+def q_sampled_kmeans(spark, sf_dir):
+    """CLU4/CLU5/CLU9: k-means (k = 5) over 5000 weighted draws of every model, started at five draws."""
+    return _centers_out(KM.sampled_kmeans(cut_lineage(_li_models(spark, sf_dir)), "tick", 5, I.LI_DIMS, 5000, I.SEED), I.LI_DIMS)
 
 
 @register("horizon_kmeans")
