@@ -35,7 +35,7 @@ from .common import ready, table, text_batches
 from .fm_index import FMIndex
 
 WINDOW = 10
-SHARD_WORDS = 600_000
+SHARD_WORDS = 300_000
 BLOCK_CHARS = 16_000_000
 #: Keeps 0-9, a-z and every byte from 0x80 on, lower-cases A-Z, blanks the rest.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -122,9 +122,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
-         block_chars: int = BLOCK_CHARS) -> DataFrame:
+         block_chars: int = BLOCK_CHARS, cut: bool = False) -> DataFrame:
     """`docs` with n_words, hit_words (array of [first, end) word numbers, merged) and hit_items
-    (array of item ids as strings, sorted)."""
+    (array of item ids as strings, sorted). With `cut`, texts lose their hit words as in `cut_spans`, in
+    the pass that finds them."""
     spark = ready(docs.sparkSession)
     made = ["n_words", "hit_words", "hit_items"]
     rest = [c for c in docs.columns if c not in made]
@@ -134,13 +135,17 @@ def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: i
     kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in out.columns)
     blocks = [spark.sparkContext.broadcast(w) for w in benchmark_blocks(bench, window, block_chars)]
-    for shipped in blocks or [spark.sparkContext.broadcast({})]:
-        out = _search(out, shipped, rest, schema, shard_words)
+    blocks = blocks or [spark.sparkContext.broadcast({})]
+    for k, shipped in enumerate(blocks):
+        last = cut and k == len(blocks) - 1
+        out = _search(out, shipped, rest, schema, shard_words, blocks if last else [])
     return out
 
 
-def _search(docs: DataFrame, shipped, rest: list[str], schema: str, shard_words: int) -> DataFrame:
+def _search(docs: DataFrame, shipped, rest: list[str], schema: str, shard_words: int, cut: list) -> DataFrame:
+    """`cut`: the blocks of all windows, if the hit words go."""
     width = len(rest)
+    at_text = rest.index("text")
 
     def flush(held: list[tuple[pa.RecordBatch, list]], windows: dict) -> Iterator[pa.RecordBatch]:
         hits = shard_hits([w for _, ws in held for w in ws], windows, shard_words)
@@ -153,8 +158,14 @@ def _search(docs: DataFrame, shipped, rest: list[str], schema: str, shard_words:
                     spans[i] = [list(x) for x in merged([tuple(x) for x in spans[i]] + [(p, p + n) for p, n, _ in got])]
                     items[i] = sorted({*items[i], *(x for w in {w for _, _, w in got} for x in windows[names[w]])})
             row += b.num_rows
+            kept = list(b.columns[:width])
+            if cut and any(spans):
+                texts = kept[at_text].to_pylist()
+                for i in np.flatnonzero([bool(x) for x in spans]).tolist():
+                    texts[i] = without(texts[i], [tuple(x) for x in spans[i]], [s.value for s in cut])
+                kept[at_text] = pa.array(texts, kept[at_text].type)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:width], pa.array([len(w) for w in ws], pa.int64()),
+                [*kept, pa.array([len(w) for w in ws], pa.int64()),
                  pa.array(spans, b.column(width + 1).type), pa.array(items, b.column(width + 2).type)], b.schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,6 +82,10 @@ def test_decontaminate(spark, docs, none):
     assert clean.where("contaminated").count() == 0 and clean.count() == len(rows)
     cut = decontaminate.cut_spans(decontaminate.find(docs, bench), bench)
     assert decontaminate.judged(decontaminate.find(cut.drop("hit_words"), bench)).where("contaminated").count() == 0
+    for kw in ({}, {"block_chars": 10}):            # cut in the pass that finds
+        fused = decontaminate.find(docs, bench, cut=True, **kw)
+        assert rows_of(fused.select("doc_id", "text", "n_words", "hit_words", "hit_items")) == rows_of(
+            cut.select("doc_id", "text", "n_words", "hit_words", "hit_items"))
     same = {r.text for r in cut.where(F.size("hit_words") == 0).collect()}
     assert same <= {r[1] for r in rows}
 
