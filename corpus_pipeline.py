@@ -41,7 +41,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without the passages they share with the benchmark; one of which no word is left goes."""
     prepare(spark)
     bench = table(spark, sf_dir, "benchmark")
-    found = decontaminate.cut_spans(decontaminate.find(docs, bench), bench)
+    found = decontaminate.find(docs, bench, cut=True)
     hit = F.size("hit_words") > 0
     left = found.where(~hit | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     if "n_chars" in docs.columns:
