@@ -135,6 +135,21 @@ def test_jaccard_join_of_copies_and_a_common_passage(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_of_a_wide_group(spark, monkeypatch):
+    """Copies of one text with so many edits that few are linked with any one of them; a finer cut."""
+    rnd = random.Random(12)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(260):
+        words = list(base)
+        for at in rnd.sample(range(120), rnd.randint(0, 3)):
+            words[at] = f"x{rnd.randrange(10_000)}"
+        rows.append((k, " ".join(words)))
+    df, want = spark.createDataFrame(rows, "doc_id bigint, text string"), brute_components(rows)
+    for longest in (jaccard_join.PAIRED, 40):
+        monkeypatch.setattr(jaccard_join, "PAIRED", longest)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == want
+
+
 # ------------------------------------------------------------------ 3
 
 def test_license_scan(docs, none):

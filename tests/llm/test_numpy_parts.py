@@ -81,6 +81,45 @@ def test_sketch_is_a_lower_bound():
             assert (fold[0] != fold[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def sifted_to_the_end(sets, c):
+    """Rounds of `_sifted` in which no given pair is linked; the pairs of each round."""
+    size = np.array([len(s) for s in sets])
+    words, bits = jaccard_join.sketch_words(size), jaccard_join.sketches(sets)
+    flat = np.insert(bits, np.cumsum(words) - words, size)
+    hi = np.cumsum(words + 1)
+    node, rounds = np.arange(len(sets)) * 3 - 50, []
+    known, most = [np.zeros(0, "<i8") for _ in sets], 1
+    while True:
+        found = jaccard_join._sifted(node, c, flat, hi - words - 1, hi, known, most)
+        if not len(found):
+            return node, rounds
+        rounds.append(found)
+        for a, b in found.tolist():
+            at = int(np.searchsorted(node, a))
+            known[at] = np.append(known[at], b)
+        most *= 4
+
+
+def test_sifting_in_rounds_gives_every_pair_once():
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 62, 300).astype("<u8")
+    sets = [np.unique(np.concatenate([rnd.choice(base, 200, replace=False), rnd.integers(0, 1 << 62, 5).astype("<u8")])) for _ in range(60)]
+    sets += [np.unique(rnd.integers(0, 1 << 62, 200).astype("<u8")) for _ in range(20)]
+    sets += [np.unique(np.concatenate([base, rnd.integers(0, 1 << 62, k).astype("<u8")])) for k in range(40)]
+    c = np.concatenate([np.arange(60), np.arange(20) % 3 + 100, 200 + np.arange(40) // 4])
+    node, rounds = sifted_to_the_end(sets, c)
+    given = [tuple(p) for r in rounds for p in r.tolist()]
+    assert len(given) == len(set(given)) and all(a < b for a, b in given)
+    for k, r in enumerate(rounds):
+        assert len(r) <= 4 ** k * len(set(c.tolist()))
+    # nothing that might be linked is left out
+    of = {int(n): k for k, n in enumerate(node)}
+    linked = {(int(node[i]), int(node[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)) if c[i] != c[j]
+              and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= set(given)
+    assert all(c[of[a]] != c[of[b]] for a, b in given)
+
+
 def test_shingles():
     a, b, c, none, empty = shingle_sets(["a b c d e f", "A  b\tc d e", "a b", None, " \n"])
     assert len(a) == 2 and len(b) == 1 and b[0] in a and len(c) == 1 and not len(none) and not len(empty)
