@@ -94,7 +94,8 @@ def sifted_to_the_end(sets, c):
         if not len(found):
             return node, rounds
         rounds.append(found)
-        for a, b in found.tolist():
+        assert np.array_equal(c[np.searchsorted(node, found[:, :2])], found[:, 2:])
+        for a, b in found[:, :2].tolist():
             at = int(np.searchsorted(node, a))
             known[at] = np.append(known[at], b)
         most *= 4
@@ -108,7 +109,7 @@ def test_sifting_in_rounds_gives_every_pair_once():
     sets += [np.unique(np.concatenate([base, rnd.integers(0, 1 << 62, k).astype("<u8")])) for k in range(40)]
     c = np.concatenate([np.arange(60), np.arange(20) % 3 + 100, 200 + np.arange(40) // 4])
     node, rounds = sifted_to_the_end(sets, c)
-    given = [tuple(p) for r in rounds for p in r.tolist()]
+    given = [tuple(p[:2]) for r in rounds for p in r.tolist()]
     assert len(given) == len(set(given)) and all(a < b for a, b in given)
     for k, r in enumerate(rounds):
         assert len(r) <= 4 ** k * len(set(c.tolist()))
