@@ -88,9 +88,11 @@ def sifted_to_the_end(sets, c):
     flat = np.insert(bits, np.cumsum(words) - words, size)
     hi = np.cumsum(words + 1)
     node, rounds = np.arange(len(sets)) * 3 - 50, []
-    known, most = [np.zeros(0, "<i8") for _ in sets], 1
+    known, most, more = [np.zeros(0, "<i8") for _ in sets], 1, True
     while True:
-        found = jaccard_join._sifted(node, c, flat, hi - words - 1, hi, known, most)
+        last = not more
+        found, more = jaccard_join._sifted(node, c, flat, hi - words - 1, hi, known, most)
+        assert not (last and len(found))        # a list that held nothing back has nothing left
         if not len(found):
             return node, rounds
         rounds.append(found)
