@@ -2,7 +2,7 @@
 
 `encode` maps Arrow batches of texts to packed token ids. A text is first cut where the vocabulary's
 pre-tokenizer always cuts (before a single space that precedes a non-space, and around white
-space), so equal pieces are encoded once per batch by `Tokenizer.encode_batch` and then looked up.
+space); pieces are encoded by the library's model when a worker first meets them, then looked up.
 `decode` turns ids back into bytes by reversing the vocabulary's byte-to-character table.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; a
@@ -31,12 +31,24 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CROWDED = re.compile(f" [{SPACE}]|[{SPACE}] |^ | $")
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Pieces kept between batches (beyond it only those of the current batch stay), and the longest one kept.
+#: White space other than the space and the line feed.
+RARE_ASCII = "\t\v\f\r"
+RARE = RARE_ASCII + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
+
+#: Pieces kept between slices (half of them from before the last turn), and the longest one kept.
 CACHE_PIECES = 600_000
 CACHE_CHARS = 48
 
 
-ID = array("I")
+#: Whether Python's unsigned integers are ids as written.
+NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
+
+
+def crowded(text: str) -> bool:
+    """Whether `CROWDED` matches; substrings answer it for texts without rarer white space."""
+    if any(map(text.__contains__, RARE_ASCII if text.isascii() else RARE)):
+        return CROWDED.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
 
 def default_vocabulary() -> str:
@@ -52,6 +64,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: What the byte table has for a space. Letters of ASCII stand for themselves.
+SPACE_CHAR = next(c for c, b in byte_of_char().items() if b == 32)
+
+
 def token_bytes(path: str) -> list[bytes]:
     """Bytes of each id. Added tokens stand for their own text."""
     with open(path, encoding="utf-8") as f:
@@ -67,8 +83,30 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+class Pieces(dict):
+    """Ids of pieces by piece, made when first asked for. When `turn` finds more than `most` of them, those asked
+    for since the turn before are kept and the others forgotten."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if 2 * len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. Holds a bounded table of encoded pieces."""
+    """Texts to little-endian unsigned 32-bit ids. Holds bounded tables of encoded pieces: `spaced` those after one
+    space, by what follows it, `bare` the others."""
 
     def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,43 +116,42 @@ class Encoder:
         self.model = Tokenizer.from_file(path).model
         self.words = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.chars = {b: c for c, b in byte_of_char().items()}
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """Cuts at which the pre-tokenizer cuts as well. Where each space stands alone between
-        other characters that is every space; else the white-space rules are followed."""
-        if CROWDED.search(text):
-            return PIECE.findall(text)
+        self.spaced = Pieces(self._after_space, CACHE_PIECES)
+        self.bare = Pieces(self._ids, CACHE_PIECES // 8)
+
+    def _after_space(self, rest: str) -> bytes:
+        """Ids of a space and `rest`; if these are letters the two are one match of the pattern."""
+        if rest.isalpha():
+            return self._word(SPACE_CHAR + rest if rest.isascii() else self._chars(" " + rest))
+        return self._ids(" " + rest)
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids of the pattern's matches in a piece."""
+        words = self.words(piece)
+        if len(words) == 1:
+            return self._word(self._chars(piece))
+        return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in words])
+
+    def _chars(self, word: str) -> str:
+        return word.encode("utf-8").decode("latin-1").translate(self.chars)
+
+    def _word(self, chars: str) -> bytes:
+        """Ids of one match in the byte-to-character form, by the library's BPE model."""
+        ids = [t.id for t in self.model.tokenize(chars)]
+        return array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
+
+    def _one(self, text: str) -> bytes:
+        """The text is cut where the pre-tokenizer cuts as well: where each space stands alone between other
+        characters at every space; else by the white-space rules."""
+        if crowded(text):
+            return b"".join(map(self.bare.__getitem__, PIECE.findall(text)))
         first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else []
-
-    def _words(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of every distinct match of the pattern in `pieces`, by the library's BPE model over
-        the byte-to-character form."""
-        tokenize, chars = self.model.tokenize, self.chars
-        if ID.itemsize != 4 or sys.byteorder != "little":
-            return {w: np.array([t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(chars))], "<u4").tobytes()
-                    for w in pieces}
-        return {w: array("I", [t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(chars))]).tobytes()
-                for w in pieces}
+        return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [self.pieces(t) if t else [] for t in texts]
-        every = set().union(*pieces)
-        known = self.known
-        new = every.difference(known)
-        if len(known) + len(new) > CACHE_PIECES:
-            known = self.known = {p: known[p] for p in every if p in known}
-        # a run of letters, with or without the space before it, is one match of the pattern
-        words = self.words
-        cut = {p: [p] if p.isalpha() or p[0] == " " and p[1:].isalpha() else words(p) for p in new}
-        ids = self._words(set().union(*cut.values()))
-        for p, words in cut.items():
-            known[p] = b"".join([ids[w] for w in words])
-        out = [b"".join([known[p] for p in ps]) for ps in pieces]
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        out = [self._one(t) if t else b"" for t in texts]
+        self.spaced.turn()
+        self.bare.turn()
         return out
 
 
@@ -136,6 +173,10 @@ def decoder(path: str) -> tuple[np.ndarray, list[bytes]]:
     return _BYTES[path]
 
 
+def bytes_of(ids: bytes, table_: list[bytes]) -> bytes:
+    return b"".join(map(table_.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def char_offsets(ids: bytes, path: str) -> np.ndarray:
     """Start and end (exclusive) in characters of every token, as an n x 2 array. A character that
     several tokens share counts for each of them."""
@@ -191,8 +232,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             step = 500
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                out = [b"".join([table_[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()])
-                       for x in part.column(at_ids)]
+                out = [bytes_of(x.as_py() or b"", table_) for x in part.column(at_ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], rest + ["decoded"])
 
     return src.mapInArrow(run, schema)

@@ -151,6 +151,23 @@ def test_bpe_equals_the_library_on_odd_texts():
     assert enc.encode([None]) == [b""]
 
 
+def test_a_word_is_encoded_once(monkeypatch):
+    """Also when it comes in other pieces and calls; beyond the bound, pieces not asked for of late are forgotten."""
+    enc = byte_bpe.Encoder(byte_bpe.default_vocabulary())
+    asked, model = [], enc.model
+    enc.model = type("Counting", (), {"tokenize": lambda self, w: asked.append(w) or model.tokenize(w)})()
+    for t in ("x wörd", "x wörd, Wörd", "y wörd. wörd,", "x wörd. wörd"):
+        enc.encode([t])
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(enc.spaced, "most", 10)
+    plain = byte_bpe.Encoder(byte_bpe.default_vocabulary())
+    for i in range(200):
+        t = f"x often w{i} v{i}"
+        assert enc.encode([t]) == plain.encode([t])
+        assert len(enc.spaced) <= 10 and len(enc.spaced.before) <= 10 + 5
+    assert asked.count("Ġoften") == 1
+
+
 def test_best_fit_decreasing():
     rnd = random.Random(2)
     for n in (0, 1, 5, 400):
