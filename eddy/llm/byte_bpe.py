@@ -3,7 +3,8 @@
 `encode` maps Arrow batches of texts to packed token ids. A text is first cut where the vocabulary's
 pre-tokenizer always cuts (before a single space that precedes a non-space, and around white
 space); pieces are encoded by the library's model when a worker first meets them, then looked up.
-`decode` turns ids back into bytes by reversing the vocabulary's byte-to-character table.
+`decode` turns ids back into bytes by reversing the vocabulary's byte-to-character table. `digests` does both in
+one pass.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; a
 text of any length is encoded whole; equal texts give equal ids; extra columns pass through.
@@ -17,6 +18,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,10 @@ class Pieces(dict):
             self.before = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids. Holds bounded tables of encoded pieces: `spaced` those after one
@@ -166,6 +172,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the ids of a column's texts. The tables of pieces end with the task: the worker
+    may serve other steps next, which would not have their memory."""
+    enc = encoder(path)
+    try:
+        for b, texts in text_batches(batches, column):
+            yield b, enc.encode(texts)
+    finally:
+        enc.spaced.forget()
+        enc.bare.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def decoder(path: str) -> tuple[np.ndarray, list[bytes]]:
     if path not in _BYTES:
         table_ = token_bytes(path)
@@ -203,9 +222,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", o
                        + ["char_offsets binary"] * offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b, texts in text_batches(batches, "__text"):
-            ids = enc.encode(texts)
+        for b, ids in encoded(batches, "__text", path):
             cols = [b.column(i) for i in range(len(rest))]
             cols += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if offsets:
@@ -239,10 +256,22 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    out = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. A task encodes a slice and decodes its
+    ids in one Python worker; only the digests leave it."""
+    ready(docs.sparkSession)
+    path = vocabulary or default_vocabulary()
+    src = docs.select("doc_id", "text")
+    made = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, table_ = decoder(path)
+        for b, ids in encoded(batches, "text", path):
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]),
+                 pa.array([sha256(bytes_of(x, table_)).hexdigest() for x in ids])], made)
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

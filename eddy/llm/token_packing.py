@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import default_vocabulary, encoder
-from .common import ready, table, text_batches
+from .byte_bpe import default_vocabulary, encoded
+from .common import ready, table
 
 LENGTH = 2048
 GROUP_DOCS = 1500
@@ -96,9 +96,8 @@ def encoded_groups(docs: DataFrame, vocabulary: str, groups: int) -> DataFrame:
     src = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for b, texts in text_batches(batches, "text"):
-            ids = [np.frombuffer(x, "<u4") for x in enc.encode(texts)]
+        for b, raw in encoded(batches, "text", vocabulary):
+            ids = [np.frombuffer(x, "<u4") for x in raw]
             keep = [i for i, x in enumerate(ids) if len(x)]
             part = b.take(pa.array(keep, pa.int64()))
             small = all(int(ids[i].max()) < 1 << 16 for i in keep)

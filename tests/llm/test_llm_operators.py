@@ -391,6 +391,15 @@ def test_line_dedup_of_short_lines(spark):
 
 # ----------------------------------------------------------------- 10
 
+def test_digests_take_one_python_worker_a_task(docs):
+    out = byte_bpe.digests(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = byte_bpe.decode(byte_bpe.encode(docs)).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, both.collect()))
+
+
 def test_byte_bpe(docs, none):
     out = byte_bpe.decode(byte_bpe.encode(docs, offsets=True)).select("doc_id", "n_tokens", "ids", "decoded").collect()
     assert sorted(bytes(r.decoded) for r in out) == sorted((r[1] or "").encode() for r in corpus())

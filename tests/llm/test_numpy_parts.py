@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eddy.llm import byte_bpe, decontaminate, fm_index, jaccard_join, license_scan, lm_scoring, token_packing
@@ -168,6 +169,15 @@ def test_a_word_is_encoded_once(monkeypatch):
     assert asked.count("Ġoften") == 1
 
 
+def test_a_task_leaves_no_pieces_in_its_worker():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two, two", None]})
+    path = byte_bpe.default_vocabulary()
+    for _, ids in byte_bpe.encoded(iter([batch]), "text", path):
+        assert len(ids) == 2 and byte_bpe.encoder(path).spaced
+    enc = byte_bpe.encoder(path)
+    assert not (enc.spaced or enc.spaced.before or enc.bare or enc.bare.before)
+
+
 def test_best_fit_decreasing():
     rnd = random.Random(2)
     for n in (0, 1, 5, 400):
