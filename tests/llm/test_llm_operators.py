@@ -391,6 +391,22 @@ def test_line_dedup_of_short_lines(spark):
 
 # ----------------------------------------------------------------- 10
 
+def test_small_link_tables_take_few_tasks(spark):
+    """Whatever the number of shuffle partitions: each task of a round writes files of its own."""
+    from eddy.llm.graph import components
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    was = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("16", "false")):
+            spark.conf.set(n, v)
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)], "a bigint, b bigint"))
+        assert found.rdd.getNumPartitions() == 1
+        assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 2) for i in range(60)}
+    finally:
+        for n, v in zip(names, was):
+            spark.conf.set(n, v)
+
+
 def test_digests_take_one_python_worker_a_task(docs):
     out = byte_bpe.digests(docs)
     plan = out._jdf.queryExecution().executedPlan().toString()
