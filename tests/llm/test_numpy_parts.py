@@ -1,6 +1,7 @@
 """The numpy kernels against plain Python."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,52 @@ def test_signatures_never_miss():
                 assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
 
 
+class Captured:
+    """Stands for the DataFrame that `meet` maps; keeps the function."""
+
+    def repartition(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def packed_sets(sets):
+    nodes = np.arange(len(sets), dtype="<i8")
+    rows = [(b, 1, keys, e, None, None) for at in range(0, len(sets), 200)
+            for b, keys, e in jaccard_join.pack(sets[at:at + 200], nodes[at:at + 200], 0, 1)]
+    return jaccard_join._packed_rows(rows)
+
+
+def test_meeting_holds_little_more_than_it_was_sent():
+    """Most signatures are no other set's; unpacking all of them at once took several times the memory."""
+    rnd = np.random.default_rng(15)
+    batch = packed_sets([np.unique(rnd.integers(0, 1 << 62, 400).astype("<u8")) for _ in range(6000)])
+    run = jaccard_join.meet(Captured(), 1)
+    tracemalloc.start()
+    assert not [b for b in run(iter([batch])) if b.num_rows]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * batch.nbytes
+
+
+def test_meeting_by_ranges_loses_no_list(monkeypatch):
+    """Lists are the same however few entries are unpacked at a time."""
+    rnd = np.random.default_rng(16)
+    base = [rnd.integers(0, 1 << 62, 60).astype("<u8") for _ in range(20)]
+    sets = [np.unique(base[i % 20][rnd.random(60) < 0.95]) for i in range(600)]
+    which, sig = jaccard_join.signatures(sets, 0)
+    want = {}
+    for w, x in zip(which.tolist(), sig.tolist()):
+        want.setdefault(x >> 16, set()).add(w)          # one bucket: 48 bits tell signatures apart
+    want = {tuple(sorted(v)) for v in want.values() if len(v) > 1}
+    for entries in (1 << 17, 1000, 7):
+        monkeypatch.setattr(jaccard_join, "RANGE", entries)
+        rows = [r for b in jaccard_join.meet(Captured(), 1)(iter([packed_sets(sets)])) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in rows if r["kind"] == 1} == {(v[0], x) for v in want for x in v[1:]}
+        assert sorted(tuple(r["members"]) for r in rows if r["kind"] == 2) == sorted(v for v in want if len(v) > 2)
+
+
 def test_sketch_is_a_lower_bound():
     rnd = np.random.default_rng(6)
     sets = [np.unique(rnd.integers(0, 900, n).astype("<u8")) for n in (0, 3, 50, 200, 300, 700, 900)]
