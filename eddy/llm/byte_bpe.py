@@ -46,9 +46,17 @@ CACHE_CHARS = 48
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 
 
+#: Characters that are no letter, digit, space or apostrophe: the pattern takes a run of them after letters as one match.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def rare(text: str) -> bool:
+    return any(map(text.__contains__, RARE_ASCII if text.isascii() else RARE))
+
+
 def crowded(text: str) -> bool:
     """Whether `CROWDED` matches; substrings answer it for texts without rarer white space."""
-    if any(map(text.__contains__, RARE_ASCII if text.isascii() else RARE)):
+    if rare(text):
         return CROWDED.search(text) is not None
     return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
@@ -126,13 +134,22 @@ class Encoder:
         self.bare = Pieces(self._ids, CACHE_PIECES // 8)
 
     def _after_space(self, rest: str) -> bytes:
-        """Ids of a space and `rest`; if these are letters the two are one match of the pattern."""
+        """Ids of a space and `rest`; if these are letters the two are one match of the pattern, and marks after
+        them another one."""
         if rest.isalpha():
             return self._word(SPACE_CHAR + rest if rest.isascii() else self._chars(" " + rest))
+        head = rest.rstrip(MARKS)
+        if head.isalpha():
+            return self.spaced[head] + self.bare[rest[len(head):]]
         return self._ids(" " + rest)
 
     def _ids(self, piece: str) -> bytes:
         """Ids of the pattern's matches in a piece."""
+        if piece.isalpha():
+            return self._word(piece if piece.isascii() else self._chars(piece))
+        head = piece.rstrip(MARKS)
+        if head.isalpha():
+            return self.bare[head] + self.bare[piece[len(head):]]
         words = self.words(piece)
         if len(words) == 1:
             return self._word(self._chars(piece))
@@ -148,9 +165,14 @@ class Encoder:
 
     def _one(self, text: str) -> bytes:
         """The text is cut where the pre-tokenizer cuts as well: where each space stands alone between other
-        characters at every space; else by the white-space rules."""
+        characters at every space, and at line feeds that do too; else by the white-space rules."""
         if crowded(text):
             return b"".join(map(self.bare.__getitem__, PIECE.findall(text)))
+        if "\n" not in text or "\n\n" in text or text[0] == "\n" or text[-1] == "\n" or rare(text):
+            return self._line(text)
+        return self.bare["\n"].join(map(self._line, text.split("\n")))
+
+    def _line(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
 

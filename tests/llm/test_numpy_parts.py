@@ -216,6 +216,27 @@ def test_a_word_is_encoded_once(monkeypatch):
     assert asked.count("Ġoften") == 1
 
 
+def test_marks_and_line_feeds_are_cut_without_the_pattern():
+    """Words with marks, at the ends of lines or not, are cut by substrings into pieces that are known already."""
+    enc = byte_bpe.Encoder(byte_bpe.default_vocabulary())
+    asked, words = [], enc.words
+    enc.words = lambda piece: asked.append(piece) or words(piece)
+    enc.encode(["one two, wörd!! one.\nNext wörd.\nWörd, next"])
+    assert all(set(piece) <= set(",!.\n") for piece in asked)
+
+
+def test_lines_and_marks_give_the_pattern_matches():
+    """Against one match of the pattern after the other, on texts of letters, marks and all kinds of white space."""
+    plain, enc = byte_bpe.Encoder(byte_bpe.default_vocabulary()), byte_bpe.Encoder(byte_bpe.default_vocabulary())
+    rnd = random.Random(21)
+    kinds = ["a", "Bc", "wörd", "7", "²", "x1", ".", ",", "!!", "'s", "'", "_", "\u0301", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r\n",
+             "\x85", "\u2003", "\u2028", "\x1c", "漢", "ª", "Ⅷ"]
+    for n in range(3000):
+        t = "".join(rnd.choices(kinds, k=rnd.randint(1, 14)))
+        want = b"".join(plain._word(plain._chars(w)) for w in plain.words(t))
+        assert enc.encode([t]) == [want], repr(t)
+
+
 def test_a_task_leaves_no_pieces_in_its_worker():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two, two", None]})
     path = byte_bpe.default_vocabulary()
