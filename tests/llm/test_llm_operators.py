@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eddy.llm import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_scoring,
                       secret_scan, token_packing, topk_search)
+from eddy.llm.common import cut
 from eddy.llm.shingles import shingle_sets
 
 from test_numpy_parts import brute_licenses
@@ -421,3 +422,18 @@ def test_byte_bpe(docs, none):
     assert sorted(bytes(r.decoded) for r in out) == sorted((r[1] or "").encode() for r in corpus())
     assert all(len(r.ids) == 4 * r.n_tokens for r in out)
     assert byte_bpe.digests(none).count() == 0
+
+
+# ------------------------------------------------------------------ size estimates of rounds
+
+def estimate_bits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_rounds_do_not_square_the_size_estimate(spark):
+    """A table joined with its own last form, round after round: the estimate doubled its digits each time."""
+    t = spark.range(20).withColumnRenamed("id", "a")
+    for _ in range(8):
+        t = cut(t.join(t.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a"))
+    assert estimate_bits(t) <= 64
+    assert sorted(r.a for r in t.collect()) == list(range(20))
