@@ -437,3 +437,11 @@ def test_rounds_do_not_square_the_size_estimate(spark):
         t = cut(t.join(t.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a"))
     assert estimate_bits(t) <= 64
     assert sorted(r.a for r in t.collect()) == list(range(20))
+
+
+def test_component_rounds_do_not_square_the_size_estimate(spark):
+    """The links of the pipeline's near-duplicate stage: a chain takes several rounds, each joined with the last."""
+    from eddy.llm.graph import components
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint").coalesce(1))
+    assert estimate_bits(found) <= 64
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(41)}
