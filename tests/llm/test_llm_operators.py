@@ -310,6 +310,19 @@ def test_model_beats_the_unigram_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_rare_words_of_a_class_are_told_apart_by_their_contexts(spark):
+    """Forty words with one ending, too rare for classes of their own, half of them after `left` and half after `right`."""
+    rows = [" ".join(f"f{k}" for k in range(130))] * 50
+    rows += [f"{('left', 'right')[k // 20]} w{k}zz" for k in range(40)] * 6
+    train = [(i, t, True) for i, t in enumerate(rows)]
+    held = [(10_000 + 2 * k + side, f"{('left', 'right')[side]} w{k}zz", False) for k in range(40) for side in (0, 1)]
+    out = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(train + held, "doc_id bigint, text string, train boolean")).collect()}
+    assert len({round(out[d].base_score, 9) for d, *_ in held}) == 1 and {out[d].n_known for d, *_ in held} == {3}
+    seen = [out[10_000 + 2 * k + k // 20].score for k in range(40)]
+    other = [out[10_000 + 2 * k + 1 - k // 20].score for k in range(40)]
+    assert sum(seen) / 40 > sum(other) / 40 + 0.2
+
+
 # ------------------------------------------------------------------ 9
 
 def distance(a, b):

@@ -339,3 +339,25 @@ def test_language_model_normalises_and_learns():
     assert got.mean() > unigram.mean() + 0.1
     every = [lm_scoring.class_log_probabilities(t.w, ctx[:, :5], np.full(5, c)) for c in range(len(known.mass))]
     assert np.allclose((10.0 ** np.stack(every)).sum(0), 1, atol=1e-4)
+
+
+def test_own_vectors_are_normalised_over_the_words_of_a_group():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 62, 300).astype("<u8")
+    bins = rng.integers(0, 2, 300)
+    group = lm_scoring.groups(words, bins)
+    assert all(len(set(bins[group == g].tolist())) == 1 for g in set(group.tolist())) and 4 <= len(set(group.tolist())) <= 6
+    at = rng.normal(0, 1, (300, lm_scoring.DIM))
+    code = np.repeat(np.arange(300), 5)
+    times = np.tile([1, 2, 1, 1, -1], 300)
+    times[code == 7] = -1                              # a word without training tokens
+    means = (at[code] + rng.normal(0, 0.5, (1500, lm_scoring.DIM))).astype("<f4")
+    c, q, d = lm_scoring.own_vectors(code, times, means, group)
+    assert c[7] == 0 and c[8] == 5 and np.abs(q).sum(1).astype(bool)[c > 0].all()
+    got = lm_scoring.gains(code, means, group, c, q, d)
+    assert (got[code == 7] == 0).all() and got[(times < 0) & (code != 7)].mean() > 0.3
+    of = np.flatnonzero((group == group[0]) & (c > 0))
+    share = (c[of] + 1) / (c[of] + 1).sum()
+    for context in means[:20]:
+        every = lm_scoring.gains(of, np.repeat(context[None], len(of), 0), group, c, q, d)
+        assert abs((share * 10 ** every).sum() - 1) < 1e-3
